@@ -237,7 +237,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, kind: str = "bit", block:
             yield pa.RecordBatch.from_pylist([{"file": name, "part": part, "bytes": size, "docs": len(writer.sizes), "ids": writer.ids}])
 
     files = placed.repartitionByRange(*keys).sortWithinPartitions(*keys, F.length("text"))
-    return scratch.keep(files.mapInArrow(run, "file string, part int, bytes long, docs long, ids long"), "tokens-manifest")
+    return scratch.keep(files.mapInArrow(run, "file string, part long, bytes long, docs long, ids long"), "tokens-manifest")
 
 
 _encoders: dict[str, Encoder] = {}
