@@ -9,6 +9,7 @@ row for each document (doc_id, number of ids); the last bytes tell where the foo
 from __future__ import annotations
 
 import io
+import itertools
 import re
 import struct
 import uuid
@@ -30,6 +31,17 @@ MAGIC = b"VDPLANE1"
 TAIL = struct.Struct("<qqqq8s")
 END_ID = 0
 _LOOSE = re.compile(r"^ | \s|\s | $")
+#: A cheap test first: white space beyond these five, or one of the five beside a space.
+_RARE = [chr(c) for c in (*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+_COMMON = "\n\t\r\x0b\x0c"
+
+
+def loose(text: str) -> bool:
+    """Whether a space stands beside other white space or at an end, so that not every space is a place to cut."""
+    if text[:1] == " " or text[-1:] == " " or "  " in text or any(c in text and (" " + c in text or c + " " in text) for c in _COMMON):
+        return True
+    rare = _RARE[:4] if text.isascii() else _RARE
+    return any(c in text for c in rare) and bool(_LOOSE.search(text))
 
 
 class Encoder:
@@ -37,7 +49,7 @@ class Encoder:
 
     A text may be cut before a single space between two non-spaces without a change to its ids, for this kind of
     byte-level pattern ends a token there. So the library encodes each distinct piece once, and a bounded dictionary
-    keeps the results; it is emptied when full. Around other white space pieces are not cut.
+    keeps the results; when full, all but the first third go. Around other white space pieces are not cut.
     """
 
     def __init__(self, path: str, capacity: int = 600_000):
@@ -46,21 +58,39 @@ class Encoder:
         self.tokenizer, self.capacity = Tokenizer.from_file(path), capacity
         if hasattr(self.tokenizer.model, "_resize_cache"):  # its own cache only costs time below this one
             self.tokenizer.model._resize_cache(0)
+        self.mark = "<|endoftext|>"
+        self.mark_id = self.tokenizer.token_to_id(self.mark)
         self.after: dict[str, bytes] = {}  # pieces that follow a space
         self.first: dict[str, bytes] = {}
 
     def _learn(self, known: dict[str, bytes], pieces: set[str], prefix: str) -> None:
-        if len(known) + len(pieces) > self.capacity:
-            known.clear()
-        order = list(pieces)
-        for p, e in zip(order, self.tokenizer.encode_batch_fast([prefix + p for p in order], add_special_tokens=False), strict=True):
-            known[p] = np.array(e.ids, "<u4").tobytes()
+        """Encodes pieces many at a time, with a special token between them: the library encodes what stands between
+        special tokens by itself, and the token's id tells the pieces apart again."""
+        for odd in [p for p in pieces if self.mark in p]:
+            known[odd] = np.array(self.tokenizer.encode(prefix + odd, add_special_tokens=False).ids, "<u4").tobytes()
+        order = [p for p in pieces if p and self.mark not in p]
+        if "" in pieces:
+            known[""] = np.array(self.tokenizer.encode(prefix, add_special_tokens=False).ids, "<u4").tobytes()
+        between = self.mark + prefix
+        some = [order[a : a + 500] for a in range(0, len(order), 500)]
+        for names, e in zip(some, self.tokenizer.encode_batch_fast([prefix + between.join(x) for x in some], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            data, at = ids.tobytes(), 0
+            for name, end in zip(names, [*np.flatnonzero(ids == self.mark_id).tolist(), len(ids)], strict=True):
+                known[name] = data[4 * at : 4 * end]
+                at = end + 1
+
+    def _shrink(self, known: dict[str, bytes]) -> None:
+        """The pieces that were met first, which are the frequent ones, stay."""
+        first = list(itertools.islice(known.items(), self.capacity // 3))
+        known.clear()
+        known.update(first)
 
     @staticmethod
     def cut(text: str) -> list[str]:
         """The pieces, each but the first without the space before it."""
         parts = text.split(" ")
-        if not _LOOSE.search(text):
+        if not loose(text):
             return parts
         out = parts[:1]
         for p in parts[1:]:
@@ -75,17 +105,15 @@ class Encoder:
         out = []
         for at in range(0, len(cut), 256):
             some = cut[at : at + 256]
-            heads = {c[0] for c in some}.difference(self.first)
-            rest: set[str] = set()
-            for c in some:
-                rest.update(c[1:])
-            if heads:
-                self._learn(self.first, heads, "")
-            if missing := rest.difference(self.after):
-                self._learn(self.after, missing if len(self.after) + len(missing) <= self.capacity else rest, " ")
+            for known, a, b, prefix in ((self.first, 0, 1, ""), (self.after, 1, None, " ")):
+                new = lambda: set().union(*(itertools.filterfalse(known.__contains__, itertools.islice(c, a, b)) for c in some))  # noqa: B023, E731
+                missing = new()
+                if len(known) + len(missing) > self.capacity:
+                    self._shrink(known)
+                    missing = new()
+                if missing:
+                    self._learn(known, missing, prefix)
             first, after = self.first, self.after
-            if any(c[0] not in first for c in some):
-                self._learn(first, {c[0] for c in some}, "")
             out += [first[c[0]] + b"".join(map(after.__getitem__, c[1:])) for c in some]
         return out
 
