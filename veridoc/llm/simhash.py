@@ -53,3 +53,71 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents by 3-word shingles at 2 bits or fewer."""
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "links")
+
+
+def similar_texts(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8, views: int = 4, bucket: int = 32) -> DataFrame:
+    """Links ``a``, ``b`` between digests of different texts whose shingle sets have a Jaccard similarity of at least ``similarity``.
+
+    One plain fingerprint is 10 bits apart at 0.8, too far for covering tables. So a text gets one fingerprint for each
+    of several views, which weight the shingles by hashes of their own; similar texts often agree in a view within 2
+    bits, and the covering tables find all pairs that do. Pairs are verified on all their shingles. In a bucket of more
+    than ``bucket`` texts each is compared with a few of its members: the one with most copies and one by a hash of its
+    own in each view; so a group of near copies, however large, costs work in proportion to its members.
+    """
+    rows = docs.select(F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("key"), F.coalesce("text", F.lit("")).cast("binary").alias("t"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 1000):
+                part = b.slice(at, 1000)
+                sets = [np.unique(shingles.hashes(shingles.words(t.as_py()), shingle_words)) for t in part.column(1)]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array([shingles.weighted_simhashes(s, views) for s in sets], pa.list_(pa.int64())), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["key", "views", "set"])
+
+    signed = scratch.keep(rows.mapInArrow(run, "key string, views array<long>, set array<long>"), "signed")
+    nodes = scratch.keep(signed.groupBy("key").agg(F.count("*").alias("copies"), F.first("views").alias("views")), "texts")
+    placed = nodes.select("key", "copies", F.posexplode("views").alias("view", "fp")).select("key", "copies", "view", F.explode(covering.keys(F.col("fp"), 2)).alias("k")).select("key", "copies", "view", "k.table", F.col("k.key").alias("at"))
+    where = ["view", "table", "at"]
+    own = F.xxhash64("view", "key")
+    sizes = placed.groupBy(*where).agg(
+        F.count("*").alias("n"), F.max(F.struct("copies", "key")).alias("most"), F.min(F.struct(own.alias("h"), "key")).alias("some")).filter("n > 1")
+    crowded = placed.select(*where, "key").join(sizes.select(*where, "n", F.col("most.key").alias("most"), F.col("some.key").alias("some")), where)
+    small = (
+        crowded.filter(F.col("n") <= bucket).groupBy(*where).agg(F.collect_list("key").alias("m"))
+        .select(F.explode(F.flatten(F.transform("m", lambda x: F.transform(F.filter("m", lambda y: y > x), lambda y: F.struct(x.alias("a"), y.alias("b")))))).alias("e")).select("e.a", "e.b"))
+    large = crowded.filter(F.col("n") > bucket).select("key", F.explode(F.array("most", "some")).alias("hub")).filter("key <> hub").select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b"))
+    pairs = scratch.keep(small.union(large).distinct(), "pairs")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    sets = scratch.keep(signed.join(wanted, "key", "left_semi").groupBy("key").agg(F.first("set").alias("set")), "sets")
+    both = pairs.join(sets.withColumnsRenamed({"key": "a", "set": "x"}), "a").join(sets.withColumnsRenamed({"key": "b", "set": "y"}), "b")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = []
+            for x, y in zip(b.column(2), b.column(3), strict=True):
+                x, y = x.values.to_numpy(), y.values.to_numpy()
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                ok.append(shared >= similarity * (len(x) + len(y) - shared))
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in b.columns[:2]], ["a", "b"])
+
+    return both.select("a", "b", "x", "y").mapInArrow(verify, "a string, b string")
+
+
+def one_of_each(docs: DataFrame, **how) -> DataFrame:
+    """One row of each group of copies and near copies, the one with the smallest doc_id, with its columns.
+
+    Groups are components of :func:`similar_texts`; texts without words are alike. A null doc_id is kept only in a group
+    without another. Of rows that repeat doc_id and text one is kept. An empty table stays empty.
+    """
+    digest = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
+    labels = connected(scratch.keep(similar_texts(docs, **how), "similar"))
+    texts = docs.select("doc_id", digest.alias("node")).groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("least"), F.count("*").alias("n"))
+    named = texts.join(labels, "node", "left").select("node", "least", "n", F.coalesce("label", "node").alias("label"))
+    first = named.groupBy("label").agg(F.min("least").alias("first"), F.sum("n").alias("rows"))
+    # only texts whose rows are not all kept are looked up: the others need no shuffle of their text
+    fate = named.join(first, "label").filter("rows > 1").select(F.col("node").alias("_vd_node"), (F.col("first.node") == F.col("node")).alias("_vd_kept"), F.col("first.doc_id").alias("_vd_first"))
+    at = fresh(docs, "digest")
+    joined = docs.withColumn(at, digest).join(scratch.keep(fate, "fate"), F.col(at) == F.col("_vd_node"), "left")
+    alone = joined.filter("_vd_node is null").select(*docs.columns)
+    first_rows = joined.filter(F.col("_vd_kept") & F.col("doc_id").eqNullSafe(F.col("_vd_first")))
+    return alone.union(first_rows.dropDuplicates([at]).select(*docs.columns))
