@@ -60,9 +60,12 @@ def similar_texts(docs: DataFrame, shingle_words: int = 5, similarity: float = 0
 
     One plain fingerprint is 10 bits apart at 0.8, too far for covering tables. So a text gets one fingerprint for each
     of several views, which weight the shingles by hashes of their own; similar texts often agree in a view within 2
-    bits, and the covering tables find all pairs that do. Pairs are verified on all their shingles. In a bucket of more
-    than ``bucket`` texts each is compared with a few of its members: the one with most copies and one by a hash of its
-    own in each view; so a group of near copies, however large, costs work in proportion to its members.
+    bits, and the covering tables find all pairs that do. The texts of a bucket are compared on all their shingles (by
+    32-bit hashes of them); links that join what others have joined already are left out. A bucket of more than
+    ``bucket`` texts is dealt into groups of about that size, each with two texts of the whole bucket added: the one with
+    most copies and the one with the lowest hash of the view. So a group of near copies, however large, costs work in
+    proportion to its members; in such buckets two similar texts that share no group in any view, and are not similar to
+    the two added ones, are not linked.
     """
     rows = docs.select(F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("key"), F.coalesce("text", F.lit("")).cast("binary").alias("t"))
 
@@ -71,36 +74,66 @@ def similar_texts(docs: DataFrame, shingle_words: int = 5, similarity: float = 0
             for at in range(0, b.num_rows, 1000):
                 part = b.slice(at, 1000)
                 sets = [np.unique(shingles.hashes(shingles.words(t.as_py()), shingle_words)) for t in part.column(1)]
+                small = [np.unique((x >> np.uint64(32)).astype(np.uint32)).view(np.int32) for x in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([shingles.weighted_simhashes(s, views) for s in sets], pa.list_(pa.int64())), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["key", "views", "set"])
+                    [part.column(0), pa.array([shingles.weighted_simhashes(x, views) for x in sets], pa.list_(pa.int64())), pa.array(small, pa.list_(pa.int32()))], ["key", "views", "set"])
 
-    signed = scratch.keep(rows.mapInArrow(run, "key string, views array<long>, set array<long>"), "signed")
+    signed = scratch.keep(rows.mapInArrow(run, "key string, views array<long>, set array<int>"), "signed")
     nodes = scratch.keep(signed.groupBy("key").agg(F.count("*").alias("copies"), F.first("views").alias("views")), "texts")
     placed = nodes.select("key", "copies", F.posexplode("views").alias("view", "fp")).select("key", "copies", "view", F.explode(covering.keys(F.col("fp"), 2)).alias("k")).select("key", "copies", "view", "k.table", F.col("k.key").alias("at"))
     where = ["view", "table", "at"]
-    own = F.xxhash64("view", "key")
     sizes = placed.groupBy(*where).agg(
-        F.count("*").alias("n"), F.max(F.struct("copies", "key")).alias("most"), F.min(F.struct(own.alias("h"), "key")).alias("some")).filter("n > 1")
-    crowded = placed.select(*where, "key").join(sizes.select(*where, "n", F.col("most.key").alias("most"), F.col("some.key").alias("some")), where)
-    small = (
-        crowded.filter(F.col("n") <= bucket).groupBy(*where).agg(F.collect_list("key").alias("m"))
-        .select(F.explode(F.flatten(F.transform("m", lambda x: F.transform(F.filter("m", lambda y: y > x), lambda y: F.struct(x.alias("a"), y.alias("b")))))).alias("e")).select("e.a", "e.b"))
-    large = crowded.filter(F.col("n") > bucket).select("key", F.explode(F.array("most", "some")).alias("hub")).filter("key <> hub").select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b"))
-    pairs = scratch.keep(small.union(large).distinct(), "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    sets = scratch.keep(signed.join(wanted, "key", "left_semi").groupBy("key").agg(F.first("set").alias("set")), "sets")
-    both = pairs.join(sets.withColumnsRenamed({"key": "a", "set": "x"}), "a").join(sets.withColumnsRenamed({"key": "b", "set": "y"}), "b")
+        F.count("*").alias("n"), F.max(F.struct("copies", "key")).alias("most"), F.min(F.struct(F.xxhash64("view", "key").alias("h"), "key")).alias("low")).filter("n > 1")
+    crowded = placed.select(*where, "key").join(sizes.select(*where, "n", F.array("most.key", "low.key").alias("hubs")), where)
+    dealt = crowded.withColumn("part", F.pmod(F.xxhash64("key", "view"), F.ceil(F.col("n") / bucket)))
+    groups = dealt.groupBy(*where, "part").agg(F.collect_set("key").alias("m"), F.first("n").alias("n"), F.first("hubs").alias("hubs"))
+    # the tables of a view mostly hold the same groups; each is compared once
+    members = scratch.keep(
+        groups.select(F.sort_array(F.when(F.col("n") > bucket, F.array_union("m", "hubs")).otherwise(F.col("m"))).alias("m")).filter(F.size("m") > 1).distinct()
+        .select(F.xxhash64("m").alias("group"), F.explode("m").alias("key")), "groups")
+    sets = scratch.keep(signed.join(members.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.first("set").alias("set")), "sets")
+    scratch.drop(signed)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def compared(keys: list[str], held: list[np.ndarray]) -> list[tuple[str, str]]:
+            size = np.array([len(x) for x in held])
+            words, place = np.unique(np.concatenate(held), return_inverse=True)
+            has = np.zeros((len(held), len(words)), np.float32)
+            has[np.repeat(np.arange(len(held)), size), place] = 1
+            shared = has @ has.T
+            alike = np.triu(shared >= similarity * (size[:, None] + size[None, :] - shared), 1)
+            top, found = list(range(len(held))), []
+
+            def root(i: int) -> int:
+                while top[i] != i:
+                    i = top[i]
+                return i
+
+            for i, j in zip(*(x.tolist() for x in np.nonzero(alike)), strict=True):
+                p, q = root(i), root(j)
+                if p != q:
+                    top[q] = p
+                    found.append((keys[i], keys[j]))
+            return found
+
+        group, keys, held, out = None, [], [], []
         for b in batches:
-            ok = []
-            for x, y in zip(b.column(2), b.column(3), strict=True):
-                x, y = x.values.to_numpy(), y.values.to_numpy()
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(shared >= similarity * (len(x) + len(y) - shared))
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in b.columns[:2]], ["a", "b"])
-
-    return both.select("a", "b", "x", "y").mapInArrow(verify, "a string, b string")
+            for g, key, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                if g != group:
+                    out += compared(keys, held) if len(keys) > 1 else []
+                    group, keys, held = g, [], []
+                keys.append(key)
+                held.append(x.values.to_numpy())
+            if len(out) > 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*out, strict=True)], ["a", "b"])
+                out = []
+        out += compared(keys, held) if len(keys) > 1 else []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*out, strict=True)], ["a", "b"])
+
+    grouped = members.join(sets, "key").select("group", "key", "set")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return grouped.repartition(parts, "group").sortWithinPartitions("group", "key").mapInArrow(verify, "a string, b string")
 
 
 def one_of_each(docs: DataFrame, **how) -> DataFrame:
