@@ -1,0 +1,33 @@
+"""Versions of tables as Parquet: a write makes a new directory, and a pointer file names the current one."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def _fs(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def current(spark: SparkSession, root: str, name: str) -> DataFrame | None:
+    """The table as last published, or None."""
+    fs, p = _fs(spark, f"{root}/{name}/CURRENT")
+    if not fs.exists(p):
+        return None
+    version = spark.read.text(f"{root}/{name}/CURRENT").first()[0]
+    return spark.read.parquet(f"{root}/{name}/{version}")
+
+
+def publish(root: str, tables: dict[str, DataFrame]) -> None:
+    """Write all tables first, then move the pointers, so a failed write leaves every table as it was."""
+    spark, version = next(iter(tables.values())).sparkSession, f"v-{uuid.uuid4().hex}"
+    for name, df in tables.items():
+        (df.write.partitionBy("space_id") if "space_id" in df.columns and len(df.columns) > 1 else df.write).parquet(f"{root}/{name}/{version}")
+    for name in tables:
+        fs, p = _fs(spark, f"{root}/{name}/CURRENT")
+        out = fs.create(p, True)
+        out.write(bytearray(version.encode()))
+        out.close()
