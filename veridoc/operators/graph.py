@@ -216,3 +216,16 @@ def fused(ranked: DataFrame, k: int = 60) -> DataFrame:
 
 def top_k(scored: DataFrame, k: int, *order: Column) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).filter(F.col("rank") <= k)
+
+
+def version_diff(old: DataFrame, new: DataFrame) -> DataFrame:
+    """How each path (path, hash) of two versions changed: added, removed, changed or same."""
+    j = old.withColumnRenamed("hash", "_a").join(new.withColumnRenamed("hash", "_b"), "path", "full")
+    return j.select("path", F.when(F.col("_a").isNull(), "added").when(F.col("_b").isNull(), "removed").when(F.col("_a") == F.col("_b"), "same").otherwise("changed").alias("change"))
+
+
+def precision_recall(judged: DataFrame) -> DataFrame:
+    """Precision, recall and F1 of ``chosen`` against ``truth``; null without a chosen or a true row."""
+    hit = F.count_if(F.col("truth") & F.col("chosen"))
+    p, r = hit / F.nullif(F.count_if("chosen"), F.lit(0)), hit / F.nullif(F.count_if("truth"), F.lit(0))
+    return judged.agg(p.alias("precision"), r.alias("recall"), (2 * p * r / (p + r)).alias("f1"))

@@ -43,7 +43,7 @@ def split_sections(body: str | None) -> Iterator[tuple[str, int, str, int, int]]
     if body[:first].strip(_EDGE):
         yield PREFACE, 0, PREFACE, 0, first
     path: list[tuple[int, str]] = []
-    for (start, level, title), end in zip(found, [h[0] for h in found[1:]] + [len(body)], strict=True):
+    for (start, level, title), end in zip(found, [h[0] for h in found[1:]] + [len(body)], strict=False):
         path = [p for p in path if p[0] < level] + [(level, title)]
         yield title, level, " > ".join(t for _, t in path), start, end
 
