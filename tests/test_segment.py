@@ -35,7 +35,7 @@ def test_chunks_cover_the_text():
 
 
 def test_sizes_are_checked():
-    assert list(segment.windows("x" * 100, 100)) == [(0, 100)]
+    assert list(segment.windows("x" * 100, 100, 10)) == [(0, 100)]
     for most, overlap in ((0, 0), (5, 5), (5, -1)):
         with pytest.raises(ValueError):
             list(segment.windows("x", most, overlap))
