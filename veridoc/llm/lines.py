@@ -35,7 +35,7 @@ def without_boilerplate(pages: DataFrame, ratio: float = RATIO, least: int = PAG
     digest = lambda x: F.unhex(F.md5(x))
     total = base.groupBy("host").agg(F.count("*").alias("pages")).filter(F.col("pages") >= least)
     counted = base.select("host", F.explode(F.array_distinct("lines")).alias("line")).groupBy("host", digest(F.col("line")).alias("digest")).agg(F.count("*").alias("n"))
-    frequent = counted.join(total, "host").filter(F.col("n") > ratio * F.col("pages")).groupBy("host").agg(F.collect_set("digest").alias("drop"))
+    frequent = scratch.keep(counted.join(total, "host").filter(F.col("n") > ratio * F.col("pages")).groupBy("host").agg(F.collect_set("digest").alias("drop")), "boilerplate")
     joined = base.join(frequent, "host", "left")
     kept = F.when(F.col("drop").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x: ~F.array_contains(F.col("drop"), digest(x))))
     size = lambda c: F.size(c).cast("long")
