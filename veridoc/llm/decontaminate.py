@@ -100,7 +100,7 @@ class Index:
         for k, (known, owners) in self.anchors.items():
             c = codes(ids, k)
             at = np.flatnonzero(c)
-            at = at[np.isin(c[at], known)] if len(at) else at
+            at = at[known[np.minimum(np.searchsorted(known, c[at]), len(known) - 1)] == c[at]] if len(at) else at
             for p in at.tolist():
                 for item in owners[int(c[p])]:
                     spots.setdefault(item, []).append(p)
