@@ -17,7 +17,7 @@ def test_pieces_give_the_ids_of_whole_texts():
     whole = Tokenizer.from_file(PATH)
     rng = np.random.default_rng(5)
     made = ["".join(rng.choice(list("ab'!1 \n\té　"), rng.integers(0, 40))) for _ in range(400)]
-    for capacity in (600_000, 3):
+    for capacity in (300_000, 3):
         got = tokens.Encoder(PATH, capacity).encode(HARD + made)
         assert [np.frombuffer(g, "<u4").tolist() for g in got] == [whole.encode(t, add_special_tokens=False).ids for t in HARD + made]
 

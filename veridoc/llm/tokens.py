@@ -52,7 +52,7 @@ class Encoder:
     keeps the results; when full, all but the first third go. Around other white space pieces are not cut.
     """
 
-    def __init__(self, path: str, capacity: int = 600_000):
+    def __init__(self, path: str, capacity: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.capacity = Tokenizer.from_file(path), capacity
