@@ -136,8 +136,8 @@ def search(index: Index, queries: DataFrame, k: int, rerank: int = RERANK, block
     """The ``k`` entries with the largest inner product for each row of ``queries`` (``vec_id``, ``v``), but its own id.
 
     Queries go in blocks of at most ``block`` over all entries; a block is the only thing that is broadcast. A task
-    keeps the best ``rerank`` of its entries by approximate score for each query; of all tasks' the best ``rerank`` are
-    scored exactly. Returns ``query_id``, ``rank``, ``vec_id``, ``score``; ties go to the smaller vec_id.
+    keeps the best ``rerank`` of its entries by approximate score for each query, scores them exactly and hands on the
+    best ``k`` + 1 of them. Returns ``query_id``, ``rank``, ``vec_id``, ``score``; ties go to the smaller vec_id.
     """
     spark = queries.sparkSession
     blocks = max(1, -(-queries.count() // block))
@@ -185,15 +185,15 @@ def one_block(spark: SparkSession, index: Index, queries: DataFrame, k: int, rer
             vectors = {x: vectors[x] if x in vectors else (keys[places[x]].as_py(), members[places[x]].as_py()) for x in new}
         for i, (s, r) in enumerate(best):
             exact = products(q[i], np.frombuffer(b"".join(vectors[x][0] for x in r.tolist()), "<f4").reshape(len(r), -1)) if len(r) else np.zeros(0)
+            # k + 1 entries hold the k best ids: only the query's own can be missing from them
+            top = np.lexsort((r, -exact))[: k + 1]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(r), ids[i]), pa.int64()), pa.array(s, pa.float32()), pa.array(exact, pa.float64()), pa.array([vectors[x][1] for x in r.tolist()], pa.list_(pa.int64()))],
-                ["query_id", "guess", "score", "ids"])
+                [pa.array(np.full(len(top), ids[i]), pa.int64()), pa.array(exact[top], pa.float64()), pa.array([vectors[x][1] for x in r[top].tolist()], pa.list_(pa.int64()))],
+                ["query_id", "score", "ids"])
 
-    near = index.table.mapInArrow(scan, "query_id long, guess float, score double, ids array<long>")
-    best = near.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("guess"), F.col("ids")[0]))).filter(F.col("n") <= rerank)
-    # k + 1 entries hold the k best ids: only the query's own can be missing from them
+    near = index.table.mapInArrow(scan, "query_id long, score double, ids array<long>")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.col("ids")[0])
-    entries = best.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k + 1)
+    entries = near.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k + 1)
     each = entries.select("query_id", "score", F.explode("ids").alias("vec_id")).filter("vec_id <> query_id")
     ranked = each.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
