@@ -52,7 +52,7 @@ class Encoder:
     keeps the results; when full, all but the first third go. Around other white space pieces are not cut.
     """
 
-    def __init__(self, path: str, capacity: int = 300_000):
+    def __init__(self, path: str, capacity: int = 450_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.capacity = Tokenizer.from_file(path), capacity
@@ -146,7 +146,7 @@ def from_planes(planes: list[bytes], n: int, kind: str) -> np.ndarray:
 class Writer:
     """Appends documents to one file; what it holds at a time is one block and the two indexes."""
 
-    def __init__(self, out: io.RawIOBase, kind: str = "bit", block: int = 1 << 16, level: int = 3):
+    def __init__(self, out: io.RawIOBase, kind: str = "byte", block: int = 1 << 16, level: int = 3):
         self.out, self.kind, self.block, self.zip = out, kind, block, zstandard.ZstdCompressor(level=level)
         self.at, self.ids, self.waiting, self.held = len(MAGIC), 0, [], 0
         self.chunks: list[list[int]] = []
@@ -233,7 +233,7 @@ class Reader:
             held = held[size:]
 
 
-def write(docs: DataFrame, path: str, tokenizer: str, kind: str = "bit", block: int = 1 << 16) -> DataFrame:
+def write(docs: DataFrame, path: str, tokenizer: str, kind: str = "byte", block: int = 1 << 16) -> DataFrame:
     """Encode ``doc_id``, ``text`` in ascending doc_id order into files below ``path``; returns their manifest.
 
     Rows are dealt by ranges of (doc_id, hash of the text), so a doc_id that repeats very often still spreads; null
@@ -301,7 +301,7 @@ def read(spark: SparkSession, manifest: DataFrame, path: str) -> DataFrame:
     return placed.select("file", "bytes", "start").repartition(files).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def token_files(docs: DataFrame, tokenizer: str | None = None, kind: str = "bit") -> DataFrame:
+def token_files(docs: DataFrame, tokenizer: str | None = None, kind: str = "byte") -> DataFrame:
     """Write all documents' ids to the shared folder and return what reading the files back gives, a row each.
 
     A null text counts as empty and has only the end id. Repeated rows are written as often as they stand there. An
