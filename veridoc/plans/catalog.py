@@ -482,11 +482,17 @@ def rrf_fusion(v):
     return graph.fused(rows(F.desc("file_size"), c("id")).union(rows(c("updated_at"), c("id")))).withColumn("score", F.round("score", 9))
 
 
-@query("""WITH a AS (SELECT concat(lang, source) AS path, @sha(body) AS hash FROM (SELECT lang, source, max(text) AS body FROM documents WHERE doc_id < 600 GROUP BY 1, 2)), b AS (SELECT concat(lang, source) AS path, @sha(body) AS hash FROM (SELECT lang, source, max(text) AS body FROM documents WHERE doc_id >= 100 GROUP BY 1, 2))
+@query("""WITH a AS (SELECT concat('doc-', CAST(doc_id AS STRING)) AS path, @sha(body) AS hash FROM (SELECT doc_id, max(text) AS body FROM documents GROUP BY 1)),
+ b AS (SELECT concat('doc-', CAST(doc_id AS STRING)) AS path, @sha(body) AS hash FROM (SELECT doc_id, max(replace(text, '  ', ' ')) AS body FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1 AND doc_id IS NOT NULL) GROUP BY 1)
+   UNION ALL SELECT concat('page-', CAST(page_id AS STRING)), @sha(body) FROM (SELECT page_id, max(html) AS body FROM pages GROUP BY 1))
 SELECT coalesce(a.path, b.path) AS path, CASE WHEN a.path IS NULL THEN 'added' WHEN b.path IS NULL THEN 'removed' WHEN a.hash = b.hash THEN 'same' ELSE 'changed' END AS change FROM a FULL JOIN b ON a.path = b.path""")
 def version_diff(v):
-    rows = lambda which: v("documents").filter(which).groupBy(F.concat("lang", "source").alias("path")).agg(F.sha2(F.max("text").cast("binary"), 256).alias("hash"))
-    return graph.version_diff(rows("doc_id < 600"), rows("doc_id >= 100"))
+    """All documents against a later version: toxic ones gone, double spaces made single, all pages added."""
+    hashed = lambda rows, kind, key, body: rows.groupBy(F.concat(F.lit(f"{kind}-"), c(key).cast("string")).alias("path")).agg(F.sha2(F.max(body).cast("binary"), 256).alias("hash"))
+    docs, toxic = v("documents"), v("labels").filter("toxic = 1").select("doc_id")
+    later = docs.join(toxic, "doc_id", "left_anti")
+    added = hashed(v("pages"), "page", "page_id", c("html"))
+    return graph.version_diff(hashed(docs, "doc", "doc_id", c("text")), hashed(later, "doc", "doc_id", F.replace(c("text"), F.lit("  "), F.lit(" "))).union(added))
 
 
 @query("SELECT CAST(l.doc_id AS STRING) AS id, round(sum(CASE WHEN l.quality = 1 AND d.n_chars > 500 THEN 1 ELSE 0 END) OVER () / sum(CASE WHEN d.n_chars > 500 THEN 1 ELSE 0 END) OVER (), 9) AS precision FROM labels l JOIN documents d ON l.doc_id = d.doc_id".replace("SELECT CAST(l.doc_id AS STRING) AS id, round(", "SELECT DISTINCT round(").replace(" / sum", "::DOUBLE / sum"))
