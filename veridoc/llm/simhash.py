@@ -82,11 +82,13 @@ def similar_texts(docs: DataFrame, shingle_words: int = 5, similarity: float = 0
     nodes = scratch.keep(signed.groupBy("key").agg(F.count("*").alias("copies"), F.first("views").alias("views")), "texts")
     placed = nodes.select("key", "copies", F.posexplode("views").alias("view", "fp")).select("key", "copies", "view", F.explode(covering.keys(F.col("fp"), 2)).alias("k")).select("key", "copies", "view", "k.table", F.col("k.key").alias("at"))
     where = ["view", "table", "at"]
-    sizes = placed.groupBy(*where).agg(
-        F.count("*").alias("n"), F.max(F.struct("copies", "key")).alias("most"), F.min(F.struct(F.xxhash64("view", "key").alias("h"), "key")).alias("low")).filter("n > 1")
-    crowded = placed.select(*where, "key").join(sizes.select(*where, "n", F.array("most.key", "low.key").alias("hubs")), where)
+    sizes = placed.groupBy(*where).agg(F.count("*").alias("n")).filter("n > 1")
+    crowded = placed.join(sizes, where)
+    # only large buckets need hubs, so their states are not carried for the many small ones
+    hubs = crowded.filter(F.col("n") > bucket).groupBy(*where).agg(
+        F.max(F.struct("copies", "key")).alias("most"), F.min(F.struct(F.xxhash64("view", "key").alias("h"), "key")).alias("low")).select(*where, F.array("most.key", "low.key").alias("hubs"))
     dealt = crowded.withColumn("part", F.pmod(F.xxhash64("key", "view"), F.ceil(F.col("n") / bucket)))
-    groups = dealt.groupBy(*where, "part").agg(F.collect_set("key").alias("m"), F.first("n").alias("n"), F.first("hubs").alias("hubs"))
+    groups = dealt.groupBy(*where, "part").agg(F.collect_set("key").alias("m"), F.first("n").alias("n")).join(hubs, where, "left")
     # the tables of a view mostly hold the same groups; each is compared once
     members = scratch.keep(
         groups.select(F.sort_array(F.when(F.col("n") > bucket, F.array_union("m", "hubs")).otherwise(F.col("m"))).alias("m")).filter(F.size("m") > 1).distinct()
