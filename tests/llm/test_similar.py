@@ -67,3 +67,23 @@ def test_large_group_of_near_copies(spark):
 
 def test_empty(spark):
     assert simhash.one_of_each(spark.createDataFrame([], "doc_id long, text string, lang string")).collect() == []
+
+
+def test_pairs_in_crowded_buckets(spark):
+    """Two thousand texts that share a long passage, and among them pairs and a chain of near copies unlike any hub."""
+    rng = np.random.default_rng(6)
+    base = [f"b184x{i}" for i in range(220)]  # its own shingles weigh most in every view, so all views are crowded
+    own = lambda i, n: [f"o{i}x{j}" for j in range(n)]
+    rows = [(i, " ".join(base + own(i, 80))) for i in range(2000)]
+    for i in range(40):
+        t = rows[i][1].split()
+        for j in (230, 250, 270):
+            t[j + int(rng.integers(0, 15))] = f"edit{i}"
+        rows.append((5000 + i, " ".join(t)))
+    t = rows[50][1].split()
+    for i in range(8):
+        t[222 + 9 * i] = f"drift{i}"
+        rows.append((6000 + i, " ".join(t)))
+    order = rng.permutation(len(rows))
+    out = simhash.one_of_each(spark.createDataFrame([rows[i] for i in order], "doc_id long, text string")).collect()
+    assert sorted(r.doc_id for r in out) == list(range(2000))

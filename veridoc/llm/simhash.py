@@ -62,10 +62,9 @@ def similar_texts(docs: DataFrame, shingle_words: int = 5, similarity: float = 0
     of several views, which weight the shingles by hashes of their own; similar texts often agree in a view within 2
     bits, and the covering tables find all pairs that do. The texts of a bucket are compared on all their shingles (by
     32-bit hashes of them); links that join what others have joined already are left out. A bucket of more than
-    ``bucket`` texts is dealt into groups of about that size, each with two texts of the whole bucket added: the one with
-    most copies and the one with the lowest hash of the view. So a group of near copies, however large, costs work in
-    proportion to its members; in such buckets two similar texts that share no group in any view, and are not similar to
-    the two added ones, are not linked.
+    ``bucket`` texts is first dealt into groups of about that size, each with two texts of the whole bucket added: the
+    one with most copies and the one with the lowest hash of the view. That joins a group of near copies, however large,
+    by work in proportion to its members. What it leaves apart is joined exactly by :func:`prefix_links`.
     """
     rows = docs.select(F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("key"), F.coalesce("text", F.lit("")).cast("binary").alias("t"))
 
@@ -90,18 +89,91 @@ def similar_texts(docs: DataFrame, shingle_words: int = 5, similarity: float = 0
     dealt = crowded.withColumn("part", F.pmod(F.xxhash64("key", "view"), F.ceil(F.col("n") / bucket)))
     groups = dealt.groupBy(*where, "part").agg(F.collect_set("key").alias("m"), F.first("n").alias("n")).join(hubs, where, "left")
     # the tables of a view mostly hold the same groups; each is compared once
+    large = F.col("n") > bucket
     members = scratch.keep(
-        groups.select(F.sort_array(F.when(F.col("n") > bucket, F.array_union("m", "hubs")).otherwise(F.col("m"))).alias("m")).filter(F.size("m") > 1).distinct()
-        .select(F.xxhash64("m").alias("group"), F.explode("m").alias("key")), "groups")
+        groups.select(F.sort_array(F.when(large, F.array_union("m", "hubs")).otherwise(F.col("m"))).alias("m"), large.alias("large")).filter(F.size("m") > 1)
+        .distinct().select(F.xxhash64("m", "large").alias("group"), F.explode("m").alias("key"), "large"), "groups")
     sets = scratch.keep(signed.join(members.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.first("set").alias("set")), "sets")
     scratch.drop(signed)
+    links = scratch.keep(compared(members, sets, similarity), "bucket-links")
+    thick = members.filter("large").select("key").distinct()
+    return links.union(prefix_links(sets.join(thick, "key", "left_semi"), links, similarity, bucket)) if thick.limit(1).count() else links
+
+
+#: Cells in which shingles are counted to put rare ones first; cells that shingles share change the order, not the result.
+CELLS = 1 << 20
+
+
+def prefix_links(sets: DataFrame, links: DataFrame, similarity: float, block: int) -> DataFrame:
+    """Links between all similar texts of ``sets`` (``key``, ``set``) that ``links`` does not join yet.
+
+    With all shingles in one order, the rarest first, two sets of the given similarity share one among the first
+    n - ceil(similarity n) + 1 of each. So the texts are listed under these, and those of a list compared. Texts that
+    ``links`` joins need no comparison: a list with one component is passed over before texts meet, and in lists of more
+    than ``block`` texts the members of a large component are dealt into blocks that are compared with the others' only.
+    Every other pair of blocks is compared, each pair as a group of its own, so no list is held by one task.
+    """
+    labels = connected(links).withColumnRenamed("node", "key")
+    texts = scratch.keep(sets.join(labels, "key", "left").select("key", F.coalesce("label", "key").alias("label"), "set"), "crowded")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(CELLS, np.int64)
+        for b in batches:
+            seen += np.bincount(b.column(0).flatten().to_numpy() & (CELLS - 1), minlength=CELLS)
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(seen[at], pa.int64())], ["cell", "n"])
+
+    counts = texts.select("set").mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    often = np.zeros(CELLS, np.int64)
+    often[counts.column(0).to_numpy()] = counts.column(1).to_numpy()
+    sent = sets.sparkSession.sparkContext.broadcast(often)
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 200):
+                part, out = b.slice(at, 200), []
+                for x in part.column(2):
+                    x = x.values.to_numpy()
+                    need = len(x) - int(np.ceil(similarity * len(x) - 1e-9)) + 1
+                    # texts without words are alike and are listed under 0
+                    out.append(x[np.lexsort((x, sent.value[x & (CELLS - 1)]))[:need]] if len(x) else np.zeros(1, np.int32))
+                row = np.repeat(np.arange(part.num_rows), [len(x) for x in out])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out), pa.int32()), part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row))], ["token", "key", "label"])
+
+    listed = scratch.keep(texts.mapInArrow(first, "token int, key string, label string"), "prefixes")
+    mixed = listed.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).filter("low <> high").select("token", "n")
+    lists = scratch.keep(listed.join(mixed, "token"), "lists")
+    scratch.drop(listed)
+    small = lists.filter(F.col("n") <= block).groupBy("token").agg(F.collect_set("key").alias("m")).select("m")
+    long = lists.filter(F.col("n") > block)
+    shares = long.groupBy("token", "label").agg(F.count("*").alias("c"))
+    rest = shares.filter(F.col("c") <= block).groupBy("token").agg(F.sum("c").alias("rest"))
+    alone = F.col("c") > block
+    dealt = scratch.keep(
+        long.join(shares, ["token", "label"]).join(rest, "token", "left").select(
+            "token", "key", F.struct(
+                F.when(alone, F.col("label")).otherwise("").alias("own"),
+                F.when(alone, F.pmod(F.xxhash64("key"), F.ceil(F.col("c") / block))).otherwise(F.pmod(F.xxhash64("label"), F.ceil(F.col("rest") / block))).alias("at")).alias("block")), "blocks")
+    each = dealt.select("token", "block").distinct()
+    pairs = each.withColumnRenamed("block", "p").join(each.withColumnRenamed("block", "q"), "token").filter("p <= q and (p.own = '' or p.own <> q.own)")
+    sides = pairs.select("token", "p", "q", F.col("p").alias("block")).union(pairs.filter("p <> q").select("token", "p", "q", F.col("q").alias("block")))
+    met = dealt.join(sides, ["token", "block"]).groupBy("token", "p", "q").agg(F.collect_set("key").alias("m")).select("m")
+    members = scratch.keep(
+        small.union(met).select(F.sort_array("m").alias("m")).filter(F.size("m") > 1).distinct().select(F.xxhash64("m").alias("group"), F.explode("m").alias("key")), "prefix-groups")
+    return compared(members, texts.select("key", "set"), similarity)
+
+
+def compared(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links that join the similar texts of each group; ``members`` has ``group``, ``key`` and ``sets`` has ``key``, ``set``."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def compared(keys: list[str], held: list[np.ndarray]) -> list[tuple[str, str]]:
+        def pairs(keys: list[str], held: list[np.ndarray]) -> list[tuple[str, str]]:
             size = np.array([len(x) for x in held])
-            words, place = np.unique(np.concatenate(held), return_inverse=True)
-            has = np.zeros((len(held), len(words)), np.float32)
-            has[np.repeat(np.arange(len(held)), size), place] = 1
+            _, place, times = np.unique(np.concatenate(held), return_inverse=True, return_counts=True)
+            # a shingle of one text alone adds nothing to what two share
+            column, owner = np.cumsum(times > 1) - 1, np.repeat(np.arange(len(held)), size)
+            has = np.zeros((len(held), int((times > 1).sum())), np.float32)
+            has[owner[times[place] > 1], column[place[times[place] > 1]]] = 1
             shared = has @ has.T
             alike = np.triu(shared >= similarity * (size[:, None] + size[None, :] - shared), 1)
             top, found = list(range(len(held))), []
@@ -122,19 +194,19 @@ def similar_texts(docs: DataFrame, shingle_words: int = 5, similarity: float = 0
         for b in batches:
             for g, key, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
                 if g != group:
-                    out += compared(keys, held) if len(keys) > 1 else []
+                    out += pairs(keys, held) if len(keys) > 1 else []
                     group, keys, held = g, [], []
                 keys.append(key)
                 held.append(x.values.to_numpy())
             if len(out) > 10_000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*out, strict=True)], ["a", "b"])
                 out = []
-        out += compared(keys, held) if len(keys) > 1 else []
+        out += pairs(keys, held) if len(keys) > 1 else []
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*out, strict=True)], ["a", "b"])
 
     grouped = members.join(sets, "key").select("group", "key", "set")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return grouped.repartition(parts, "group").sortWithinPartitions("group", "key").mapInArrow(verify, "a string, b string")
 
 
