@@ -1,3 +1,5 @@
+import textwrap
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -46,3 +48,28 @@ def test_licences_equal_sql(spark, tmp_path, rows):
 
 def test_every_sentence_has_a_needed_word():
     assert all(any(n in s for n in licences.NEEDED) for s in licences.SENTENCES.values())
+
+
+MIT = ["Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+       "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+       "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."]
+APACHE = ["Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at", "    http://www.apache.org/licenses/LICENSE-2.0",
+          "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."]
+GPL = ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+       "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU General Public License for more details.",
+       "You should have received a copy of the GNU General Public License along with this program.  If not, see <https://www.gnu.org/licenses/>."]
+BSD = ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:", "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+       "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+       "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."]
+
+
+@pytest.mark.parametrize(("mark", "end"), [("", "\n"), ("# ", "\n"), (" * ", "\r\n"), ("// ", "\n"), (";; ", "\n")])
+@pytest.mark.parametrize("width", [70, 80])
+def test_wrapped_licences(spark, mark, end, width):
+    def text(parts):
+        return "".join(f"{mark}{line}".rstrip() + end for p in [f"Copyright (c) 2020 {mark} Someone", *parts] for line in [*textwrap.wrap(p, width), ""]) + "int main() {}"
+
+    made = {"MIT": text(MIT), "Apache-2.0": text(APACHE), "BSD-3-Clause": text(BSD), "GPL-3.0-or-later": text(GPL)}
+    rows = [(i, t) for i, t in enumerate(made.values())] + [(10, f"{mark}Released under the MIT{end}{mark}License{end}{mark}All rights reserved{end}{mark}by us"), (11, f"{mark}All rights{end}{end}{mark}reserved")]
+    got = sorted((r.doc_id, r.licence, r.rule) for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(0, "MIT", "3 4 5 6"), (1, "Apache-2.0", "11 12 13 14 15"), (2, "BSD-3-Clause", "30 31 32 33"), (3, "GPL-3.0-or-later", "21 22 23 24"), (10, "MIT", "1"), (10, "Proprietary", "50")]

@@ -58,17 +58,34 @@ NEEDED = ("licens", "licenc", "copyright", "warrant", "compliance", "redistribut
 ENDS, OTHER = r"([.!?;:])[ \t\r\n\x0B\f]+", r"[^\p{L}\p{N}]+"
 
 
-def sentences(text):
-    """Normalised sentences of a text column, in order. A line end or an end mark before white space ends one."""
-    cut = F.split(F.regexp_replace(text, ENDS, "\n"), "[\r\n]+")
-    return F.transform(cut, lambda s: F.trim(F.regexp_replace(F.lower(s), OTHER, " ")))
+#: What stands before the words of a comment line; an end mark there ends nothing.
+MARKS = r"(?m)^[ \t]*[^\p{L}\p{N}\s]+[ \t]+"
+
+
+def normalised(text):
+    """The text with words apart by one space, a line feed for each line end, \\x02 for each colon or semicolon before white
+    space and \\x01 for each other end of a sentence: another end mark before white space or a line without words. Marks of
+    comment lines vanish.
+    """
+    out = F.translate(text, "\x01\x02", "  ")
+    for pattern, put in (
+        ("\r\n?", "\n"), (MARKS, ""), (ENDS.replace(";:", ""), "\x01"), (ENDS.replace(".!?", ""), "\x02"), (r"[^\p{L}\p{N}\n\x01\x02]+", " "),
+        (r" ?\n[ \n]*\n ?", "\x01"), (r" ?\n ?", "\n"), (r"[ \n\x02]*\x01[ \n\x01\x02]*", "\x01"), (r"[ \n]*\x02[ \n\x02]*", "\x02"),
+    ):
+        out = F.regexp_replace(F.lower(out) if put == " " else out, pattern, put)
+    return F.trim(out)
 
 
 def identifiers(text):
-    """The identifiers of the known sentences, in order, each with a space before and after it."""
+    """The identifiers of the known sentences, in order, each with a space before and after it.
+
+    A known sentence is a line, or several lines of a wrapped paragraph, whole: it starts and stops at the end of a line
+    or of a sentence. It may have colons and semicolons within, as the GPL's have. Of two that start at the same place the longer one counts.
+    """
     known = F.create_map(*[x for i, s in SENTENCES.items() for x in (F.lit(s), F.lit(f" {i} "))])
-    found = F.filter(F.transform(sentences(text), lambda s: F.element_at(known, s)), lambda i: i.isNotNull())
-    return F.array_join(found, "")
+    any_known = "|".join(s.replace(" ", r"[ \n\x02]") for s in sorted(SENTENCES.values(), key=len, reverse=True))
+    found = F.regexp_extract_all(normalised(text), F.lit(rf"(?<![^\n\x01\x02])(?:{any_known})(?![^\n\x01\x02])"), F.lit(0))
+    return F.array_join(F.transform(found, lambda s: F.element_at(known, F.translate(s, "\n\x02", "  "))), "")
 
 
 def scan(docs: DataFrame) -> DataFrame:
