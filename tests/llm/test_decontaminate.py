@@ -84,3 +84,19 @@ def test_multi_index_finds_all_within_the_radius():
     near = np.array([int(index.prints[i % 50]) ^ sum(1 << int(b) for b in rng.choice(64, int(rng.integers(0, 20)), replace=False)) for i in range(400)], np.uint64)
     true = {(w, i) for w in range(len(near)) for i in range(50) if int(near[w] ^ index.prints[i]).bit_count() <= d.RADIUS}
     assert index.candidates(near) == true and shingles.simhash(np.zeros(0, np.uint64)) == 0
+
+
+def test_windows_far_apart_in_bits_but_alike():
+    rng, seen = np.random.default_rng(3), 0
+    while seen < 5:
+        n = int(rng.integers(13, 60))
+        item = [f"w{x}" for x in rng.integers(0, 10**9, n)]
+        text = list(item)
+        for _ in range(int(rng.integers(1, 4))):
+            text[int(rng.integers(0, n))] = f"e{rng.integers(0, 10**9)}"
+        hashed = [shingles.hashes([w.encode() for w in t], 5) for t in (item, text)]
+        if len(np.intersect1d(*hashed)) * 1.8 < 0.8 * (n - 4) * 2 or ((shingles.simhash(hashed[0]) ^ shingles.simhash(hashed[1])) & (1 << 64) - 1).bit_count() <= 15:
+            continue
+        expected = slow(" ".join(text), [(1, " ".join(item))])
+        assert expected and [(i, round(s, 9), a, k) for i, s, a, k in d.Index([(1, " ".join(item))]).matches(" ".join(text))] == expected
+        seen += 1

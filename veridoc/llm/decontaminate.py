@@ -2,8 +2,9 @@
 
 Each benchmark item is compared with windows of its own number of words. A window's 64-bit SimHash is looked up in a
 multi-index: fingerprints are cut into four blocks of 16 bits, and each item is listed under all values that differ from
-its own block in at most three bits. Two fingerprints within 15 bits agree in some block to that degree, so no item within
-the radius is missed. What is found is verified by the similarity of the 5-word shingles, weighted by how often they
+its own block in at most five bits. Two fingerprints within 23 bits agree in some block to that degree, so no item within
+the radius is missed. At a similarity of 0.8 windows are 9 bits apart on average; none of 25,826 made ones at 0.80 to 0.83
+was over 23 (1.3 % were over 15, 0.02 % over 19). What is found is verified by the similarity of the 5-word shingles, weighted by how often they
 occur: the sum of the smaller counts over the sum of the larger ones, 0.8 or more.
 
 Only windows that share a shingle with an item of their length are fingerprinted; any other has similarity 0.
@@ -24,7 +25,7 @@ from veridoc.llm import shingles
 from veridoc.sources.tables import table
 
 SHINGLE, SIMILARITY = 5, 0.8
-BLOCKS, WITHIN = 4, 3
+BLOCKS, WITHIN = 4, 5
 RADIUS = BLOCKS * (WITHIN + 1) - 1
 #: Bytes of benchmark text that are sent to the tasks at once; a larger benchmark goes in several blocks.
 BLOCK_BYTES = 4 << 20
@@ -78,7 +79,7 @@ class Index:
             values = (own[:, None] ^ near[None, :]).ravel()
             order = np.argsort(values, kind="stable")
             start = np.searchsorted(values[order], np.arange((1 << bits) + 1, dtype=np.uint64))
-            self.lists.append((start, np.repeat(np.arange(len(own)), len(near))[order]))
+            self.lists.append((start, np.repeat(np.arange(len(own), dtype=np.int32), len(near))[order]))
 
     def candidates(self, prints: np.ndarray) -> set[tuple[int, int]]:
         """(window, item) within the radius, by the multi-index."""
