@@ -100,3 +100,19 @@ def test_windows_far_apart_in_bits_but_alike():
         expected = slow(" ".join(text), [(1, " ".join(item))])
         assert expected and [(i, round(s, 9), a, k) for i, s, a, k in d.Index([(1, " ".join(item))]).matches(" ".join(text))] == expected
         seen += 1
+
+
+def test_an_item_does_not_depend_on_the_others_of_its_block():
+    item = [f"w{i}" for i in range(20)]
+    text = " ".join(["x"] * 5 + item[:19] + ["y"] * 5)
+    long, short = (1, " ".join(item)), (2, " ".join(item[:19]))
+    expected = slow(text, [long, short])
+    assert len(expected) == 2
+    for got in (d.Index([long, short]).matches(text), d.Index([long]).matches(text) + d.Index([short]).matches(text)):
+        assert sorted(((i, round(s, 9), a, k) for i, s, a, k in got), key=str) == expected
+
+
+def test_blocks_hold_few_items(spark, monkeypatch):
+    monkeypatch.setattr(d, "BLOCK_ITEMS", 10)
+    made = list(d.blocks(spark.createDataFrame([(i, f"a b c d e f{i}") for i in range(200)], "item_id long, text string")))
+    assert sum(len(x.items) for x in made) == 200 and len(made) >= 15 and max(len(x.items) for x in made) <= 30

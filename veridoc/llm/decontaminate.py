@@ -27,8 +27,9 @@ from veridoc.sources.tables import table
 SHINGLE, SIMILARITY = 5, 0.8
 BLOCKS, WITHIN = 4, 5
 RADIUS = BLOCKS * (WITHIN + 1) - 1
-#: Bytes of benchmark text that are sent to the tasks at once; a larger benchmark goes in several blocks.
-BLOCK_BYTES = 4 << 20
+#: Bytes of benchmark text and items that are sent to the tasks at once; a larger benchmark goes in several blocks. An item
+#: has 27,540 entries of 4 bytes in the multi-index, so 1,000 of them take 110 MB.
+BLOCK_BYTES, BLOCK_ITEMS = 4 << 20, 1000
 _PLAIN = bytes(i if i >= 0x80 or chr(i).isalnum() else 32 for i in range(256))
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -128,7 +129,8 @@ class Index:
         prints = np.packbits(2 * (ones[a + n] - ones[a]) > n, axis=1, bitorder="little").view("<u8")[:, 0]
         counted: dict[int, Counter] = {}
         for window, item in sorted(self.candidates(prints)):
-            if self.width[item] != k:
+            # windows made for an item of another size do not count
+            if self.width[item] != k or min(self.size[item], len(words)) != size:
                 continue
             s = int(a[window])
             own = counted.setdefault(window, Counter(h[s : s + n].tolist()))
@@ -140,10 +142,10 @@ class Index:
 
 
 def blocks(benchmark: DataFrame) -> Iterator[Index]:
-    """Indexes of the items, each of about BLOCK_BYTES of text at most; one is on the driver at a time."""
+    """Indexes of the items, each of about BLOCK_BYTES of text and BLOCK_ITEMS items at most; one is on the driver at a time."""
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text is not null")
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = -(-total // BLOCK_BYTES)
+    total, items = rows.agg(F.sum(F.octet_length("text")), F.count("*")).first()
+    n = max(-(-(total or 0) // BLOCK_BYTES), -(-items // BLOCK_ITEMS))
     for b in range(n):
         part = rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b).toArrow()
         index = Index(sorted(zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True), key=str))
