@@ -94,3 +94,21 @@ def test_few_vectors(spark, tmp_path):
         spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/{name}/embeddings.parquet")
         got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in additive.op6_additive_ann(spark, f"{tmp_path}/{name}").collect()]
         assert got == ([(0, 1, 1, 5.0)] if name == "two" else [])
+
+
+def test_neighbours_when_a_task_has_many_rows(spark, monkeypatch):
+    """With few exact candidates the result must not fall as a task's rows grow."""
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(20_000, 64)).astype(np.float32)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, v array<float>")
+    monkeypatch.setattr(additive, "ROWS", 1000, raising=False)
+    index = additive.build(rows, 21)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1000)
+    try:
+        out = additive.search(additive.Index(index.books, index.table.coalesce(1)), rows.filter("vec_id % 600 = 0"), 20, rerank=25).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    best = {i: set(np.argsort(-(v @ v[i]), kind="stable")[:21].tolist()) - {i} for i in range(0, 20_000, 600)}
+    recall = sum(r.vec_id in best[r.query_id] for r in out) / (20 * len(best))
+    assert recall >= 0.95

@@ -21,8 +21,8 @@ from veridoc.sources.tables import table
 
 #: Fitting reads at most so many vectors. Codes: so many bytes a vector.
 SAMPLE, BOOKS, WORDS, BEAM, ROUNDS = 16_384, 16, 256, 4, 5
-#: Candidates that a query scores exactly, and queries in a block.
-RERANK, BLOCK = 400, 4096
+#: Candidates that a query scores exactly of each so many rows of a task, and queries in a block.
+RERANK, ROWS, BLOCK = 400, 20_000, 4096
 
 
 def fit(sample: np.ndarray, books: int = BOOKS, words: int = WORDS, seed: int = 0) -> np.ndarray:
@@ -135,21 +135,23 @@ def build(rows: DataFrame, keep_ids: int) -> Index | None:
 def search(index: Index, queries: DataFrame, k: int, rerank: int = RERANK, block: int = BLOCK) -> DataFrame:
     """The ``k`` entries with the largest inner product for each row of ``queries`` (``vec_id``, ``v``), but its own id.
 
-    Queries go in blocks of at most ``block`` over all entries; a block is the only thing that is broadcast. A task
-    keeps the best ``rerank`` of its entries by approximate score for each query, scores them exactly and hands on the
-    best ``k`` + 1 of them. Returns ``query_id``, ``rank``, ``vec_id``, ``score``; ties go to the smaller vec_id.
+    Queries go in blocks of about ``block`` over all entries, one after another; a block is the only thing that is
+    broadcast, and is dropped when its results are written. Of each ROWS entries or so a task keeps the best ``rerank``
+    by approximate score for each query, scores them exactly and hands on the best ``k`` + 1 of them; so the exactly
+    scored share does not fall as the rows of a task grow. Returns ``query_id``, ``rank``, ``vec_id``, ``score``; ties go to the smaller vec_id.
     """
     spark = queries.sparkSession
     blocks = max(1, -(-queries.count() // block))
     dealt = scratch.keep(queries.dropDuplicates(["vec_id"]).withColumn("_vd_block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks))), "queries")
-    found = [one_block(spark, index, dealt.filter(F.col("_vd_block") == b), k, rerank) for b in range(blocks)]
-    out = found[0]
-    for f in found[1:]:
-        out = out.union(f)
+    out = None
+    for b in range(blocks):
+        found = one_block(spark, index, dealt.filter(F.col("_vd_block") == b), k, rerank)
+        out = found if out is None else out.union(found)
     return out
 
 
 def one_block(spark: SparkSession, index: Index, queries: DataFrame, k: int, rerank: int) -> DataFrame:
+    rows_a_time = ROWS
     rows = queries.select("vec_id", "v").orderBy("vec_id").toArrow()
     ids = np.array(rows.column(0).to_pylist(), np.int64)
     q = np.array(rows.column(1).to_pylist(), np.float32).reshape(len(ids), -1)
@@ -159,9 +161,24 @@ def one_block(spark: SparkSession, index: Index, queries: DataFrame, k: int, rer
         ids, q, books = sent.value
         m = books.shape[0]
         tables = np.einsum("qd,mwd->qmw", q, books).astype(np.float32)
-        best = [(np.zeros(0, np.float32), np.zeros(0, np.int64)) for _ in ids]
+        none = np.zeros(0, np.float32), np.zeros(0, np.int64)
+        best, seen = [none for _ in ids], 0
         vectors: dict[int, tuple[bytes, list[int]]] = {}
+
+        def scored() -> Iterator[pa.RecordBatch]:
+            for i, (s, r) in enumerate(best):
+                exact = products(q[i], np.frombuffer(b"".join(vectors[x][0] for x in r.tolist()), "<f4").reshape(len(r), -1)) if len(r) else np.zeros(0)
+                # k + 1 entries hold the k best ids: only the query's own can be missing from them
+                top = np.lexsort((r, -exact))[: k + 1]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(top), ids[i]), pa.int64()), pa.array(exact[top], pa.float64()), pa.array([vectors[x][1] for x in r[top].tolist()], pa.list_(pa.int64()))],
+                    ["query_id", "score", "ids"])
+
         for b in batches:
+            if seen and seen + b.num_rows > rows_a_time:
+                yield from scored()
+                best, vectors, seen = [none for _ in ids], {}, 0
+            seen += b.num_rows
             rep = b.column(0).to_numpy(zero_copy_only=False)
             codes = np.frombuffer(b"".join(b.column(3).to_pylist()), np.uint8).reshape(len(rep), m)
             scale = b.column(4).to_numpy(zero_copy_only=False) / np.maximum(b.column(5).to_numpy(zero_copy_only=False), 1e-30)
@@ -183,20 +200,16 @@ def one_block(spark: SparkSession, index: Index, queries: DataFrame, k: int, rer
             places = {int(x): n for n, x in enumerate(rep)}
             keys, members = b.column(2), b.column(1)
             vectors = {x: vectors[x] if x in vectors else (keys[places[x]].as_py(), members[places[x]].as_py()) for x in new}
-        for i, (s, r) in enumerate(best):
-            exact = products(q[i], np.frombuffer(b"".join(vectors[x][0] for x in r.tolist()), "<f4").reshape(len(r), -1)) if len(r) else np.zeros(0)
-            # k + 1 entries hold the k best ids: only the query's own can be missing from them
-            top = np.lexsort((r, -exact))[: k + 1]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(top), ids[i]), pa.int64()), pa.array(exact[top], pa.float64()), pa.array([vectors[x][1] for x in r[top].tolist()], pa.list_(pa.int64()))],
-                ["query_id", "score", "ids"])
+        yield from scored()
 
     near = index.table.mapInArrow(scan, "query_id long, score double, ids array<long>")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.col("ids")[0])
     entries = near.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k + 1)
     each = entries.select("query_id", "score", F.explode("ids").alias("vec_id")).filter("vec_id <> query_id")
     ranked = each.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
-    return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    out = scratch.keep(ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "neighbours")
+    sent.destroy()
+    return out
 
 
 def nearest(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
