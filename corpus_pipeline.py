@@ -42,7 +42,7 @@ STAGES = [
     ("token files", token_files),
 ]
 
-#: A trained network and SimHash have no counterpart in SQL; tests hold the stages against brute force.
+#: A trained network and SimHash have no counterpart in SQL. Tests hold the later stages against brute force, each by itself.
 ORACLE_SQL = None
 
 
