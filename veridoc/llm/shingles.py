@@ -43,27 +43,20 @@ def simhash(h: np.ndarray) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<i8")[0])
 
 
-def weighted_simhashes(unique: np.ndarray, views: int, top: int = 32) -> list[int]:
+def weighted_simhashes(unique: np.ndarray, views: int) -> list[int]:
     """One fingerprint for each view of a set of hashes.
 
     A view gives each shingle a weight 1/u^2 by its own uniform hash u in (0, 1], the same in every document, so a few
-    shingles carry the sum and documents that share most shingles often agree in nearly all bits. Beyond the ``top``
-    heaviest the weights are below a thousandth of the sum and are left out.
+    shingles carry the sum and documents that share most shingles often agree in nearly all bits.
     """
     if not len(unique):
         return [0] * views
-    found = []
-    for v in range(views):
-        u = mix(unique, v + 1)
-        if len(u) > top:
-            at = np.argpartition(u, top)[:top]
-        else:
-            at = np.arange(len(u))
-        at = at[np.argsort(u[at], kind="stable")]
-        weight = ((u[at[0]] >> np.uint64(11)).astype(np.float64) + 1) / ((u[at] >> np.uint64(11)).astype(np.float64) + 1)
-        signs = np.unpackbits(np.ascontiguousarray(unique[at], "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little") * 2.0 - 1
-        found.append(int(np.packbits((weight**2) @ signs > 0, bitorder="little").view("<i8")[0]))
-    return found
+    u = np.stack([(mix(unique, v + 1) >> np.uint64(11)).astype(np.float64) + 1 for v in range(views)])
+    weight, total = (u.min(axis=1, keepdims=True) / u) ** 2, np.zeros((views, 64))
+    for at in range(0, len(unique), 4096):
+        signs = np.unpackbits(np.ascontiguousarray(unique[at : at + 4096], "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little") * 2.0 - 1
+        total += weight[:, at : at + 4096] @ signs
+    return np.packbits(total > 0, axis=1, bitorder="little").view("<i8")[:, 0].tolist()
 
 
 def mix(h: np.ndarray, salt: int) -> np.ndarray:
