@@ -46,7 +46,10 @@ ROWS = [(i, "w " * (i % 23) + "$" * (i % 4), ["b", "a", "é", None, "b", "b"][i
 ROWS += [(1000, None, "z"), (1001, "", "a"), (5, ROWS[5][1], ROWS[5][2]), (5, ROWS[5][1], ROWS[5][2]), (None, "one two", "a"), (1002, "long " * 5000, "q")]
 
 
-@pytest.mark.parametrize("rows", [ROWS, ROWS[:7], [(1, None, None)], []])
+EQUAL = [(3, "one two three", "a")] * 20 + [(None, "x y", "b")] * 31 + [(4, "other words " * 40, "c")]
+
+
+@pytest.mark.parametrize("rows", [ROWS, ROWS[:7], [(1, None, None)], [], EQUAL])
 def test_query_equals_plain_loops(spark, tmp_path, rows):
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({c: F.lit(9) for c in ("size", "target", "range")})
     df.write.parquet(f"{tmp_path}/documents.parquet")
@@ -60,3 +63,13 @@ def test_mixed_rows_are_copies_of_the_input(spark):
     assert out.columns == df.columns
     words = out.select(F.sum(mixing.size_of(F.col("text")))).first()[0]
     assert words == sum(r[4] for r in slow(ROWS))
+
+
+@pytest.mark.parametrize("rows", [EQUAL, [], [(1, None, None)], [(7, "a b", "s"), (7, "c d", "s"), (7, "e f", "s"), (8, "g " * 9, "t")]])
+def test_mixed_rows_where_rows_are_equal(spark, rows):
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({c: F.lit("x") for c in ("order", "copies", "_vd_copy")})
+    out = mixing.mixed_documents(df)
+    assert out.columns == df.columns
+    got = [(r.doc_id, r.text, r.source) for r in out.collect()]
+    assert sum(len((t or "").split()) for _, t, _ in got) == sum(r[4] for r in slow(rows)) and set(got) <= set(rows)
+    assert sorted(map(str, got)) == sorted(str((r.doc_id, r.text, r.source)) for r in mixing.mixed_documents(df.repartition(3)).collect())

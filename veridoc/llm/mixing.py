@@ -4,6 +4,10 @@ Sources share a word budget by weight, none above a multiple of its own words. A
 is taken whole once or more (complete epochs); the rest of the target is a weighted sample without replacement: each
 document gets the key -ln(u)/w for a uniform u (a hash of its doc_id) and its quality weight w, documents are taken in
 the order of their keys, and a running sum of their words tells where the rest of the target is reached.
+
+Texts do not move: what is sorted is a slim table of sources, keys and sizes, dealt by ranges that Spark cuts at its
+quantiles. Sums of the ranges tell in which one a source is cut, and a running sum within that one finds its last row.
+Whether a document is taken then depends on its own key and its source's cut only.
 """
 
 from __future__ import annotations
@@ -16,9 +20,6 @@ from veridoc.sources.tables import fresh, table
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE, MOST = 1.5, 2.0
-#: Key ranges of a source: a source's running sum is made of sums of ranges and sums within one range, so a source
-#: with a third of all rows is spread over this many groups.
-RANGES = 4096
 SYMBOLS = "!#$%&*|<>{}[]=_~^@"
 
 
@@ -64,49 +65,95 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     return placed.withColumn("target", F.when(full, cap).otherwise(F.col("weight") * level))
 
 
-def mix(docs: DataFrame, carry: list[str], weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = 0) -> DataFrame:
-    """How often the mix takes each row.
+#: What a row's place in its source's order is made of: key, then doc_id (null first), size and text for equal keys. Rows
+#: that are still equal are told apart by the slim table's ``row``.
+ORDER = "struct<key:double,known:boolean,doc_id:long,size:long,text:long>"
 
-    Returns the columns ``carry`` and ``size``, ``source_size``, ``target`` (of the row's source) and ``copies``. The
-    document at which the running sum crosses the rest of the target is taken if its middle is within it, so a source is
-    off its target by half of one document at most. Null texts have size 0; null is a source of its own, the last one.
-    Equal rows (same doc_id) have equal keys and may trade places; the counts stay the same. Reruns agree.
-    """
-    names = {c: fresh(docs, c) for c in ("source", "size", "key", "range")}
-    source, size, key, bucket = (names[c] for c in ("source", "size", "key", "range"))
+
+def keyed(docs: DataFrame, seed: int) -> tuple[DataFrame, str, str]:
+    """``docs`` with each row's size and its place in the order, and the names of these two columns."""
+    size, order = fresh(docs, "size"), fresh(docs, "order")
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
     u = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") + 1) / F.lit(2.0**52)
-    rows = docs.withColumns({source: F.col("source"), size: size_of(F.col("text")), key: -F.log(u) / quality_of(F.col("text"))})
-    rows = rows.withColumn(bucket, F.least(F.lit(RANGES - 1), F.floor((1 - F.exp(-F.col(key))) * RANGES)).cast("int"))
-    ranges = scratch.keep(rows.groupBy(F.col(source).alias("source"), F.col(bucket).alias("range")).agg(F.sum(size).alias("words")), "ranges")
-    aims = scratch.keep(targets(ranges.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, most), "targets")
+    sized = docs.withColumn(size, size_of(F.col("text")))
+    place = F.struct(-F.log(u) / quality_of(F.col("text")), F.col("doc_id").isNotNull(), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.col(size), F.xxhash64("text"))
+    return sized.withColumn(order, place.cast(ORDER)), size, order
+
+
+def cuts(slim: DataFrame, weights: tuple[float, ...], share: float, most: float) -> DataFrame:
+    """For each source of ``slim`` (``source``, ``size``, ``order``, ``row``): ``source_size``, ``target``, ``epochs``, and ``cut``
+    (``order``, ``row``), the last one that the rest of the target takes once more (null if none).
+
+    A row is taken if its middle is within the rest; that grows along the order, so the rows taken are those up to a last one.
+    """
+    dealt = scratch.keep(slim.select("source", "size", F.struct("order", "row").alias("at")).repartitionByRange("source", "at").withColumn("part", F.spark_partition_id()), "dealt")
+    parts = scratch.keep(dealt.groupBy("source", "part").agg(F.sum("size").alias("words"), F.max(F.when(F.col("size") > 0, F.col("at"))).alias("top")), "parts")
+    aims = scratch.keep(targets(parts.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, most), "targets")
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
-    before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = ranges.withColumn("before", F.coalesce(F.sum("words").over(before), F.lit(0)))
-    starts = starts.join(aims.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).select(
-        F.col("source").alias("_vd_s"), F.col("range").alias("_vd_r"), F.col("before").alias("_vd_before"),
-        F.col("source_size").alias("_vd_ss"), F.col("target").alias("_vd_t"), epochs.alias("_vd_e"))
-    running = F.sum(size).over(Window.partitionBy(source, bucket).orderBy(key, "doc_id", size).rowsBetween(Window.unboundedPreceding, 0))
-    summed = rows.select(*[F.col(c) for c in carry], source, size, bucket, running.alias("_vd_running"))
-    joined = summed.join(starts, F.col(source).eqNullSafe(F.col("_vd_s")) & (F.col(bucket) == F.col("_vd_r")))
-    rest = F.col("_vd_t") - F.col("_vd_e") * F.col("_vd_ss")
-    chosen = (F.col(size) > 0) & (F.col("_vd_before") + F.col("_vd_running") - F.col(size) / 2.0 <= rest) & (F.col("_vd_e") < most)
-    return joined.select(*carry, F.col(size).alias("_vd_size"), "_vd_ss", "_vd_t", (F.col("_vd_e") + chosen.cast("long")).alias("_vd_copies")).withColumnsRenamed(
-        {"_vd_size": "size", "_vd_ss": "source_size", "_vd_t": "target", "_vd_copies": "copies"})
-
-
-def mixed_documents(docs: DataFrame, **how) -> DataFrame:
-    """The rows of the mix themselves, with the columns of ``docs``, each row as often as it is taken."""
-    names = {c: fresh(docs, f"own_{i}") for i, c in enumerate(docs.columns)}
-    kept = docs.withColumns({n: F.col(c) for c, n in names.items()})
-    taken = mix(kept, list(names.values()), **how)
-    return taken.filter("copies > 0").select(*names.values(), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_vd_copy")).select(
-        *[F.col(n).alias(c) for c, n in names.items()])
+    aims = aims.select("source", "source_size", "target", epochs.alias("epochs"), F.when(epochs < most, F.col("target") - epochs * F.col("source_size")).alias("rest"))
+    before = F.coalesce(F.sum("words").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = parts.withColumn("before", before).join(aims.select(F.col("source").alias("s"), "rest"), F.col("source").eqNullSafe(F.col("s"))).drop("s").filter("before <= rest")
+    whole = placed.filter("before + words <= rest").groupBy("source").agg(F.max("top").alias("cut"))
+    crossed = placed.filter("before + words > rest").select(F.col("source").alias("s"), F.col("part").alias("p"), "before", "rest")
+    near = dealt.join(crossed, F.col("source").eqNullSafe(F.col("s")) & (F.col("part") == F.col("p")))
+    running = F.sum("size").over(Window.partitionBy("source", "part").orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
+    inside = near.withColumn("running", running).filter(F.col("before") + F.col("running") - F.col("size") / 2.0 <= F.col("rest")).filter("size > 0")
+    last = whole.union(inside.groupBy("source").agg(F.max("at").alias("cut"))).groupBy(F.col("source").alias("s")).agg(F.max("cut").alias("cut"))
+    return aims.join(last, F.col("source").eqNullSafe(F.col("s")), "left").select("source", "source_size", "target", "epochs", "cut")
+
+
+def beside(rows: DataFrame, source: str, found: DataFrame):
+    """``rows`` with what is known of their sources, and a function from the names in ``found`` to its columns there.
+    Spark sends the few cuts to all tasks if they are small, and sorts both sides otherwise."""
+    names = {x: fresh(rows, f"cut_{x}") for x in found.columns}
+    joined = rows.join(found.withColumnsRenamed(names), F.col(source).eqNullSafe(F.col(names["source"])))
+    return joined, lambda x: F.col(names[x])
+
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = 0) -> DataFrame:
+    """How much the mix takes of each row: ``doc_id``, ``size``, ``source_size``, ``target`` (of the row's source), ``copies``.
+
+    A source is off its target by half of one document at most. Null texts have size 0; null is a source of its own, the
+    last one. Rows with the same doc_id draw the same number, and are ordered by size and a hash of the text, so rows that
+    trade places are equal and reruns agree. An empty table gives an empty result; other columns are ignored, and a very
+    long text is one number like any other.
+    """
+    rows, size, order = keyed(docs.select("doc_id", "text", "source"), seed)
+    slim = scratch.keep(rows.select("source", F.col(size).alias("size"), F.col(order).alias("order"), F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row")), "slim")
+    out, of = beside(slim, "source", scratch.keep(cuts(slim, weights, share, most), "cuts"))
+    more = (F.col("size") > 0) & F.coalesce(F.struct("order", "row") <= of("cut"), F.lit(False))
+    return out.select("doc_id", "size", of("source_size").alias("source_size"), of("target").alias("target"), (of("epochs") + more.cast("long")).alias("copies"))
+
+
+def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = 0) -> DataFrame:
+    """The rows of the mix themselves, with the columns of ``docs``, each row as often as :func:`mix` takes it.
+
+    Sizes and keys are computed once for the slim table and once more where a row is decided on; that is cheaper than to
+    send the texts along. Where a source's last row has equals that are not all taken, these rows are grouped and counted,
+    so they meet as one row a task. Nulls, repeated rows, empty tables and columns of other names are as in :func:`mix`.
+    """
+    rows, size, order = keyed(docs, seed)
+    slim = scratch.keep(rows.select("source", F.col(size).alias("size"), F.col(order).alias("order"), F.monotonically_increasing_id().alias("row")), "slim")
+    found = scratch.keep(cuts(slim, weights, share, most), "cuts")
+    at_cut, of = beside(slim, "source", found)
+    equal = at_cut.filter(F.col("order") == of("cut")["order"]).groupBy(F.col("source").alias("s")).agg(F.count_if(F.col("row") <= of("cut")["row"]).alias("times"), F.count("*").alias("equal"))
+    found = scratch.keep(found.join(equal, F.col("source").eqNullSafe(F.col("s")), "left").drop("s"), "cuts")
+    source, copy, n = (fresh(docs, x) for x in ("source", "copy", "n"))
+    known, of = beside(rows.withColumn(source, F.col("source")), source, found)
+    at, last, all_equal = F.col(order), of("cut")["order"], of("times") == of("equal")
+    copies = of("epochs") + F.coalesce((F.col(size) > 0) & ((at < last) | ((at == last) & all_equal)), F.lit(False)).cast("int")
+    repeat = lambda rows: rows.filter(F.col(copy) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copy).cast("int")))).select(*docs.columns)
+    out = repeat(known.withColumn(copy, copies))
+    if not found.filter("times < equal").limit(1).count():
+        return out
+    some = known.filter((at == last) & ~all_equal).groupBy(*docs.columns, source, of("times").alias(copy)).agg(F.count("*").alias(n))
+    before = F.coalesce(F.sum(n).over(Window.partitionBy(source).orderBy(*docs.columns).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return out.union(repeat(some.withColumn(copy, F.least(F.col(n), F.col(copy) - before))))
 
 
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the mix takes of each document."""
-    mixed = mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), ["doc_id"])
+    mixed = mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
