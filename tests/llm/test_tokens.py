@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -17,8 +18,8 @@ def test_pieces_give_the_ids_of_whole_texts():
     whole = Tokenizer.from_file(PATH)
     rng = np.random.default_rng(5)
     made = ["".join(rng.choice(list("ab'!1 \n\té　"), rng.integers(0, 40))) for _ in range(400)]
-    for capacity in (300_000, 3):
-        got = tokens.Encoder(PATH, capacity).encode(HARD + made)
+    for capacity in (96 << 20, 3):
+        got = tokens.Encoder(PATH, capacity).encode(pa.array(HARD + made))
         assert [np.frombuffer(g, "<u4").tolist() for g in got] == [whole.encode(t, add_special_tokens=False).ids for t in HARD + made]
 
 
@@ -61,3 +62,18 @@ def test_query_equals_plain_encoding(spark, tmp_path):
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert tokens.op4_token_planes(spark, str(tmp_path)).collect() == []
+
+
+def test_what_is_kept_is_bounded_in_bytes():
+    rng = np.random.default_rng(3)
+    encoder, whole = tokens.Encoder(PATH, 1 << 20), Tokenizer.from_file(PATH)
+    for _ in range(4):
+        texts = ["".join(map(chr, rng.integers(0x4E00, 0x9000, 3000))) for _ in range(20)] + [" ".join(f"w{x}" for x in rng.integers(0, 1 << 40, 3000)) for _ in range(20)]
+        got = encoder.encode(pa.array(texts))
+        assert [np.frombuffer(g, "<u4").tolist() for g in got[::7]] == [whole.encode(t, add_special_tokens=False).ids for t in texts[::7]]
+        assert sum(200 + 4 * len(p) + len(i) for p, i in encoder.known.items()) <= 1 << 20 and max(map(len, encoder.known)) <= tokens.LONGEST
+
+
+def test_slices_by_bytes():
+    batch = pa.RecordBatch.from_arrays([pa.array(["x" * n for n in (0, 5, 5, 30, 1, 1)])], ["t"])
+    assert [s.num_rows for s in tokens.light(batch, 0, 10)] == [3, 1, 2]

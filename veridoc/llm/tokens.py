@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import io
 import itertools
-import re
 import struct
 import uuid
 import zlib
@@ -18,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import zstandard
 from pyspark import TaskContext
@@ -30,29 +30,25 @@ from veridoc.sources.tables import table
 MAGIC = b"VDPLANE1"
 TAIL = struct.Struct("<qqqq8s")
 END_ID = 0
-_LOOSE = re.compile(r"^ | \s|\s | $")
-#: A cheap test first: white space beyond these five, or one of the five beside a space.
-_RARE = [chr(c) for c in (*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
-_COMMON = "\n\t\r\x0b\x0c"
-
-
-def loose(text: str) -> bool:
-    """Whether a space stands beside other white space or at an end, so that not every space is a place to cut."""
-    if text[:1] == " " or text[-1:] == " " or "  " in text or any(c in text and (" " + c in text or c + " " in text) for c in _COMMON):
-        return True
-    rare = _RARE[:4] if text.isascii() else _RARE
-    return any(c in text for c in rare) and bool(_LOOSE.search(text))
+#: White space beside a space, or a space at an end: there not every space is a place to cut. White space as in Unicode.
+_WHITE = "\\t-\\r\\x1c-\\x20\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
+LOOSE = f"^ | [{_WHITE}]|[{_WHITE}] | $"
+#: Longer pieces are not kept: each kept one is then a few hundred bytes at most.
+LONGEST = 64
 
 
 class Encoder:
     """Ids of texts by a ``tokenizers`` file, as little-endian uint32 bytes.
 
     A text may be cut before a single space between two non-spaces without a change to its ids, for this kind of
-    byte-level pattern ends a token there. So the library encodes each distinct piece once, and a bounded dictionary
-    keeps the results; when full, all but the first third go. Around other white space pieces are not cut.
+    byte-level pattern ends a token there. So the library encodes each distinct piece once: Arrow cuts the texts of a
+    batch and numbers their pieces, only the different ones are looked up in a dictionary, and their ids are put together
+    by numpy. Around other white space pieces are not cut. What is kept is bounded in bytes; when it is full, all but the
+    pieces met first, which are the frequent ones, are forgotten. Pieces of over LONGEST characters, such as texts without
+    spaces, are encoded where they stand and never kept.
     """
 
-    def __init__(self, path: str, capacity: int = 450_000):
+    def __init__(self, path: str, capacity: int = 192 << 20):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.capacity = Tokenizer.from_file(path), capacity
@@ -60,38 +56,38 @@ class Encoder:
             self.tokenizer.model._resize_cache(0)
         self.mark = "<|endoftext|>"
         self.mark_id = self.tokenizer.token_to_id(self.mark)
-        self.after: dict[str, bytes] = {}  # pieces that follow a space
-        self.first: dict[str, bytes] = {}
-
-    def _learn(self, known: dict[str, bytes], pieces: set[str], prefix: str) -> None:
-        """Encodes pieces many at a time, with a special token between them: the library encodes what stands between
-        special tokens by itself, and the token's id tells the pieces apart again."""
-        for odd in [p for p in pieces if self.mark in p]:
-            known[odd] = np.array(self.tokenizer.encode(prefix + odd, add_special_tokens=False).ids, "<u4").tobytes()
+        self.known: dict[str, bytes] = {}  # a piece as it stands in a text, with the space before it
+        self.held = 0
+
+    def _learned(self, pieces: list[str]) -> dict[str, bytes]:
+        """Ids of pieces. Those with the same first character go many at a time, with a special token between them: the
+        library encodes what stands between special tokens by itself, and the token's id tells them apart again."""
+        odd = [p for p in pieces if self.mark in p or not p]
+        found = {p: np.array(self.tokenizer.encode(p, add_special_tokens=False).ids, "<u4").tobytes() for p in odd}
         order = [p for p in pieces if p and self.mark not in p]
-        if "" in pieces:
-            known[""] = np.array(self.tokenizer.encode(prefix, add_special_tokens=False).ids, "<u4").tobytes()
-        between = self.mark + prefix
         some = [order[a : a + 500] for a in range(0, len(order), 500)]
-        for names, e in zip(some, self.tokenizer.encode_batch_fast([prefix + between.join(x) for x in some], add_special_tokens=False), strict=True):
+        for names, e in zip(some, self.tokenizer.encode_batch_fast([self.mark.join(x) for x in some], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, "<u4")
             data, at = ids.tobytes(), 0
             for name, end in zip(names, [*np.flatnonzero(ids == self.mark_id).tolist(), len(ids)], strict=True):
-                known[name] = data[4 * at : 4 * end]
+                found[name] = data[4 * at : 4 * end]
                 at = end + 1
-
-    def _shrink(self, known: dict[str, bytes]) -> None:
-        """The pieces that were met first, which are the frequent ones, stay."""
-        first = list(itertools.islice(known.items(), self.capacity // 3))
-        known.clear()
-        known.update(first)
+        return found
+
+    def _keep(self, found: dict[str, bytes]) -> None:
+        cost = lambda p, i: 200 + 4 * len(p) + len(i)
+        if self.held > 0.9 * self.capacity:
+            self.known = dict(itertools.islice(self.known.items(), len(self.known) // 3))
+            self.held = sum(itertools.starmap(cost, self.known.items()))
+        for piece, ids in found.items():
+            if len(piece) <= LONGEST and self.held + cost(piece, ids) <= self.capacity:
+                self.known[piece] = ids
+                self.held += cost(piece, ids)
 
     @staticmethod
     def cut(text: str) -> list[str]:
-        """The pieces, each but the first without the space before it."""
+        """The pieces of any text, each but the first without the space before it."""
         parts = text.split(" ")
-        if not loose(text):
-            return parts
         out = parts[:1]
         for p in parts[1:]:
             if p and out[-1] and not out[-1][-1].isspace() and not p[0].isspace():
@@ -100,22 +96,45 @@ class Encoder:
                 out[-1] += " " + p
         return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self.cut(t) for t in texts]
-        out = []
-        for at in range(0, len(cut), 256):
-            some = cut[at : at + 256]
-            for known, a, b, prefix in ((self.first, 0, 1, ""), (self.after, 1, None, " ")):
-                new = lambda: set().union(*(itertools.filterfalse(known.__contains__, itertools.islice(c, a, b)) for c in some))  # noqa: B023, E731
-                missing = new()
-                if len(known) + len(missing) > self.capacity:
-                    self._shrink(known)
-                    missing = new()
-                if missing:
-                    self._learn(known, missing, prefix)
-            first, after = self.first, self.after
-            out += [first[c[0]] + b"".join(map(after.__getitem__, c[1:])) for c in some]
-        return out
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Ids of each text of an Arrow array of strings without nulls."""
+        if not len(texts):
+            return []
+        lists = pc.split_pattern(texts, " ")
+        loose = np.flatnonzero(pc.match_substring_regex(texts, LOOSE).to_numpy(zero_copy_only=False))
+        if len(loose):
+            other = pa.array([self.cut(t) for t in texts.take(pa.array(loose)).to_pylist()], lists.type)
+            order = np.arange(len(texts))
+            order[loose] = len(texts) + np.arange(len(loose))
+            lists = pa.concat_arrays([lists, other]).take(pa.array(order))
+        offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        numbered = pc.dictionary_encode(lists.flatten())
+        code, names = numbered.indices.to_numpy(), numbered.dictionary.to_pylist()
+        # a text's first piece has no space before it, and may be another piece's name
+        first = np.zeros(len(code), bool)
+        first[offsets[:-1]] = True
+        heads, place = np.unique(code[first], return_inverse=True)
+        row = code.astype(np.int64)
+        row[first] = len(names) + place
+        pieces = [" " + p for p in names] + [names[c] for c in heads.tolist()]
+        used = np.zeros(len(pieces), bool)
+        used[row] = True
+        get, missing = self.known.get, []
+        ids = [get(p) if u else b"" for p, u in zip(pieces, used.tolist(), strict=True)]
+        missing = [n for n, i in enumerate(ids) if i is None]
+        if missing:
+            found = self._learned(list({pieces[n] for n in missing}))
+            for n in missing:
+                ids[n] = found[pieces[n]]
+            self._keep(found)
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        start = np.cumsum(size) - size
+        count = size[row]
+        ends = np.cumsum(count)
+        out = flat[np.repeat(start[row] - ends + count, count) + np.arange(ends[-1])]
+        last = ends[offsets[1:] - 1]
+        return [out[a:b].tobytes() for a, b in zip([0, *last[:-1].tolist()], last.tolist(), strict=True)]
 
 
 def to_planes(ids: np.ndarray, kind: str) -> list[bytes]:
@@ -253,9 +272,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, kind: str = "byte", block:
             if b.num_rows and writer is None:
                 out = fs.open_output_stream(made)
                 writer, encoder = Writer(out, kind, block), encoder_for(tokenizer)
-            for at in range(0, b.num_rows, 256):
-                some = b.slice(at, 256)
-                for doc_id, ids in zip(some.column(0).to_pylist(), encoder.encode(some.column(1).to_pylist()), strict=True):
+            for some in light(b, 1):
+                for doc_id, ids in zip(some.column(0).to_pylist(), encoder.encode(some.column(1)), strict=True):
                     writer.add(doc_id, ids + struct.pack("<I", END_ID))
         if writer is not None:
             writer.close()
@@ -268,6 +286,16 @@ def write(docs: DataFrame, path: str, tokenizer: str, kind: str = "byte", block:
     return scratch.keep(files.mapInArrow(run, "file string, part long, bytes long, docs long, ids long"), "tokens-manifest")
 
 
+def light(batch: pa.RecordBatch, column: int, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch whose strings in ``column`` have about ``most`` bytes, or that are one row."""
+    ends = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        n = max(1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")) - at)
+        yield batch.slice(at, n)
+        at += n
+
+
 _encoders: dict[str, Encoder] = {}
 
 
@@ -304,8 +332,9 @@ def read(spark: SparkSession, manifest: DataFrame, path: str) -> DataFrame:
 def token_files(docs: DataFrame, tokenizer: str | None = None, kind: str = "byte") -> DataFrame:
     """Write all documents' ids to the shared folder and return what reading the files back gives, a row each.
 
-    A null text counts as empty and has only the end id. Repeated rows are written as often as they stand there. An
-    empty table writes no file. Columns other than ``doc_id`` and ``text`` are ignored.
+    A null text counts as empty and has only the end id. Repeated rows are written as often as they stand there; rows with
+    equal doc_ids stand in the order of a hash of their texts. An empty table writes no file. A very long text is encoded
+    by itself, and its ids are in memory once. Columns other than ``doc_id`` and ``text`` are ignored.
     """
     spark = docs.sparkSession
     if tokenizer is None:
