@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from veridoc.llm import covering, shingles
 from veridoc.llm.components import connected
+from veridoc.llm.joins import light
 from veridoc.sources import scratch
 from veridoc.sources.tables import fresh, table
 
@@ -120,8 +121,8 @@ def similar_texts(docs: DataFrame, shingle_words: int = 5, similarity: float = 0
     placed = texts.select("key", F.explode(buckets).alias("bucket"))
     shared = placed.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
     crowded = scratch.keep(placed.join(shared, "bucket").join(texts.drop("views"), "key"), "crowded")
-    sets = scratch.keep(
-        signed.filter("set is not null").select("key", "set").join(crowded.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.first("set").alias("set")), "sets")
+    members = scratch.keep(crowded.select("key").distinct(), "members")
+    sets = scratch.keep(signed.filter("set is not null").select("key", "set").join(light(members), "key", "left_semi").groupBy("key").agg(F.first("set").alias("set")), "sets")
     scratch.drop(signed)
 
     def possible(a: str, b: str):
@@ -174,7 +175,7 @@ def compared(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """
     counts = pairs.groupBy("b").agg(F.count("*").alias("n"))
     dealt = scratch.keep(pairs.join(counts, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.ceil(F.col("n") / DEALT)).alias("part")), "dealt")
-    rows = dealt.select("b", "part", F.lit(1).alias("place"), F.col("a").alias("key")).union(dealt.select("b", "part", F.lit(0), "b").distinct())
+    rows = scratch.keep(dealt.select("b", "part", F.lit(1).alias("place"), F.col("a").alias("key")).union(dealt.select("b", "part", F.lit(0), "b").distinct()), "rows")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub, held = None, np.zeros(0, np.int32)
@@ -191,7 +192,7 @@ def compared(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in (zip(*found, strict=True) if found else ((), ()))], ["a", "b"])
 
     parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    grouped = rows.join(sets, "key").repartition(parts, "b", "part").sortWithinPartitions("b", "part", "place")
+    grouped = sets.join(light(rows), "key").repartition(parts, "b", "part").sortWithinPartitions("b", "part", "place")
     return grouped.select("b", "place", "key", "set").mapInArrow(verify, "a binary, b binary")
 
 
@@ -213,7 +214,7 @@ def prefix_pairs(texts: DataFrame, sets: DataFrame, similarity: float) -> DataFr
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(seen[at], pa.int64())], ["cell", "n"])
 
-    spark, named = sets.sparkSession, scratch.keep(texts.join(sets, "key"), "prefix-sets")
+    spark, named = sets.sparkSession, scratch.keep(sets.join(light(scratch.keep(texts, "thick")), "key"), "prefix-sets")
     counts = named.select("set").mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     often = np.zeros(CELLS, np.int64)
     often[counts.column(0).to_numpy()] = counts.column(1).to_numpy()
@@ -301,9 +302,9 @@ def one_of_each(docs: DataFrame, **how) -> DataFrame:
     named = texts.join(labels, "node", "left").select("node", "least", "n", F.coalesce("label", "node").alias("label"))
     first = named.groupBy("label").agg(F.min("least").alias("first"), F.sum("n").alias("rows"))
     # only texts whose rows are not all kept are looked up: the others need no shuffle of their text
-    fate = named.join(first, "label").filter("rows > 1").select(F.col("node").alias("_vd_node"), (F.col("first.node") == F.col("node")).alias("_vd_kept"), F.col("first.doc_id").alias("_vd_first"))
+    fate = scratch.keep(named.join(first, "label").filter("rows > 1").select(F.col("node").alias("_vd_node"), (F.col("first.node") == F.col("node")).alias("_vd_kept"), F.col("first.doc_id").alias("_vd_first")), "fate")
     at = fresh(docs, "digest")
-    joined = docs.withColumn(at, digest()).join(scratch.keep(fate, "fate"), F.col(at) == F.col("_vd_node"), "left")
+    joined = docs.withColumn(at, digest()).join(light(fate), F.col(at) == F.col("_vd_node"), "left")
     alone = joined.filter("_vd_node is null").select(*docs.columns)
     first_rows = joined.filter(F.col("_vd_kept") & F.col("doc_id").eqNullSafe(F.col("_vd_first")))
     return alone.union(first_rows.dropDuplicates([at]).select(*docs.columns))
