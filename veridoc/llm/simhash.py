@@ -258,7 +258,7 @@ def prefix_pairs(texts: DataFrame, sets: DataFrame, similarity: float) -> DataFr
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flushed(group: list[tuple]) -> pa.RecordBatch:
             side, keys, labels, fp, size, place = zip(*group, strict=True)
-            side, keys, fp, size = np.array(side), np.array(keys, object), np.array(fp, np.int64), np.array(size, np.float64)
+            side, keys, fp, size = np.array(side), np.array(keys, object), np.array(fp, np.int64).view(np.uint64), np.array(size, np.float64)
             after, label = size - np.array(place), np.unique(np.array(labels, object), return_inverse=True)[1]
             out: list[tuple[np.ndarray, np.ndarray]] = []
             two = side.any()
