@@ -268,8 +268,9 @@ def prefix_pairs(texts: DataFrame, sets: DataFrame, similarity: float) -> DataFr
                 ok &= np.minimum(after[y], after[x]) * (1 + similarity) >= similarity * (size[y] + size[x]) - 1e-9
                 y = y[ok]
                 if len(y):
-                    out.append((np.repeat(keys[x], len(y)), keys[y]))
-            a, b = (np.concatenate(c) for c in zip(*out, strict=True)) if out else ((), ())
+                    out.append((np.repeat(x, len(y)), y))
+            # by number: numpy's own strings would lose a zero byte at the end of a digest
+            a, b = (keys[np.concatenate(c)] for c in zip(*out, strict=True)) if out else ((), ())
             return pa.RecordBatch.from_arrays([pa.array([min(x, y) for x, y in zip(a, b, strict=True)], pa.binary()), pa.array([max(x, y) for x, y in zip(a, b, strict=True)], pa.binary())], ["a", "b"])
 
         now, group = None, []
