@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from veridoc.functions import text
-from veridoc.operators import graph, ingest, listing, store
+from veridoc.operators import graph, ingest, listing
 from veridoc.plans import catalog
 from veridoc.streaming import events
 
@@ -44,7 +44,9 @@ def test_invalidation(spark):
     edges = spark.createDataFrame([("ab", "a", "b", "confirmed"), ("bd", "b", "d", "suggested"), ("cd", "c", "d", "confirmed"), ("bb", "b", "b", "confirmed")], "id string, source_node_id string, target_node_id string, status string")
     proof = spark.createDataFrame([("1", "bd"), ("2", "bd"), ("1", "bb")], "source_document_id string, edge_id string")
     docs = spark.createDataFrame([("1", "deleted"), ("2", "active")], "id string, status string")
-    n, e = graph.invalidated(nodes, edges, proof, docs, docs.filter("id = '1'"))
+    then, now = F.timestamp_seconds(F.lit(0)), F.timestamp_seconds(F.lit(9))
+    n, e = graph.invalidated(nodes.withColumn("updated_at", then), edges.withColumn("updated_at", then), proof, docs, docs.filter("id = '1'"), now)
+    assert {r.id for r in n.filter(F.col("updated_at") == now).collect()} == {"a", "b"} and {r.id for r in e.filter(F.col("updated_at") == now).collect()} == {"ab", "bb"}
     assert {r.id: (r.status, r.source_ids) for r in n.collect()} == {"a": ("stale", []), "b": ("active", ["2"]), "c": ("active", []), "d": ("active", ["2"])}
     assert {r.id: r.status for r in e.collect()} == {"ab": "stale", "bd": "suggested", "cd": "confirmed", "bb": "stale"}
 
@@ -52,21 +54,13 @@ def test_invalidation(spark):
 def test_stream_and_batch_states_agree(spark, tmp_path):
     rows = [("r1", "chunk_started", 1), ("r1", "completed", 4), ("r1", "error", 9), ("r2", "delta", 2), ("r3", "error", 3)]
     df = spark.createDataFrame(rows, "run_id string, event string, seq long")
-    df.repartition(3).write.parquet(f"{tmp_path}/in")
-    q = events.stream_states(spark, f"{tmp_path}/in", "run_id string, event string, seq long", f"{tmp_path}/state", "run_states_test")
-    q.awaitTermination(120)
-    got = sorted(tuple(r) for r in spark.table("run_states_test").collect())
+    for part in (df.filter("seq < 4"), df.filter("seq >= 4")):  # the second query goes on where the first stopped
+        part.repartition(2).write.mode("append").parquet(f"{tmp_path}/in")
+        events.stream_states(spark, f"{tmp_path}/in", "run_id string, event string, seq long", f"{tmp_path}/state", f"{tmp_path}/out").awaitTermination(120)
+    got = sorted(tuple(r) for r in events.latest_states(spark, f"{tmp_path}/out").collect())
     assert got == sorted(tuple(r) for r in events.run_states(df).collect())
     assert {r[0]: r[1] for r in got} == {"r1": "completed", "r2": "processing", "r3": "failed"}
 
 
-def test_published_versions(spark, tmp_path):
-    root = f"file://{tmp_path}/store"
-    assert store.current(spark, root, "nodes") is None
-    store.publish(root, {"nodes": spark.range(3)})
-    store.publish(root, {"nodes": store.current(spark, root, "nodes").filter("id > 0")})
-    assert store.current(spark, root, "nodes").count() == 2
-
-
 def test_every_query_has_columns_of_its_own_names():
     assert len(catalog.QUERIES) >= 60 and set(catalog.SQL) <= set(catalog.QUERIES)

@@ -81,3 +81,36 @@ def uuid3(prefix: str, *parts: Column) -> Column:
 def cosine(x: Column, y: Column) -> Column:
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: p.cast("double") * q), F.lit(0.0), lambda s, v: s + v)
     return dot(x, y) / F.sqrt(dot(x, x) * dot(y, y))
+
+
+def pair(a: Column, b: Column) -> tuple[Column, Column]:
+    """Both ends in one order, so that a pair is the same in either direction."""
+    return F.least(a, b), F.greatest(a, b)
+
+
+def random_id() -> Column:
+    """A new id for each row; never the same twice, so nothing that is compared rests on it."""
+    return F.uuid()
+
+
+def appended(values: Column, x: Column) -> Column:
+    """The array with the value at its end, unless it has it."""
+    return F.when(F.array_contains(values, x), values).otherwise(F.array_append(values, x))
+
+
+def to_json_list(values: Column) -> Column:
+    return F.coalesce(F.to_json(values), F.lit("[]"))
+
+
+def from_json_list(c: Column) -> Column:
+    """The texts of a JSON array; an empty array for null, blank or anything that is none."""
+    return F.coalesce(F.from_json(c, "array<string>"), F.array().cast("array<string>"))
+
+
+def iso(c: Column) -> Column:
+    """A timestamp as ISO text in UTC with milliseconds."""
+    return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+
+
+def from_iso(c: Column) -> Column:
+    return F.try_to_timestamp(c)

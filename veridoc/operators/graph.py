@@ -9,14 +9,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veridoc.functions import text
+from veridoc.sources import scratch
 
 
 def node_id(space: Column, key: Column) -> Column:
     return text.uuid3("node", space, key)
 
 
-def edge_id(space: Column, source: Column, target: Column, relation: Column) -> Column:
-    return text.uuid3("edge", space, source, target, relation)
+def edge_id(space: Column, source: Column, relation: Column, target: Column) -> Column:
+    return text.uuid3("edge", space, source, relation, target)
 
 
 def first_entities(entities: DataFrame) -> DataFrame:
@@ -28,15 +29,18 @@ def first_entities(entities: DataFrame) -> DataFrame:
 
 
 def node_upsert(nodes: DataFrame, entities: DataFrame, now: Column) -> DataFrame:
-    """Nodes after the entities. New ones are active; known ones keep id, type, label and creation, gain sources, get a
-    summary where theirs is blank, are active again if stale, and are newer only if sources or status changed."""
+    """Nodes after the entities. New ones are active; known ones keep id, type, label and creation, gain sources, get the
+    entity's summary where theirs is blank, and are newer only if sources or status changed. Of the known ones only stale
+    ones become active; conflicts and orphans stay what they are."""
     found = first_entities(entities).select("space_id", "normalized_key", "type", F.col("name").alias("_name"), F.col("summary").alias("_summary"), F.col("sources").alias("_new"))
     j = nodes.join(found, ["space_id", "normalized_key"], "full")
     new, seen = F.col("id").isNull(), F.col("_new").isNotNull()
     sources = F.when(new, F.col("_new")).when(seen, F.concat("source_ids", F.array_except("_new", "source_ids"))).otherwise(F.col("source_ids"))
-    status = F.when(new | seen, "active").otherwise(F.col("status"))
-    summary = F.when(new | seen, text.or_default(F.col("summary"), text.or_default(F.col("_summary"), F.coalesce("label", text.strip(F.col("_name")))))).otherwise(F.col("summary"))
-    moved = seen & ~new & ((F.size(sources) != F.size("source_ids")) | (F.col("status") != "active"))
+    revived = seen & (F.col("status") == "stale")
+    status = F.when(new | revived, "active").otherwise(F.col("status"))
+    fill = seen & text.is_blank(F.col("summary")) & F.col("_summary").isNotNull()
+    summary = F.when(new, text.or_default(F.col("_summary"), text.strip(F.col("_name")))).when(fill, text.strip(F.col("_summary"))).otherwise(F.col("summary"))
+    moved = seen & ~new & ((F.size(sources) != F.size("source_ids")) | revived)
     return j.select(
         F.coalesce("id", node_id(F.col("space_id"), F.col("normalized_key"))).alias("id"), "space_id", F.coalesce("node_type", F.lower("type")).alias("node_type"),
         F.coalesce("label", text.strip(F.col("_name"))).alias("label"), summary.alias("summary"), status.alias("status"), "normalized_key", sources.alias("source_ids"),
@@ -44,11 +48,12 @@ def node_upsert(nodes: DataFrame, entities: DataFrame, now: Column) -> DataFrame
 
 
 def resolved(relations: DataFrame, entities: DataFrame) -> DataFrame:
-    """Relations with the ids of their nodes and edge; candidate ids count within their chunk, a missing end drops the relation."""
-    ends = entities.select("chunk_id", "candidate_id", node_id(F.col("space_id"), text.normalized_key(F.col("type"), F.col("name"))).alias("node"))
+    """Relations with the ids of their nodes and edge; candidate ids count within their chunk, the
+    last entity of several with one id counts, and a missing end drops the relation."""
+    ends = entities.groupBy("chunk_id", "candidate_id").agg(F.max_by(node_id(F.col("space_id"), text.normalized_key(F.col("type"), F.col("name"))), "pos").alias("node"))
     j = relations.join(ends.withColumnsRenamed({"candidate_id": "source_id", "node": "source_node_id"}), ["chunk_id", "source_id"])
     j = j.join(ends.withColumnsRenamed({"candidate_id": "target_id", "node": "target_node_id"}), ["chunk_id", "target_id"])
-    return j.withColumn("edge_id", edge_id(F.col("space_id"), F.col("source_node_id"), F.col("target_node_id"), F.col("relation_type")))
+    return j.withColumn("edge_id", edge_id(F.col("space_id"), F.col("source_node_id"), F.col("relation_type"), F.col("target_node_id")))
 
 
 def edge_upsert(edges: DataFrame, found: DataFrame, now: Column) -> DataFrame:
@@ -60,10 +65,11 @@ def edge_upsert(edges: DataFrame, found: DataFrame, now: Column) -> DataFrame:
 
 
 def evidence_upsert(known: DataFrame, found: DataFrame, evidences: DataFrame, now: Column) -> DataFrame:
-    """Evidence after resolved relations: one row for an edge, document, section and quote."""
+    """Evidence after resolved relations: one row for an edge, document, section and quote. The first evidence of an id in a
+    chunk counts, and only if it is of the relation's document."""
     each = found.select("space_id", "chunk_id", "edge_id", "document_id", F.explode("evidence_ids").alias("evidence_id"))
-    quotes = evidences.groupBy("chunk_id", "evidence_id").agg(F.min_by(F.struct("section_path", "quote"), "pos").alias("q"))
-    j = each.join(quotes, ["chunk_id", "evidence_id"]).select("space_id", "edge_id", F.col("document_id").alias("source_document_id"), F.col("q.section_path").alias("locator"), F.col("q.quote").alias("quote"))
+    quotes = evidences.groupBy("chunk_id", "evidence_id").agg(F.min_by(F.struct("document_id", "section_path", "quote"), "pos").alias("q"))
+    j = each.join(quotes, ["chunk_id", "evidence_id"]).filter(F.col("q.document_id") == F.col("document_id")).select("space_id", "edge_id", F.col("document_id").alias("source_document_id"), F.col("q.section_path").alias("locator"), F.col("q.quote").alias("quote"))
     made = j.withColumn("id", text.uuid3("evidence", F.col("edge_id"), F.col("source_document_id"), F.col("locator"), F.col("quote"))).dropDuplicates(["id"])
     new = made.join(known.select("id"), "id", "left_anti").select("id", "space_id", "edge_id", "source_document_id", "quote", "locator", F.lit("ai").alias("extraction_method"), now.alias("created_at"))
     return known.unionByName(new)
@@ -96,22 +102,25 @@ def pending_relations(edges: DataFrame, found: DataFrame) -> DataFrame:
     return found.join(open_, "edge_id", "left_semi").groupBy("document_id").agg(F.count("*").alias("pending"))
 
 
-def invalidated(nodes: DataFrame, edges: DataFrame, evidences: DataFrame, docs: DataFrame, deleted: DataFrame) -> tuple[DataFrame, DataFrame]:
+def invalidated(nodes: DataFrame, edges: DataFrame, evidences: DataFrame, docs: DataFrame, deleted: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges after the documents of ``deleted`` (id) are gone; ``docs`` (id, status) is as it is after that.
 
-    Nodes lose them as sources and are stale without any left. Edges are stale if an end became stale, or if they have
-    evidence of a deleted document and none of an active one. Facts without sources or evidence are left alone.
+    Nodes that are not stale lose them as sources and are stale without any left. Edges become stale if an end has become
+    stale, or if they have evidence of a deleted document and none of an active one. ``updated_at`` of what changes is
+    ``now``. Facts without sources or evidence are left alone.
     """
     gone = deleted.select(F.col("id").alias("_d")).distinct()
     hit = nodes.filter("status <> 'stale'").select("id", F.posexplode("source_ids").alias("_p", "_d")).join(gone.withColumn("_gone", F.lit(True)), "_d", "left")
     left = hit.groupBy("id").agg(F.sort_array(F.collect_list(F.when(F.col("_gone").isNull(), F.struct("_p", "_d")))).alias("_left"), F.count("_gone").alias("_lost")).filter("_lost > 0")
-    after = nodes.join(left.drop("_lost"), "id", "left").select(
-        *[c for c in nodes.columns if c not in ("status", "source_ids")], F.when(F.size("_left") == 0, "stale").otherwise(F.col("status")).alias("status"), F.coalesce(F.col("_left._d"), "source_ids").alias("source_ids"))
+    after = nodes.join(left, "id", "left").select(*[
+        F.when(F.size("_left") == 0, "stale").otherwise(F.col("status")).alias(c) if c == "status" else F.coalesce(F.col("_left._d"), "source_ids").alias(c) if c == "source_ids"
+        else F.when(F.col("_lost") > 0, now).otherwise(F.col(c)).alias(c) if c == "updated_at" else F.col(c) for c in nodes.columns])
     dead = left.filter(F.size("_left") == 0).select(F.col("id").alias("_n"))
     ends = edges.select("id", F.explode(F.array("source_node_id", "target_node_id")).alias("_n")).join(dead, "_n", "left_semi").select("id")
-    unsupported = unsupported_edges(edges, evidences, docs, deleted)
-    stale = ends.union(unsupported.select("id")).distinct().withColumn("_stale", F.lit(True))
-    marked = edges.join(stale, "id", "left").withColumn("status", F.when(F.col("_stale"), "stale").otherwise(F.col("status"))).drop("_stale")
+    stale = ends.union(unsupported_edges(edges, evidences, docs, deleted).select("id")).distinct().withColumn("_stale", F.lit(True))
+    falls = F.col("_stale") & (F.col("status") != "stale")
+    marked = edges.join(stale, "id", "left").select(*[
+        F.when(falls, "stale").otherwise(F.col(c)).alias(c) if c == "status" else F.when(falls, now).otherwise(F.col(c)).alias(c) if c == "updated_at" else F.col(c) for c in edges.columns])
     return after, marked
 
 
@@ -191,14 +200,19 @@ def dangling(rows: DataFrame, column: str, parents: DataFrame) -> DataFrame:
     return rows.filter(F.col(column).isNotNull()).join(parents.select(F.col("id").alias(column)), column, "left_anti")
 
 
-def within_hops(edges: DataFrame, start: DataFrame, hops: int) -> DataFrame:
-    """``id`` and ``hop`` of all nodes that confirmed edges reach from ``start`` (id) in at most ``hops`` steps."""
-    both = edges.filter("status = 'confirmed'").select(F.col("source_node_id").alias("id"), F.col("target_node_id").alias("next"))
+def within_hops(edges: DataFrame, start: DataFrame, hops: int, types: tuple[str, ...] | None = None) -> DataFrame:
+    """``id`` and ``hop`` of all nodes that confirmed edges, of the types if given, reach from ``start`` (id) in at most ``hops`` steps.
+
+    The nodes of each hop are written, so a further hop costs one join of what the last one added.
+    """
+    used = edges.filter("status = 'confirmed'")
+    used = used.filter(F.col("relation_type").isin(*types)) if types else used
+    both = used.select(F.col("source_node_id").alias("id"), F.col("target_node_id").alias("next"))
     both = both.union(both.select(F.col("next").alias("id"), F.col("id").alias("next"))).distinct()
-    seen = start.select("id").distinct().withColumn("hop", F.lit(0))
+    seen = scratch.keep(start.select("id").distinct().withColumn("hop", F.lit(0)), "hops")
     for h in range(1, hops + 1):
-        more = seen.filter(F.col("hop") == h - 1).join(both, "id").select(F.col("next").alias("id"), F.lit(h).alias("hop")).distinct()
-        seen = seen.union(more).groupBy("id").agg(F.min("hop").alias("hop"))
+        more = seen.filter(F.col("hop") == h - 1).join(both, "id").select(F.col("next").alias("id")).distinct()
+        seen = scratch.keep(seen.union(more.join(seen, "id", "left_anti").select("id", F.lit(h).alias("hop"))), "hops")
     return seen
 
 

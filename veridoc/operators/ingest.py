@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veridoc.functions import text
@@ -43,11 +43,12 @@ def classified(files: DataFrame, existing: DataFrame) -> DataFrame:
     ``existing`` has space_id, content_hash, status. The first file of a hash that is stored and active, or that an
     earlier file of the batch has brought in, is a duplicate; a deleted one is restored.
     """
-    order = F.row_number().over(Window.partitionBy("space_id", "content_hash", F.col("error").isNull()).orderBy("file_ord"))
-    known = existing.select("space_id", "content_hash", F.col("status").alias("_had")).groupBy("space_id", "content_hash").agg(F.min("_had").alias("_had"))
-    rows = files.withColumn("_n", order).join(known, ["space_id", "content_hash"], "left")
-    outcome = F.when(F.col("error").isNotNull(), "failed").when((F.col("_n") > 1) | (F.col("_had") == "active"), "duplicate").when(F.col("_had") == "deleted", "restored").otherwise("imported")
-    return rows.withColumn("outcome", outcome).drop("_n", "_had")
+    known = existing.groupBy("space_id", "content_hash").agg(F.min("status").alias("_had"))
+    first = files.filter("error is null").groupBy("space_id", "content_hash").agg(F.min("file_ord").alias("_first"))
+    rows = files.join(known, ["space_id", "content_hash"], "left").join(first, ["space_id", "content_hash"], "left")
+    again = (F.col("file_ord") > F.col("_first")) | (F.col("_had") == "active")
+    outcome = F.when(F.col("error").isNotNull(), "failed").when(again, "duplicate").when(F.col("_had") == "deleted", "restored").otherwise("imported")
+    return rows.withColumn("outcome", outcome).drop("_first", "_had")
 
 
 def batch_statistics(results: DataFrame) -> DataFrame:

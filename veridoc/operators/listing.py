@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veridoc.functions import text
@@ -22,14 +22,11 @@ def active(rows: DataFrame, spaces: DataFrame) -> DataFrame:
 
 def latest_runs(runs: DataFrame) -> DataFrame:
     """One row a document: its latest run of any outcome, latest completed run, and latest summary that is not blank."""
-    newest = Window.partitionBy("document_id").orderBy(F.desc("created_at"), F.desc("id"))
-    ranked = runs.withColumn("_n", F.row_number().over(newest))
     when = F.struct("created_at", "id")
     done = F.col("status") == "completed"
     usable = done & F.col("document_summary").isNotNull() & (F.trim("document_summary") != "")
-    return ranked.groupBy("document_id").agg(
-        F.max(F.when(F.col("_n") == 1, F.col("id"))).alias("latest_run_id"), F.max(F.when(F.col("_n") == 1, F.col("status"))).alias("latest_status"),
-        F.max_by("id", F.when(done, when)).alias("completed_run_id"), F.max_by("document_summary", F.when(usable, when)).alias("latest_summary"))
+    return runs.groupBy("document_id").agg(F.max_by(F.struct("id", "status"), when).alias("l"), F.max_by("id", F.when(done, when)).alias("completed_run_id"), F.max_by("document_summary", F.when(usable, when)).alias("latest_summary")).select(
+        "document_id", F.col("l.id").alias("latest_run_id"), F.col("l.status").alias("latest_status"), "completed_run_id", "latest_summary")
 
 
 def matching(docs: DataFrame, name: str | None = None) -> DataFrame:
@@ -53,6 +50,15 @@ def with_runs(docs: DataFrame, runs: DataFrame) -> DataFrame:
     return docs.join(latest, "id", "left").withColumn("latest_status", F.coalesce("latest_status", F.lit("not_started"))).withColumn("excerpt", F.coalesce("latest_summary", "excerpt"))
 
 
-def merged(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """Rows of both, once for each key; the new ones win."""
-    return new.unionByName(old.join(new.select(key), key, "left_anti"))
+def merged(old: DataFrame, new: DataFrame, key: str, place: str | None = None) -> DataFrame:
+    """Rows of both, once for each key; the new ones win. With ``place``, they take the place of the old ones in its order."""
+    fresh = new
+    if place:
+        first = old.select(key, F.col(place).alias("_place"))
+        fresh = new.join(first, key, "left").withColumn(place, F.coalesce("_place", place)).select(*new.columns)
+    return fresh.unionByName(old.join(new.select(key), key, "left_anti"))
+
+
+def loaded(total: Column, page: int, size: int = PAGE) -> Column:
+    """How many rows the pages so far have shown."""
+    return F.least(total, F.lit(page * size).cast("long"))

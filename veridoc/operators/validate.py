@@ -66,12 +66,20 @@ def endpoints(relations: DataFrame, entities: DataFrame) -> DataFrame:
     return _broken(missing, 40, "relation endpoint", "relation_type", F.lit(True))
 
 
-def all_violations(chunks: DataFrame, entities: DataFrame, relations: DataFrame, evidences: DataFrame) -> DataFrame:
+def all_violations(chunks: DataFrame, entities: DataFrame, relations: DataFrame, evidences: DataFrame, conflicts: DataFrame | None = None) -> DataFrame:
+    """Violations of every rule, the later ones of a chunk also where an earlier one is broken."""
     blank = chunks.withColumn("pos", F.lit(0)).filter(is_blank(F.col("content")) | is_blank(F.col("document_id")) | is_blank(F.col("section_path")))
-    out = _broken(blank, 1, "request", "chunk_id", F.lit(True)).union(constraints(entities, relations, evidences))
+    out = _broken(blank, 1, "request", "chunk_id", F.lit(True)).union(constraints(entities, relations, evidences, conflicts))
     out = out.union(unique_ids(entities, "candidate_id", 20, "entity id twice")).union(unique_ids(evidences, "evidence_id", 21, "evidence id twice"))
     out = out.union(evidence_sources(evidences, chunks)).union(endpoints(relations, entities))
-    return out.union(references(relations, evidences, 41, "relation evidence", "relation_type")).union(references(entities, evidences, 42, "entity evidence", "candidate_id"))
+    out = out.union(references(relations, evidences, 41, "relation evidence", "relation_type")).union(references(entities, evidences, 42, "entity evidence", "candidate_id"))
+    return out if conflicts is None else out.union(references(conflicts, evidences, 43, "conflict evidence", "conflict_type"))
+
+
+def request_messages(requests: DataFrame, *fields: str) -> DataFrame:
+    """Requests (id) with a blank field: a message for each, in order, joined by "; "."""
+    broken = F.array_compact(F.array(*[F.when(is_blank(F.col(f)), F.lit(f"{f} must not be blank")) for f in fields]))
+    return requests.select("id", F.array_join(F.array_sort(broken), "; ").alias("message")).filter("message <> ''")
 
 
 def first_errors(violations: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -20,8 +20,8 @@ VIEWS = {
         CASE max(l_returnflag) WHEN 'A' THEN 'confirmed' WHEN 'N' THEN 'suggested' ELSE 'rejected' END AS status FROM lineitem GROUP BY l_suppkey, l_partkey""",
     "v_evidence": """SELECT concat('v', CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING)) AS id, concat('e', CAST(l_suppkey AS STRING), '-', CAST(l_partkey AS STRING)) AS edge_id,
         CAST(l_orderkey AS STRING) AS source_document_id, l_shipdate AS created_at, concat(l_returnflag, l_linestatus) AS quote FROM lineitem""",
-    "v_evdoc": "SELECT CAST(o_orderkey AS STRING) AS id, concat('order ', CAST(o_orderkey AS STRING)) AS name, CASE o_orderstatus WHEN 'F' THEN 'active' WHEN 'O' THEN 'deleted' ELSE 'leaving' END AS status FROM orders",
-    "v_source": "SELECT DISTINCT concat('p', CAST(l_partkey AS STRING)) AS id, CAST(l_orderkey AS STRING) AS document_id FROM lineitem WHERE l_linenumber = 1",
+    "v_evdoc": "SELECT CAST(o_orderkey AS STRING) AS id, concat('order ', CAST(o_orderkey AS STRING)) AS name, CASE WHEN o_orderpriority = '1-URGENT' AND o_orderstatus = 'F' AND o_totalprice > 250000 THEN 'active' WHEN o_orderpriority = '2-HIGH' AND o_orderstatus = 'P' AND o_totalprice > 490000 THEN 'deleted' ELSE 'leaving' END AS status FROM orders",
+    "v_source": "SELECT DISTINCT concat('p', CAST(l_partkey AS STRING)) AS id, CAST(l_orderkey AS STRING) AS document_id FROM lineitem",
     "v_chunk": """SELECT concat(CAST(conv_id AS STRING), '-', CAST(turn AS STRING)) AS chunk_id, CAST(conv_id % 50 AS STRING) AS document_id, concat('sp', CAST(conv_id % 3 AS STRING)) AS space_id, conv_id * 1000 + turn AS chunk_ord, role AS section_path, text AS content, conv_id, turn FROM conversations""",
     "v_entity": """SELECT chunk_id, document_id, space_id, chunk_ord, 0 AS pos, 'e0' AS candidate_id, 'project' AS type, regexp_extract(content, '^([^ ]+)', 1) AS name, section_path AS summary, CASE WHEN turn % 7 = 3 THEN 'v9' ELSE 'v0' END AS evidence_id FROM v_chunk
         UNION ALL SELECT chunk_id, document_id, space_id, chunk_ord, 1, CASE WHEN conv_id % 19 = 4 THEN 'e0' ELSE 'e1' END, CASE WHEN conv_id % 23 = 5 THEN 'gadget' ELSE 'feature' END, regexp_extract(content, '^[^ ]+ ([^ ]+)', 1), '', 'v0' FROM v_chunk""",

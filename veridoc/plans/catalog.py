@@ -123,9 +123,9 @@ def size_labels(v):
     return v("v_document").select("id", text.size_label(c("file_size")).alias("size"))
 
 
-@query("SELECT id, concat('===== 第 1 页 =====', chr(10), 'page one', chr(10), chr(10), '===== 第 2 页 =====', chr(10), chr(10), '===== 第 3 页 =====', chr(10), name) AS text FROM v_document")
+@query(r"SELECT id, array_to_string(list_transform(pages, lambda x, i: concat('===== 第 ', CAST(i AS STRING), ' 页 =====', CASE WHEN x = '' THEN '' ELSE concat(chr(10), x) END)), concat(chr(10), chr(10))) AS text FROM (SELECT id, list_transform(string_split(content_text, '. '), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')) AS pages FROM v_document)")
 def pdf_page_assembly(v):
-    return v("v_document").select("id", ingest.pages_text(F.array(F.lit("  page one\n"), F.lit(" \n"), c("name"))).alias("text"))
+    return v("v_document").select("id", ingest.pages_text(F.split("content_text", r"\. ")).alias("text"))
 
 
 def _files(v):
@@ -135,14 +135,14 @@ def _files(v):
 
 CLASSIFIED = """WITH f AS (SELECT *, CASE WHEN imported_at % 29 = 3 THEN '' ELSE content_text END AS body FROM v_document),
  h AS (SELECT *, sha256(body) AS hash, body = '' AS bad FROM f),
- e AS (SELECT space_id, content_hash, min(status) AS had FROM v_document WHERE imported_at % 3 = 0 GROUP BY 1, 2),
+ e AS (SELECT space_id, content_hash, min(status) AS had FROM v_document WHERE batch_id IN ('src1', 'src4', 'src9', 'src12') GROUP BY 1, 2),
  r AS (SELECT h.imported_at AS file_ord, h.batch_id, h.name, CASE WHEN bad THEN 'failed' WHEN row_number() OVER (PARTITION BY h.space_id, hash, bad ORDER BY h.imported_at) > 1 OR had = 'active' THEN 'duplicate' WHEN had = 'deleted' THEN 'restored' ELSE 'imported' END AS outcome
    FROM h LEFT JOIN e ON h.space_id = e.space_id AND hash = e.content_hash)
 """
 
 
 def _classified(v):
-    return ingest.classified(ingest.decoded(_files(v)), v("v_document").filter("imported_at % 3 = 0"))
+    return ingest.classified(ingest.decoded(_files(v)), v("v_document").filter("batch_id in ('src1', 'src4', 'src9', 'src12')"))
 
 
 @query(CLASSIFIED + "SELECT file_ord, outcome FROM r")
@@ -193,12 +193,15 @@ def chunk_plan(v):
     return segment.chunks(segment.sections(_markdown(v))).select("document_id", "chunk_id", "start_offset", "end_offset")
 
 
-@query("SELECT CAST(0 AS BIGINT) AS section_errors, CAST(0 AS BIGINT) AS chunk_errors")
+@query(CHUNKED + """, again AS (SELECT w.document_id, count(*) AS chunks, sum(w.e - w.a) AS letters FROM walk w JOIN md ON md.id = w.document_id WHERE n > 0 AND substr(md.content_text, CAST(w.start_offset + w.a + 1 AS BIGINT), CAST(w.e - w.a AS BIGINT)) = substr(w.body, CAST(w.a + 1 AS BIGINT), CAST(w.e - w.a AS BIGINT)) GROUP BY 1)
+SELECT document_id, chunks, CAST(letters AS BIGINT) AS letters, CAST(0 AS BIGINT) AS errors FROM again""")
 def offset_check(v):
+    """Chunks of each document, their letters, and those whose text is not what stands at their offsets."""
     docs = _markdown(v)
-    parts = segment.sections(docs)
-    bad = segment.offset_errors(parts, docs).select(F.lit(1).alias("s"), F.lit(0).alias("k")).union(segment.offset_errors(segment.chunks(parts), docs).select(F.lit(0), F.lit(1)))
-    return bad.agg(F.coalesce(F.sum("s"), F.lit(0)).cast("long").alias("section_errors"), F.coalesce(F.sum("k"), F.lit(0)).cast("long").alias("chunk_errors"))
+    made = segment.chunks(segment.sections(docs))
+    wrong = segment.offset_errors(made, docs).groupBy("document_id").agg(F.count("*").alias("errors"))
+    total = made.groupBy("document_id").agg(F.count("*").alias("chunks"), F.sum(c("end_offset") - c("start_offset")).alias("letters"))
+    return total.join(wrong, "document_id", "left").fillna(0, ["errors"])
 
 
 @query("SELECT id AS document_id, 'section-1' AS section_id, '文档前言' AS title, length(content_text) AS end_offset FROM (SELECT id, content_text, CAST(1 AS INTEGER) AS one FROM v_document)".replace("length(content_text)", "CAST(length(content_text) AS INTEGER)"))
@@ -257,7 +260,8 @@ def validate_first_error(v):
 KEYED = r"""WITH keyed AS (SELECT *, concat(lower(type), ':', lower(trim(regexp_replace(name, '[ \t\n\x0B\f\r]+', ' ', 'g')))) AS normalized_key FROM v_entity),
  h AS (SELECT *, md5(concat('node:', space_id, '|', normalized_key)) AS m FROM keyed),
  n AS (SELECT *, concat('node-', substr(m, 1, 8), '-', substr(m, 9, 4), '-3', substr(m, 14, 3), '-', translate(substr(m, 17, 1), '0123456789abcdef', '89ab89ab89ab89ab'), substr(m, 18, 3), '-', substr(m, 21, 12)) AS node FROM h),
- rel AS (SELECT r.*, a.node AS source_node_id, b.node AS target_node_id, md5(concat('edge:', r.space_id, '|', a.node, '|', b.node, '|', relation_type)) AS m FROM v_relation r JOIN n a ON a.chunk_id = r.chunk_id AND a.candidate_id = source_id JOIN n b ON b.chunk_id = r.chunk_id AND b.candidate_id = target_id),
+ w AS (SELECT chunk_id, candidate_id, arg_max(node, pos) AS node FROM n GROUP BY 1, 2),
+ rel AS (SELECT r.*, a.node AS source_node_id, b.node AS target_node_id, md5(concat('edge:', r.space_id, '|', a.node, '|', relation_type, '|', b.node)) AS m FROM v_relation r JOIN w a ON a.chunk_id = r.chunk_id AND a.candidate_id = source_id JOIN w b ON b.chunk_id = r.chunk_id AND b.candidate_id = target_id),
  e AS (SELECT *, concat('edge-', substr(m, 1, 8), '-', substr(m, 9, 4), '-3', substr(m, 14, 3), '-', translate(substr(m, 17, 1), '0123456789abcdef', '89ab89ab89ab89ab'), substr(m, 18, 3), '-', substr(m, 21, 12)) AS edge_id FROM rel)
 """
 
@@ -267,6 +271,10 @@ def now():
     return F.timestamp_seconds(F.lit(1_700_000_000))
 
 
+KNOWN = """, mark AS (SELECT normalized_key, space_id, node AS id, list_sort(list(DISTINCT document_id)) AS full_ FROM n GROUP BY 1, 2, 3),
+ known AS (SELECT *, CASE length(normalized_key) % 4 WHEN 0 THEN 'conflict' WHEN 1 THEN 'stale' WHEN 2 THEN 'orphan' ELSE 'active' END AS status, CASE length(normalized_key) % 3 WHEN 0 THEN ' ' WHEN 1 THEN ' old ' END AS summary,
+   CASE WHEN length(normalized_key) % 5 = 0 THEN full_ ELSE ['d-old'] END AS source_ids FROM mark WHERE id IN (SELECT n.node FROM n JOIN v_chunk k ON k.chunk_id = n.chunk_id WHERE k.section_path = 'assistant'))
+"""
 NODE = "id string, space_id string, node_type string, label string, summary string, status string, normalized_key string, source_ids array<string>, created_at timestamp, updated_at timestamp"
 EDGE = "id string, space_id string, source_node_id string, target_node_id string, relation_type string, status string, confidence double, created_at timestamp, updated_at timestamp"
 PROOF = "id string, space_id string, edge_id string, source_document_id string, quote string, locator string, extraction_method string, created_at timestamp"
@@ -297,20 +305,46 @@ def entity_first_wins(v):
     return graph.first_entities(v("v_entity")).select("space_id", "normalized_key", "name", "summary")
 
 
-@query(KEYED + """, f AS (SELECT *, row_number() OVER (PARTITION BY space_id, normalized_key ORDER BY chunk_ord, pos) AS r, 1 AS one FROM n), s AS (SELECT node, count(DISTINCT document_id) AS sources FROM n GROUP BY node)
-SELECT f.node AS id, trim(name) AS label, CASE WHEN trim(summary) <> '' THEN trim(summary) ELSE trim(name) END AS summary, 'active' AS status, s.sources FROM f JOIN s ON f.node = s.node WHERE r = 1""")
+def _known_nodes(v):
+    """Nodes of assistants' entities as they may stand before: conflicts, stale ones, orphans, blank summaries, other sources."""
+    e = v("v_entity").withColumn("normalized_key", text.normalized_key(c("type"), c("name")))
+    marks = e.groupBy("space_id", "normalized_key").agg(F.sort_array(F.collect_set("document_id")).alias("full"))
+    said = e.join(v("v_chunk").filter("section_path = 'assistant'").select("chunk_id"), "chunk_id", "left_semi").select("space_id", "normalized_key").distinct()
+    n = F.length("normalized_key")
+    return marks.join(said, ["space_id", "normalized_key"], "left_semi").select(
+        graph.node_id(c("space_id"), c("normalized_key")).alias("id"), "space_id", F.lit("feature").alias("node_type"), F.lit("old label").alias("label"), F.when(n % 3 == 0, " ").when(n % 3 == 1, " old ").alias("summary"),
+        F.when(n % 4 == 0, "conflict").when(n % 4 == 1, "stale").when(n % 4 == 2, "orphan").otherwise("active").alias("status"), "normalized_key",
+        F.when(n % 5 == 0, c("full")).otherwise(F.array(F.lit("d-old"))).alias("source_ids"), F.timestamp_seconds(F.lit(0)).alias("created_at"), F.timestamp_seconds(F.lit(0)).alias("updated_at"))
+
+
+@query(KEYED + KNOWN + """, f AS (SELECT *, row_number() OVER (PARTITION BY space_id, normalized_key ORDER BY chunk_ord, pos) AS r FROM n)
+SELECT f.node AS id, coalesce(CASE WHEN k.id IS NOT NULL THEN 'old label' END, trim(f.name)) AS label,
+ CASE WHEN k.id IS NULL THEN CASE WHEN trim(f.summary) <> '' THEN trim(f.summary) ELSE trim(f.name) END WHEN k.summary IS NULL OR trim(k.summary) = '' THEN trim(f.summary) ELSE k.summary END AS summary,
+ CASE WHEN k.id IS NULL OR k.status = 'stale' THEN 'active' ELSE k.status END AS status, CAST(len(m.full_) + CASE WHEN k.source_ids = ['d-old'] THEN 1 ELSE 0 END AS BIGINT) AS sources,
+ k.id IS NULL OR k.status = 'stale' OR k.source_ids = ['d-old'] AS moved FROM f JOIN mark m ON m.id = f.node LEFT JOIN known k ON k.id = f.node WHERE r = 1""")
 def node_upsert(v):
-    once = graph.node_upsert(v.spark.createDataFrame([], NODE), v("v_entity"), now())
-    return graph.node_upsert(once, v("v_entity"), now()).select("id", "label", "summary", "status", F.size("source_ids").cast("long").alias("sources"))
+    once = graph.node_upsert(_known_nodes(v), v("v_entity"), now())
+    later = graph.node_upsert(once, v("v_entity"), F.timestamp_seconds(F.lit(1_800_000_000)))  # the same facts again change nothing
+    return later.select("id", "label", "summary", "status", F.size("source_ids").cast("long").alias("sources"), (c("updated_at") == now()).alias("moved"))
 
 
-@query(KEYED + ", f AS (SELECT *, row_number() OVER (PARTITION BY edge_id ORDER BY chunk_ord, pos) AS r FROM e) SELECT edge_id AS id, 'suggested' AS status, confidence FROM f WHERE r = 1")
+def _known_edges(v):
+    """Edges of sure relations as they may stand before, with any status."""
+    found = _found(v)[0].filter("confidence > 0.5").groupBy("edge_id", "space_id", "source_node_id", "target_node_id", "relation_type").agg(F.min("confidence").alias("c"))
+    status = F.when(c("c") > 0.9, "rejected").when(c("c") > 0.7, "stale").otherwise("confirmed")
+    at = F.timestamp_seconds(F.lit(0))
+    return found.select(c("edge_id").alias("id"), "space_id", "source_node_id", "target_node_id", "relation_type", status.alias("status"), F.lit(0.25).alias("confidence"), at.alias("created_at"), at.alias("updated_at"))
+
+
+@query(KEYED + """, f AS (SELECT *, row_number() OVER (PARTITION BY edge_id ORDER BY chunk_ord, pos) AS r FROM e), k AS (SELECT edge_id, min(confidence) AS c FROM e WHERE confidence > 0.5 GROUP BY 1)
+SELECT f.edge_id AS id, CASE WHEN k.c IS NULL THEN 'suggested' WHEN k.c > 0.9 THEN 'rejected' WHEN k.c > 0.7 THEN 'stale' ELSE 'confirmed' END AS status, CASE WHEN k.c IS NULL THEN f.confidence ELSE 0.25 END AS confidence FROM f LEFT JOIN k ON k.edge_id = f.edge_id WHERE r = 1""")
 def edge_upsert(v):
     found = _found(v)[0]
-    return graph.edge_upsert(_edges(v), found, now()).select("id", "status", "confidence")
+    once = graph.edge_upsert(_known_edges(v), found, now())
+    return graph.edge_upsert(once, found, now()).select("id", "status", "confidence")
 
 
-@query(KEYED + "SELECT DISTINCT e.edge_id, e.document_id AS source_document_id, p.section_path AS locator, p.quote FROM e JOIN v_proof p ON p.chunk_id = e.chunk_id AND p.evidence_id = e.evidence_id")
+@query(KEYED + "SELECT DISTINCT e.edge_id, e.document_id AS source_document_id, p.section_path AS locator, p.quote FROM e JOIN v_proof p ON p.chunk_id = e.chunk_id AND p.evidence_id = e.evidence_id AND p.document_id = e.document_id")
 def evidence_upsert(v):
     found, _, proofs = _found(v)
     once = graph.evidence_upsert(v.spark.createDataFrame([], PROOF), found, proofs, now())
@@ -318,11 +352,11 @@ def evidence_upsert(v):
 
 
 def _reviews(v):
-    k = v("v_chunk").filter("turn % 2 = 0")
+    k = v("v_chunk").filter("section_path = 'assistant'")
     return k.select(c("chunk_ord").alias("item_ord"), "chunk_id", F.lit(0).alias("relation_index"), F.when(c("conv_id") % 2 == 0, "ACCEPT").otherwise("REJECT").alias("action"), F.when(c("turn") % 4 == 0, " ").otherwise(" because ").alias("reason"))
 
 
-REVIEWED = KEYED + """, item AS (SELECT e.edge_id, k.chunk_ord, CASE WHEN k.conv_id % 2 = 0 THEN 'confirmed' ELSE 'rejected' END AS s, row_number() OVER (PARTITION BY edge_id ORDER BY k.chunk_ord DESC) AS r FROM e JOIN v_chunk k ON k.chunk_id = e.chunk_id WHERE k.turn % 2 = 0),
+REVIEWED = KEYED + """, item AS (SELECT e.edge_id, k.chunk_ord, CASE WHEN k.conv_id % 2 = 0 THEN 'confirmed' ELSE 'rejected' END AS s, row_number() OVER (PARTITION BY edge_id ORDER BY k.chunk_ord DESC) AS r FROM e JOIN v_chunk k ON k.chunk_id = e.chunk_id WHERE k.section_path = 'assistant'),
  edge AS (SELECT DISTINCT e.edge_id AS id, coalesce(s, 'suggested') AS status FROM e LEFT JOIN item ON item.edge_id = e.edge_id AND r = 1)
 """
 
@@ -346,7 +380,7 @@ def review_pending_count(v):
     return graph.pending_relations(_reviewed(v), _found(v)[0])
 
 
-@query(KEYED + "SELECT e.edge_id, CASE WHEN k.conv_id % 2 = 0 THEN 'accept' ELSE 'reject' END AS action, CASE WHEN k.turn % 4 <> 0 THEN 'because' END AS reason, 'local-user' AS operator_name FROM e JOIN v_chunk k ON k.chunk_id = e.chunk_id WHERE k.turn % 2 = 0")
+@query(KEYED + "SELECT e.edge_id, CASE WHEN k.conv_id % 2 = 0 THEN 'accept' ELSE 'reject' END AS action, CASE WHEN k.turn % 4 <> 0 THEN 'because' END AS reason, 'local-user' AS operator_name FROM e JOIN v_chunk k ON k.chunk_id = e.chunk_id WHERE k.section_path = 'assistant'")
 def review_audit(v):
     return graph.audit_rows(_reviews(v), _found(v)[0], " ", now()).select("edge_id", "action", "reason", "operator_name")
 
@@ -409,13 +443,13 @@ DEAD = "WITH left_ AS (SELECT s.id, count(*) FILTER (d.status <> 'leaving') AS k
 def _invalidated(v):
     sources = v("v_source").groupBy("id").agg(F.sort_array(F.collect_list("document_id")).alias("source_ids"))
     nodes = v("v_node").join(sources, "id", "left").withColumn("source_ids", F.coalesce("source_ids", F.array().cast("array<string>")))
-    docs = v("v_evdoc")
-    return graph.invalidated(nodes, v("v_edge"), v("v_evidence"), docs, docs.filter("status = 'leaving'"))
+    docs, old = v("v_evdoc"), F.timestamp_seconds(F.lit(0))
+    return graph.invalidated(nodes.withColumn("updated_at", old), v("v_edge").withColumn("updated_at", old), v("v_evidence"), docs, docs.filter("status = 'leaving'"), now())
 
 
-@query(DEAD + " SELECT n.id, CASE WHEN n.id IN (SELECT id FROM dead) THEN 'stale' ELSE n.status END AS status, CAST(coalesce(CASE WHEN n.status <> 'stale' THEN kept END, (SELECT count(*) FROM v_source s WHERE s.id = n.id)) AS BIGINT) AS sources FROM v_node n LEFT JOIN left_ l ON l.id = n.id")
+@query(DEAD + " SELECT n.id, CASE WHEN n.id IN (SELECT id FROM dead) THEN 'stale' ELSE n.status END AS status, CAST(coalesce(CASE WHEN n.status <> 'stale' THEN kept END, (SELECT count(*) FROM v_source s WHERE s.id = n.id)) AS BIGINT) AS sources, n.status <> 'stale' AND coalesce(lost, 0) > 0 AS moved FROM v_node n LEFT JOIN left_ l ON l.id = n.id")
 def invalidate_nodes(v):
-    return _invalidated(v)[0].select("id", "status", F.size("source_ids").cast("long").alias("sources"))
+    return _invalidated(v)[0].select("id", "status", F.size("source_ids").cast("long").alias("sources"), (c("updated_at") == now()).alias("moved"))
 
 
 @query("SELECT e.id FROM v_edge e WHERE id IN (SELECT edge_id FROM v_evidence v JOIN v_evdoc d ON d.id = v.source_document_id WHERE d.status = 'leaving') AND id NOT IN (SELECT edge_id FROM v_evidence v JOIN v_evdoc d ON d.id = v.source_document_id WHERE d.status = 'active')")
@@ -425,15 +459,16 @@ def invalidate_edges_no_evidence(v):
 
 
 @query(DEAD + """, lost AS (SELECT e.id FROM v_edge e WHERE id IN (SELECT edge_id FROM v_evidence v JOIN v_evdoc d ON d.id = v.source_document_id WHERE d.status = 'leaving') AND id NOT IN (SELECT edge_id FROM v_evidence v JOIN v_evdoc d ON d.id = v.source_document_id WHERE d.status = 'active'))
-SELECT id, CASE WHEN source_node_id IN (SELECT id FROM dead) OR target_node_id IN (SELECT id FROM dead) OR id IN (SELECT id FROM lost) THEN 'stale' ELSE status END AS status FROM v_edge""")
+SELECT id, CASE WHEN source_node_id IN (SELECT id FROM dead) OR target_node_id IN (SELECT id FROM dead) OR id IN (SELECT id FROM lost) THEN 'stale' ELSE status END AS status,
+ source_node_id IN (SELECT id FROM dead) OR target_node_id IN (SELECT id FROM dead) OR id IN (SELECT id FROM lost) AS moved FROM v_edge""")
 def invalidate_edges(v):
-    return _invalidated(v)[1].select("id", "status")
+    return _invalidated(v)[1].select("id", "status", (c("updated_at") == now()).alias("moved"))
 
 
-@query("SELECT id, CASE WHEN status = 'active' AND imported_at % 5 = 0 THEN 'deleted' ELSE status END AS status FROM v_document")
+@query("SELECT id, CASE WHEN status = 'active' AND batch_id = 'src7' THEN 'deleted' ELSE status END AS status FROM v_document")
 def documents_soft_delete(v):
     docs = v("v_document")
-    return graph.soft_deleted(docs, docs.filter("imported_at % 5 = 0"), F.lit(1)).select("id", "status")
+    return graph.soft_deleted(docs, docs.filter("batch_id = 'src7'"), F.lit(1)).select("id", "status")
 
 
 # ---- run events

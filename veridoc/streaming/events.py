@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # The events of a run in their order; the last two end it.
@@ -47,13 +47,61 @@ def delta_texts(events: DataFrame) -> DataFrame:
     return parts.select("run_id", "chunk_id", F.array_join("p.delta", "").alias("text"))
 
 
-def admitted(requests: DataFrame, capacity: int = 14) -> DataFrame:
-    """Requests (request_ord, document_id) with ``accepted``: the first ``capacity`` of different documents, in order."""
+def produced(chunks: DataFrame) -> DataFrame:
+    """The events of a run over the chunks (run_id, chunk_id, chunk_ord) of each document, with their places from 0."""
+    step = lambda name, k: F.struct(F.lit(k).alias("k"), F.lit(name).alias("event"))
+    each = chunks.select("run_id", F.lit(1).alias("phase"), "chunk_ord", "chunk_id", F.explode(F.array(step("chunk_started", 0), step("chunk_completed", 1))).alias("s"))
+    ends = chunks.select("run_id").distinct().select("run_id", F.explode(F.array(*[
+        F.struct(F.lit(p).alias("phase"), F.lit(k).alias("k"), F.lit(n).alias("event")) for p, k, n in
+        ((0, 0, "run_started"), (2, 0, "document_summary_started"), (2, 1, "document_summary_completed"), (2, 2, "completed"))])).alias("e"))
+    rows = each.select("run_id", "phase", "chunk_ord", "chunk_id", "s.*").union(
+        ends.select("run_id", "e.phase", F.lit(None).cast("long"), F.lit(None).cast("string"), "e.k", "e.event"))
+    order = Window.partitionBy("run_id").orderBy("phase", "chunk_ord", "k")
+    return rows.select("run_id", (F.row_number().over(order) - 1).cast("long").alias("seq"), "event", "chunk_id")
+
+
+def failures(events: DataFrame) -> DataFrame:
+    """Message of each failed run and whether it may be tried again; ``events`` has message and recoverable besides."""
+    first = events.filter(F.col("event").isin("completed", "error")).groupBy("run_id").agg(F.min_by(F.struct("event", "message", "recoverable"), "seq").alias("e"))
+    return first.filter("e.event = 'error'").select("run_id", "e.message", F.coalesce("e.recoverable", F.lit(False)).alias("recoverable"))
+
+
+def workflow_states(steps: DataFrame) -> DataFrame:
+    """State of each workflow from its step events (workflow_id, step, key, seq, status). An event whose key has been seen
+    before counts once. A workflow has failed if a step's last event has, runs while one is open, and is completed otherwise;
+    it resumes at the first step that is not completed."""
+    once = steps.groupBy("workflow_id", "key").agg(F.min_by(F.struct("step", "seq", "status"), "seq").alias("e")).select("workflow_id", "e.*")
+    last = once.groupBy("workflow_id", "step").agg(F.max_by("status", "seq").alias("status"))
+    n = lambda s: F.count_if(F.col("status") == s)
+    state = F.when(n("failed") > 0, "failed").when(n("completed") < F.count("*"), "running").otherwise("completed")
+    return last.groupBy("workflow_id").agg(state.alias("state"), n("completed").alias("completed"), F.min(F.when(F.col("status") != "completed", F.col("step"))).alias("resume_at"))
+
+
+def admitted(requests: DataFrame, capacity: int = 14, docs: DataFrame | None = None) -> DataFrame:
+    """Requests (request_ord, document_id) with ``accepted``: the first ``capacity`` of different documents, in order.
+    With ``docs`` (id, status), requests of documents that are not there or not active are never accepted."""
     first = requests.withColumn("document_id", F.trim("document_id")).groupBy("document_id").agg(F.min("request_ord").alias("request_ord"), F.count("*").alias("n"))
-    head = first.orderBy("request_ord").limit(capacity).select("document_id", F.lit(True).alias("_in"))
+    known = first if docs is None else first.join(docs.filter("status = 'active'").select(F.col("id").alias("document_id")), "document_id", "left_semi")
+    head = known.orderBy("request_ord").limit(capacity).select("document_id", F.lit(True).alias("_in"))
     return first.join(head, "document_id", "left").select("document_id", "request_ord", (F.col("n") > 1).alias("repeated"), F.coalesce("_in", F.lit(False)).alias("accepted"))
 
 
-def stream_states(spark: SparkSession, path: str, schema: str, checkpoint: str, name: str):
-    """A streaming query over event files that keeps :func:`run_states` up to date in the memory table ``name``."""
-    return run_states(spark.readStream.schema(schema).parquet(path)).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def stream_states(spark: SparkSession, path: str, schema: str, checkpoint: str, table: str):
+    """A streaming query over event files that keeps :func:`run_states` up to date in the Parquet table at ``table``.
+
+    State lives in the executors' state store and each batch's result is written by tasks, so neither grows on the driver.
+    The query goes on whether anyone reads the table or not, and after a stop from its checkpoint. A reader that polls sees
+    whole versions only: each batch is a folder of its own, and the newest complete one is the table.
+    """
+
+    def write(states: DataFrame, batch: int) -> None:
+        states.write.mode("overwrite").parquet(f"{table}/batch={batch:012d}")
+
+    rows = run_states(spark.readStream.schema(schema).parquet(path))
+    return rows.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def latest_states(spark: SparkSession, table: str) -> DataFrame:
+    """The states after the newest batch that :func:`stream_states` has finished."""
+    rows = spark.read.parquet(table)
+    return rows.join(rows.agg(F.max("batch").alias("batch")), "batch").drop("batch")
