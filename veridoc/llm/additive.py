@@ -65,6 +65,15 @@ def products(query: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     return (vectors.astype(np.float64) * query.astype(np.float64)).sum(axis=-1)
 
 
+def units(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors of length 1 in single precision, and their norms in double. What is quantised are directions, so neither very
+    large nor very small components leave the range of single precision; exact scores use the vectors as they are."""
+    most = np.abs(vectors).max(axis=1, initial=0, keepdims=True)
+    safe = vectors / np.where(most > 0, most, 1)
+    length = np.linalg.norm(safe, axis=1, keepdims=True)
+    return (safe / np.where(length > 0, length, 1)).astype(np.float32), (length * most)[:, 0]
+
+
 @dataclass
 class Index:
     books: np.ndarray
@@ -73,7 +82,7 @@ class Index:
 
 def usable(rows: DataFrame, vec_id: str, vector: str) -> DataFrame:
     """``vec_id``, ``v`` of the vectors that take part: not null, not zero, all components finite, and an id."""
-    rows = rows.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).cast("array<float>").alias("v"))
+    rows = rows.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v"))
     finite = F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
     return rows.filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & F.coalesce(finite & F.exists("v", lambda c: c != 0), F.lit(False)))
 
@@ -97,7 +106,7 @@ def build(rows: DataFrame, keep_ids: int) -> Index | None:
 
         for b in batches:
             for i, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids = held.setdefault((np.array(v, "<f4") + np.float32(0)).tobytes(), [])
+                ids = held.setdefault((np.array(v, "<f8") + 0.0).tobytes(), [])
                 ids.append(i)
                 if len(ids) > 4 * keep_ids:
                     ids[:] = sorted(set(ids))[:keep_ids]
@@ -111,24 +120,21 @@ def build(rows: DataFrame, keep_ids: int) -> Index | None:
     picked = entries.orderBy(F.xxhash64("k")).limit(SAMPLE).select("k").toArrow().column(0).to_pylist()
     if not picked:
         return None
-    dims = {len(k) for k in picked}
-    if len(dims) > 1:
-        raise ValueError("vectors of different lengths")
-    books = fit(np.frombuffer(b"".join(sorted(picked)), "<f4").reshape(len(picked), -1))
+    books = fit(units(np.frombuffer(b"".join(sorted(picked)), "<f8").reshape(len(picked), -1))[0])
     sent = entries.sparkSession.sparkContext.broadcast(books)
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for a in range(0, b.num_rows, 1024):
                 part = b.slice(a, 1024)
-                x = np.frombuffer(b"".join(part.column(0).to_pylist()), "<f4").reshape(part.num_rows, -1)
+                x, norm = units(np.frombuffer(b"".join(part.column(0).to_pylist()), "<f8").reshape(part.num_rows, -1))
                 codes, approx = encode(x, sent.value)
                 ids = part.column(1)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([i[0] for i in ids.to_pylist()], pa.int64()), ids, part.column(0), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(np.linalg.norm(x, axis=1), pa.float32()), pa.array(approx, pa.float32())],
+                    [pa.array([i[0] for i in ids.to_pylist()], pa.int64()), ids, part.column(0), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norm, pa.float64()), pa.array(approx, pa.float32())],
                     ["rep", "ids", "k", "codes", "norm", "approx"])
 
-    coded = entries.select("k", "ids").mapInArrow(code, "rep long, ids array<long>, k binary, codes binary, norm float, approx float")
+    coded = entries.select("k", "ids").mapInArrow(code, "rep long, ids array<long>, k binary, codes binary, norm double, approx float")
     return Index(books, scratch.keep(coded, "codes"))
 
 
@@ -154,20 +160,20 @@ def one_block(spark: SparkSession, index: Index, queries: DataFrame, k: int, rer
     rows_a_time = ROWS
     rows = queries.select("vec_id", "v").orderBy("vec_id").toArrow()
     ids = np.array(rows.column(0).to_pylist(), np.int64)
-    q = np.array(rows.column(1).to_pylist(), np.float32).reshape(len(ids), -1)
+    q = np.array(rows.column(1).to_pylist(), np.float64).reshape(len(ids), -1)
     sent = spark.sparkContext.broadcast((ids, q, index.books))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, q, books = sent.value
         m = books.shape[0]
-        tables = np.einsum("qd,mwd->qmw", q, books).astype(np.float32)
-        none = np.zeros(0, np.float32), np.zeros(0, np.int64)
+        tables = np.einsum("qd,mwd->qmw", units(q)[0], books).astype(np.float32)
+        none = np.zeros(0), np.zeros(0, np.int64)
         best, seen = [none for _ in ids], 0
         vectors: dict[int, tuple[bytes, list[int]]] = {}
 
         def scored() -> Iterator[pa.RecordBatch]:
             for i, (s, r) in enumerate(best):
-                exact = products(q[i], np.frombuffer(b"".join(vectors[x][0] for x in r.tolist()), "<f4").reshape(len(r), -1)) if len(r) else np.zeros(0)
+                exact = products(q[i], np.frombuffer(b"".join(vectors[x][0] for x in r.tolist()), "<f8").reshape(len(r), -1)) if len(r) else np.zeros(0)
                 # k + 1 entries hold the k best ids: only the query's own can be missing from them
                 top = np.lexsort((r, -exact))[: k + 1]
                 yield pa.RecordBatch.from_arrays(
@@ -188,7 +194,7 @@ def one_block(spark: SparkSession, index: Index, queries: DataFrame, k: int, rer
                 score = tables[i, 0].take(columns[0])
                 for j in range(1, m):
                     score += tables[i, j].take(columns[j])
-                score *= scale
+                score = score * scale
                 s, r = np.concatenate([best[i][0], score]), np.concatenate([best[i][1], rep])
                 if len(s) > rerank:
                     floor = np.partition(s, len(s) - rerank)[len(s) - rerank]
@@ -213,15 +219,22 @@ def one_block(spark: SparkSession, index: Index, queries: DataFrame, k: int, rer
 
 
 def nearest(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Index ``rows`` and search them with ``queries`` (both ``vec_id``, ``v``, as :func:`usable` gives them)."""
-    index = build(rows, k + 1)
-    if index is None:
-        return rows.select(F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), "vec_id", F.lit(0.0).alias("score")).limit(0)
-    return search(index, queries, k)
+    """Index ``rows`` and search them with ``queries`` (both ``vec_id``, ``v``, as :func:`usable` gives them).
+
+    Only vectors of the same length have an inner product, so each length is an index of its own.
+    """
+    out = rows.select(F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), "vec_id", F.lit(0.0).alias("score")).limit(0)
+    for (length,) in sorted(rows.select(F.size("v")).distinct().collect()):
+        of = F.size("v") == length
+        index = build(rows.filter(of), k + 1)
+        if index is not None:
+            out = out.union(search(index, queries.filter(of), k))
+    return out
 
 
 def op6_additive_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest rows of each row whose vec_id 20 divides. Rows that share a vec_id and a vector count once; a
-    vec_id with several vectors may be found by each of them, and searches with one of them."""
+    vec_id with several vectors may be found by each of them, and searches with one of them. Scores are double precision of
+    the vectors as they are; vectors of another length are not compared; other columns are ignored."""
     rows = usable(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
     return nearest(rows, rows.filter(F.col("vec_id") % 20 == 0), 20)
