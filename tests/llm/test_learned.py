@@ -59,6 +59,58 @@ def test_language_of_odd_texts(spark, tmp_path):
     assert langid.op10_kernel_langid(spark, f"{tmp_path}/none").collect() == []
 
 
+def test_network_equals_plain_convolution():
+    """Largest responses, means and the logistic unit by plain loops over windows and bytes."""
+    rng = np.random.default_rng(1)
+    m = quality.constant(0.5)
+    m.filters = rng.normal(0, 0.3, m.filters.shape).astype(np.float32)
+    m.filters[:, 0] = -100
+    m.bias, m.weights, m.offset = rng.normal(0, 0.1, quality.FILTERS), rng.normal(0, 0.5, 2 * quality.FILTERS), 0.2
+    texts = [b"", b"abc", b"abcdefgh", bytes(rng.integers(1, 256, 700).astype(np.uint8)), bytes(rng.integers(1, 256, 1500).astype(np.uint8))]
+    for text, got in zip(texts, m.scores(texts), strict=True):
+        cuts = range(0, max(1, len(text) - (quality.CHUNK - quality.STEP)), quality.STEP)
+        best = []
+        for a in cuts:
+            piece = text[a : a + quality.CHUNK].ljust(quality.CHUNK, b"\0")
+            best.append([max(0.0, max(sum(float(m.filters[w, piece[p + w], f]) for w in range(quality.WIDTH)) for p in range(quality.CHUNK - quality.WIDTH + 1)) + m.bias[f]) for f in range(quality.FILTERS)])
+        features = np.concatenate([np.max(best, axis=0), np.mean(best, axis=0)])
+        assert abs(got - 1 / (1 + np.exp(-(features @ m.weights + m.offset)))) < 1e-4
+
+
+def test_kernel_and_ridge_equal_a_dense_calculation(monkeypatch):
+    """With all texts as landmarks, Nystroem ridge regression is ridge regression in the span of the kernel's columns."""
+    rng = np.random.default_rng(2)
+    words = {n: ["".join(rng.choice(list(a), 4)) for _ in range(30)] for n, a in (("x", "abcdefg"), ("y", "defghij"), ("z", "ghijklm"))}
+    texts = [(" ".join(rng.choice(words[n], 12)), n) for n in "xyz" for _ in range(15)]
+    texts.sort(key=lambda t: t[1])
+    m = langid.fit([t for t, _ in texts], [n for _, n in texts])
+
+    def sets(t):
+        b = langid.prepared(t)
+        return {(n, b[i : i + n]) for n in langid.ORDERS for i in range(len(b) - n + 1)}
+
+    held = [sets(t) for t, _ in texts]
+    kernel = lambda a, b: len(a & b) / np.sqrt(max(1, len(a)) * max(1, len(b)))
+    k = np.array([[kernel(a, b) for b in held] for a in held])
+    y = np.array([[1.0 if n == w else -1.0 for w in "xyz"] for _, n in texts])
+    alpha = np.linalg.solve(k + langid.RIDGE * len(texts) * np.eye(len(texts)), y)
+    new = [" ".join(rng.choice(words[n], 9)) for n in "xyzxyz"] + ["qqq zzz", "ab"]
+    f = np.array([[kernel(sets(t), h) for h in held] for t in new]) @ alpha
+    got = m.kernel(new).astype(float) @ m.weights
+    assert np.abs(got - f).max() < 1e-3
+    lang, score = m.predict(new)
+    assert lang == ["xyz"[i] for i in f.argmax(axis=1)] and np.abs(score - (np.clip(f.max(axis=1), -1, 1) + 1) / 2).max() < 1e-3
+
+
+def test_scores_are_double_and_lengths_apart(spark):
+    rows = [(0, [0.1, 0.2]), (1, [0.3, 0.7]), (2, [1e200, 1e-200]), (3, [0.5]), (20, [2.0]), (40, [1.0, 2.0, 3.0]), (4, [1e308, 1e308])]
+    df = additive.usable(spark.createDataFrame(rows, "vec_id long, v array<double>"), "vec_id", "v")
+    got = {}
+    for r in additive.nearest(df, df.filter("vec_id % 20 = 0"), 20).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    assert {q: sorted(x) for q, x in got.items()} == {0: [(1, 4, 0.1 * 1e308 + 0.2 * 1e308), (2, 2, 0.1 * 1e200 + 0.2 * 1e-200), (3, 1, 0.1 * 0.3 + 0.2 * 0.7)], 20: [(1, 3, 1.0)]}
+
+
 def nearest(rows, k=20):
     good = [(i, np.array(v, np.float32).astype(float)) for i, v in rows if i is not None and v is not None and None not in v and np.isfinite(v).all() and np.any(v)]
     good = list({(i, v.tobytes()): (i, v) for i, v in good}.values())

@@ -17,11 +17,11 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veridoc.llm.learning import first_of_each, held_out, spread
+from veridoc.llm.learning import first_of_each, held_out, texts_of
 from veridoc.sources.tables import table
 
-#: Bounds: training texts and landmarks for each language, bytes of a training text, n-grams in the kernel.
-SAMPLE, LANDMARKS, PIECE, PIECES, GRAMS = 300, 40, 256, 32, 6000
+#: Bounds: training documents, whose whole texts are learned from, and landmarks for each language.
+SAMPLE, LANDMARKS = 300, 40
 ORDERS, TABLE_BITS = (2, 3, 4), 20
 RIDGE = 1e-3
 LETTER = regex.compile(r"\p{L}")
@@ -51,20 +51,25 @@ def grams(data: bytes) -> np.ndarray:
 @dataclass
 class Model:
     languages: list[str]
-    places: np.ndarray  # TABLE -> n-gram or -1
+    places: np.ndarray  # TABLE -> row of the landmarks' table; the last row, of zeros, is for n-grams that no landmark has
     landmarks: np.ndarray  # n-grams x landmarks, columns of norm 1
     weights: np.ndarray  # landmarks x languages
 
-    def presence(self, texts: list[str]) -> np.ndarray:
-        """Rows of norm 1 (0 for a text with no known n-gram)."""
-        x = np.zeros((len(texts), self.landmarks.shape[0] + 1), np.float32)
-        for i, t in enumerate(texts):
-            x[i, self.places[grams(prepared(t))]] = 1
-        x = x[:, :-1]
-        return x / np.sqrt(np.maximum(1, x.sum(axis=1, keepdims=True)))
+    def kernel(self, texts: list[str]) -> np.ndarray:
+        """Kernel values of texts and landmarks: one matrix product over the n-grams that the batch has, all of them."""
+        held = [np.unique(grams(prepared(t))) for t in texts]
+        column, place = np.unique(np.concatenate(held), return_inverse=True) if held else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        known = self.places[column] < len(self.landmarks) - 1
+        at = np.cumsum(known) - 1
+        x = np.zeros((len(texts), int(known.sum())), np.float32)
+        owner = np.repeat(np.arange(len(texts)), [len(h) for h in held])
+        ok = known[place]
+        x[owner[ok], at[place[ok]]] = 1
+        norm = np.sqrt(np.maximum(1, np.array([len(h) for h in held], np.float32)))
+        return (x @ self.landmarks[self.places[column[known]]]) / norm[:, None]
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        kernel = np.concatenate([self.presence([t or "" for t in texts[a : a + 64]]) @ self.landmarks for a in range(0, len(texts), 64)]) if texts else np.zeros((0, self.landmarks.shape[1]))
+        kernel = np.concatenate([self.kernel([t or "" for t in texts[a : a + 64]]) for a in range(0, len(texts), 64)]) if texts else np.zeros((0, self.landmarks.shape[1]))
         f = kernel.astype(np.float64) @ self.weights
         best = f.argmax(axis=1) if f.shape[1] else np.zeros(len(texts), int)
         score = (np.clip(f.max(axis=1), -1, 1) + 1) / 2 if f.shape[1] else np.zeros(len(texts))
@@ -76,18 +81,17 @@ def fit(texts: list[str], languages: list[str]) -> Model:
     """Landmarks are each language's first LANDMARKS texts."""
     names = sorted(set(languages))
     if not texts:
-        return Model([], np.full(1 << TABLE_BITS, 0), np.zeros((0, 0), np.float32), np.zeros((0, 0)))
-    seen = np.zeros(1 << TABLE_BITS, np.int32)
-    for t in texts:
-        seen[np.unique(grams(prepared(t)))] += 1
-    top = np.argsort(-seen, kind="stable")[: min(GRAMS, int((seen > 0).sum()))]
-    places = np.full(1 << TABLE_BITS, len(top), np.int32)
-    places[top] = np.arange(len(top))
-    m = Model(names, places, np.zeros((len(top), 1), np.float32), np.zeros((1, len(names))))
-    x = m.presence(texts)
+        return Model([], np.zeros(1 << TABLE_BITS, np.int32), np.zeros((1, 0), np.float32), np.zeros((0, 0)))
     marks = [i for n in names for i in [k for k, g in enumerate(languages) if g == n][:LANDMARKS]]
-    m.landmarks = np.ascontiguousarray(x[marks].T)
-    k = (x @ m.landmarks).astype(np.float64)
+    held = [np.unique(grams(prepared(texts[i]))) for i in marks]
+    every = np.unique(np.concatenate(held))
+    places = np.full(1 << TABLE_BITS, len(every), np.int32)
+    places[every] = np.arange(len(every))
+    table = np.zeros((len(every) + 1, len(marks)), np.float32)
+    for j, h in enumerate(held):
+        table[places[h], j] = 1 / np.sqrt(max(1, len(h)))
+    m = Model(names, places, table, np.zeros((len(marks), len(names))))
+    k = np.concatenate([m.kernel(texts[a : a + 64]) for a in range(0, len(texts), 64)]).astype(np.float64)
     values, vectors = np.linalg.eigh(k[marks])
     keep = values > 1e-6 * values.max() if values.max() > 0 else values > 0
     root = vectors[:, keep] / np.sqrt(values[keep])  # Nystroem: features are kernel values times this
@@ -98,24 +102,17 @@ def fit(texts: list[str], languages: list[str]) -> Model:
 
 
 def train(docs: DataFrame) -> Model:
-    """Fit on at most SAMPLE documents of each language that are not held out."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", F.col("text").cast("binary").alias("text"))
-    known = rows.filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([spread(t, PIECE, PIECES) for t in b.column(2).to_pylist()], pa.binary())], ["doc_id", "lang", "text"])
-
-    got = first_of_each(known.mapInArrow(run, "doc_id long, lang string, text binary"), "lang", SAMPLE).toArrow().to_pylist()
-    got.sort(key=lambda r: (r["lang"], r["doc_id"], r["text"]))
-    texts = [r["text"].decode(errors="ignore") for r in got]
-    at = [i for i, t in enumerate(texts) if LETTER.search(t)]
-    return fit([texts[i] for i in at], [got[i]["lang"] for i in at])
+    """Fit on the whole texts of at most SAMPLE documents of each language that are not held out and have a letter."""
+    rows = docs.filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")) & F.col("text").rlike(r"\p{L}"))
+    known = rows.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("lang").alias("lang"))
+    got = texts_of(rows, first_of_each(known, "lang", SAMPLE), "lang")
+    got.sort(key=lambda r: (r[1], r[0]))
+    return fit([t.decode(errors="ignore") for _, _, t in got], [n for _, n, _ in got])
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """``doc_id``, ``lang_pred``, ``score`` of each row's whole text."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by GRAMS, LANDMARKS and the languages
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # the landmarks' n-grams: bounded by the table, LANDMARKS and the languages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
@@ -128,7 +125,8 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 def op10_kernel_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of all documents; ``und`` with score 0 for texts that are null or have no letter, and for all if
-    there is nothing to learn from. Ties go to the language that sorts first."""
+    there is nothing to learn from. Ties go to the language that sorts first. Repeated rows are answered as often; a document
+    with several languages counts for the first of them. A very long text is one set of n-grams. Other columns are ignored."""
     docs = table(spark, sf_dir, "documents")
     out = identify(docs, train(docs))
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")

@@ -15,12 +15,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veridoc.llm.learning import first_of_each, held_out, spread
+from veridoc.llm.learning import first_of_each, held_out, texts_of
 from veridoc.sources.tables import fresh, table
 
 CHUNK, STEP, WIDTH, FILTERS = 512, 480, 6, 16
-#: Bounds of the training sample: documents of each label, and chunks of a document.
-SAMPLE, CHUNKS = 1500, 24
+#: Bound of the training sample: documents of each label. What is learned from are their whole texts.
+SAMPLE = 1500
 THRESHOLD = 0.7
 
 
@@ -156,20 +156,11 @@ def fit(texts: list[bytes], labels: np.ndarray, epochs: int = 8, batch: int = 32
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
-    """Fit on at most SAMPLE labelled documents of each label that are not held out, CHUNKS chunks of each at most."""
-    known = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("quality").alias("_vd_label"))
-    sample = first_of_each(known, "_vd_label", SAMPLE)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            text = [spread(t or b"", STEP, CHUNKS) for t in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(text, pa.binary())], ["doc_id", "label", "text"])
-
-    # at most 2 * SAMPLE rows of 12 bytes
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).join(F.broadcast(sample), "doc_id")
-    got = rows.select("doc_id", F.col("_vd_label").cast("int").alias("label"), "text").mapInArrow(run, "doc_id long, label int, text binary").toArrow().to_pylist()
-    got = list({r["doc_id"]: r for r in sorted(got, key=lambda r: (r["doc_id"], r["text"]))}.values())
-    return fit([r["text"] for r in got], np.array([r["label"] for r in got]))
+    """Fit on the whole texts of at most SAMPLE labelled documents of each label that are not held out."""
+    known = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("int").alias("_vd_label"))
+    here = known.join(docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    got = texts_of(docs, first_of_each(here, "_vd_label", SAMPLE), "_vd_label")
+    return fit([t for _, _, t in got], np.array([y for _, y, _ in got]))
 
 
 def scored(docs: DataFrame, model: Model) -> tuple[DataFrame, str]:
@@ -191,7 +182,9 @@ def scored(docs: DataFrame, model: Model) -> tuple[DataFrame, str]:
 
 def op7_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all documents. Labels of held-out documents are never read; a text scores alike whatever its row says
-    besides. Null and empty texts score as a chunk without any window. Without labels of both kinds the score is constant."""
+    besides. Null and empty texts score as a chunk without any window. Without labels of both kinds the score is constant.
+    Repeated rows are scored as often; of labels that differ for one document the larger counts, and of texts that differ the
+    least is learned from. A very long text is scored by 256 chunks at a time. Other columns are ignored."""
     docs = table(spark, sf_dir, "documents")
     model = train(docs, table(spark, sf_dir, "labels"))
     out, score = scored(docs.select("doc_id", "text"), model)
@@ -199,6 +192,7 @@ def op7_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that the classifier accepts, with their columns."""
+    """The rows of ``docs`` that the classifier accepts, with their columns. Null and empty texts, repeated rows and very long
+    texts are as in the query; an empty table stays empty, and columns of any name keep their values."""
     out, score = scored(docs, train(docs, labels))
     return out.filter(F.col(score) >= threshold).select(*docs.columns)
