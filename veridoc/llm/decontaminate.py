@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veridoc.llm import shingles
+from veridoc.sources import scratch
 from veridoc.sources.tables import table
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -142,7 +143,7 @@ class Index:
 
 
 def blocks(benchmark: DataFrame) -> Iterator[Index]:
-    """Indexes of the items, each of about BLOCK_BYTES of text and BLOCK_ITEMS items at most; one is on the driver at a time."""
+    """Indexes of the items, each of about BLOCK_BYTES of text and BLOCK_ITEMS items at most."""
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text is not null")
     total, items = rows.agg(F.sum(F.octet_length("text")), F.count("*")).first()
     n = max(-(-(total or 0) // BLOCK_BYTES), -(-items // BLOCK_ITEMS))
@@ -157,7 +158,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """A row for each document row and item that it has: ``doc_id``, ``item_id``, ``similarity``, ``start_word``, ``words``.
 
     The window is the best one, the first of equals. Items of under five words count as one shingle; items and texts
-    without words match nothing. Items that repeat are each reported. Repeated documents are reported as often.
+    without words match nothing. Items that repeat are each reported. Repeated documents are reported as often. Null texts
+    and empty tables give no row, a very long text is looked through whole, and other columns are ignored. A benchmark of
+    several blocks is one pass over the documents for each.
     """
     spark, kinds = docs.sparkSession, "doc_id long, item_id long, similarity double, start_word long, words long"
     rows, out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), None
@@ -170,13 +173,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 columns = zip(*found, strict=True) if found else [()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "item_id", "similarity", "start_word", "words"])
 
-        found = rows.mapInArrow(run, kinds)
+        found = scratch.keep(rows.mapInArrow(run, kinds), "leaks")
+        sent.destroy()  # one block is in memory at a time
         out = found if out is None else out.union(found)
     return spark.createDataFrame([], kinds) if out is None else out
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without any item of the benchmark."""
+    """The rows of ``docs`` without any item of the benchmark, with their columns. Null and empty texts have none and stay,
+    repeated rows stay or go together, and an empty benchmark or table changes nothing."""
     for index in blocks(benchmark):
         sent = docs.sparkSession.sparkContext.broadcast(index)
         at = docs.columns.index("text")

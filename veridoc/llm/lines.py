@@ -28,7 +28,9 @@ def without_boilerplate(pages: DataFrame, ratio: float = RATIO, least: int = PAG
     Each row counts as a page, also a repeated one. Hosts are in lower case; a url that is null or has none belongs to
     host ''. A null html has no lines and an empty text. What is counted is a digest of each line, once a page; the
     counts are summed before the shuffle, so a line that very many pages share is few rows. At most mean lines a page /
-    ratio lines of a host are boilerplate, so a host's set of them stays small however many pages it has.
+    ratio lines of a host are boilerplate, so a host's set of them stays small however many pages it has. Hosts of under
+    ``least`` pages are left as they are: with fewer, one page is over the ratio by itself. A very long page is one row; an
+    empty table stays empty; other columns are ignored.
     """
     host = F.coalesce(F.lower(F.nullif(F.regexp_extract(F.col("url"), HOST, 2), F.lit(""))), F.lit(""))
     base = scratch.keep(pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), lines_of(F.col("html")).alias("lines")), "lines")

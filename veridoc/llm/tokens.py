@@ -48,7 +48,7 @@ class Encoder:
     spaces, are encoded where they stand and never kept.
     """
 
-    def __init__(self, path: str, capacity: int = 192 << 20):
+    def __init__(self, path: str, capacity: int = 128 << 20):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.capacity = Tokenizer.from_file(path), capacity
@@ -278,6 +278,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, kind: str = "byte", block:
         if writer is not None:
             writer.close()
             out.close()
+            pa.default_memory_pool().release_unused()
             fs.move(made, name)
             size = fs.get_file_info(name).size
             yield pa.RecordBatch.from_pylist([{"file": name, "part": part, "bytes": size, "docs": len(writer.sizes), "ids": writer.ids}])
@@ -286,7 +287,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, kind: str = "byte", block:
     return scratch.keep(files.mapInArrow(run, "file string, part long, bytes long, docs long, ids long"), "tokens-manifest")
 
 
-def light(batch: pa.RecordBatch, column: int, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def light(batch: pa.RecordBatch, column: int, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch whose strings in ``column`` have about ``most`` bytes, or that are one row."""
     ends = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0
