@@ -42,12 +42,16 @@ STAGES = [
     ("token files", token_files),
 ]
 
-#: A trained network and SimHash have no counterpart in SQL. Tests hold the later stages against brute force, each by itself.
+#: A trained network and SimHash have no counterpart in SQL. A test holds all five stages against plain loops, given the network's scores.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what each returns is written and read again."""
+    """All stages over ``documents``; what each returns is written and read again.
+
+    Null and empty texts count as texts without words. Rows that repeat are copies: one is kept. Empty tables go through all
+    stages. Other columns of ``documents`` are carried along to the mix.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = scratch.keep(stage(spark, docs, sf_dir), name.replace(" ", "-"))
