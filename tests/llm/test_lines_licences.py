@@ -73,3 +73,30 @@ def test_wrapped_licences(spark, mark, end, width):
     rows = [(i, t) for i, t in enumerate(made.values())] + [(10, f"{mark}Released under the MIT{end}{mark}License{end}{mark}All rights reserved{end}{mark}by us"), (11, f"{mark}All rights{end}{end}{mark}reserved")]
     got = sorted((r.doc_id, r.licence, r.rule) for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got == [(0, "MIT", "3 4 5 6"), (1, "Apache-2.0", "11 12 13 14 15"), (2, "BSD-3-Clause", "30 31 32 33"), (3, "GPL-3.0-or-later", "21 22 23 24"), (10, "MIT", "1"), (10, "Proprietary", "50")]
+
+
+PROGRAM = "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. "
+DISCLAIMER = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+MORE = {
+    ("GPL-2.0-or-later", "25 22 23 24"): [GPL[0].replace("version 3", "version 2"), PROGRAM + "See the GNU General Public License for more details.", "You should have received a copy of the GNU General Public License along with this program; if not, see <https://www.gnu.org/licenses/>."],
+    ("LGPL-2.1-or-later", "26 27 28 29"): [
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+        PROGRAM.replace("program", "library") + "See the GNU Lesser General Public License for more details.", "You should have received a copy of the GNU Lesser General Public License along with this library; if not, write to the Free Software Foundation"],
+    ("AGPL-3.0-or-later", "70 22 71 72"): [GPL[0].replace("GNU General", "GNU Affero General"), PROGRAM + "See the GNU Affero General Public License for more details.", GPL[2].replace("GNU General", "GNU Affero General")],
+    ("BSD-2-Clause", "30 31 32 34 35"): [*BSD[:3], DISCLAIMER], ("BSD-3-Clause", "30 31 32 33 34 35"): [*BSD, DISCLAIMER],
+    ("ISC", "60 61 62"): [
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."],
+    ("MPL-2.0", "73 74"): ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."],
+    ("Zlib", "75 76 77"): [
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"],
+    ("BSL-1.0", "78"): ["Distributed under the Boost Software License, Version 1.0. (See the file beside this one)"],
+}
+
+
+@pytest.mark.parametrize("mark", ["", "# ", " * "])
+def test_more_wrapped_licences(spark, mark):
+    text = ["".join(f"{mark}{line}".rstrip() + "\n" for p in parts for line in [*textwrap.wrap(p, 76), ""]) + "x = 1" for parts in MORE.values()]
+    got = sorted((r.doc_id, r.licence, r.rule) for r in licences.scan(spark.createDataFrame(list(enumerate(text)), "doc_id long, text string")).collect())
+    assert got == [(i, *known) for i, known in enumerate(MORE)]

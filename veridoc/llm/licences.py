@@ -31,10 +31,17 @@ SENTENCES = {
     22: "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
     23: "see the gnu general public license for more details",
     24: "you should have received a copy of the gnu general public license along with this program",
+    25: "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
+    26: "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version",
+    27: "this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
+    28: "see the gnu lesser general public license for more details",
+    29: "you should have received a copy of the gnu lesser general public license along with this library",
     30: "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
     31: "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
     32: "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
     33: "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    34: "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed",
+    35: "in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage",
     40: "licensed under cc by nc 4 0",
     41: "licensed under cc by 4 0",
     42: "licensed under cc by sa 4 0",
@@ -42,13 +49,28 @@ SENTENCES = {
     44: "this work is licensed under a creative commons attribution noncommercial 4 0 international license",
     45: "this work is licensed under a creative commons attribution sharealike 4 0 international license",
     50: "all rights reserved",
+    60: "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    61: "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness",
+    62: "in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software",
+    70: "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    71: "see the gnu affero general public license for more details",
+    72: "you should have received a copy of the gnu affero general public license along with this program",
+    73: "this source code form is subject to the terms of the mozilla public license v",
+    74: "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0",
+    75: "this software is provided as is without any express or implied warranty",
+    76: "in no event will the authors be held liable for any damages arising from the use of this software",
+    77: "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
+    78: "distributed under the boost software license version 1 0",
 }
 # Rules as (licence, kind, identifiers in order).
 RULES = (
     ("MIT", "notice", (1,)), ("MIT", "notice", (2,)), ("MIT", "text", (3, 4, 5, 6)),
     ("Apache-2.0", "notice", (10,)), ("Apache-2.0", "header", (11, 12, 13)), ("Apache-2.0", "header", (11, 12, 13, 14, 15)), ("Apache-2.0", "header", (12, 14, 15)),
     ("GPL-3.0-only", "notice", (20,)), ("GPL-3.0-or-later", "header", (21,)), ("GPL-3.0-or-later", "header", (21, 22, 23, 24)),
-    ("BSD-2-Clause", "text", (30, 31, 32)), ("BSD-3-Clause", "text", (30, 31, 32, 33)),
+    ("GPL-2.0-or-later", "header", (25,)), ("GPL-2.0-or-later", "header", (25, 22, 23, 24)),
+    ("LGPL-2.1-or-later", "header", (26,)), ("LGPL-2.1-or-later", "header", (26, 27, 28, 29)), ("AGPL-3.0-or-later", "header", (70,)), ("AGPL-3.0-or-later", "header", (70, 22, 71, 72)),
+    ("BSD-2-Clause", "text", (30, 31, 32)), ("BSD-2-Clause", "text", (30, 31, 32, 34, 35)), ("BSD-3-Clause", "text", (30, 31, 32, 33)), ("BSD-3-Clause", "text", (30, 31, 32, 33, 34, 35)),
+    ("ISC", "text", (60, 61, 62)), ("MPL-2.0", "header", (73, 74)), ("Zlib", "text", (75, 76, 77)), ("BSL-1.0", "notice", (78,)),
     ("CC-BY-NC-4.0", "notice", (40,)), ("CC-BY-4.0", "notice", (41,)), ("CC-BY-SA-4.0", "notice", (42,)),
     ("CC-BY-4.0", "notice", (43,)), ("CC-BY-NC-4.0", "notice", (44,)), ("CC-BY-SA-4.0", "notice", (45,)),
     ("Proprietary", "notice", (50,)),
