@@ -18,9 +18,10 @@ def first_of_each(rows: DataFrame, label: str, size: int) -> DataFrame:
     """``size`` rows of each label value, those whose doc_id hashes lowest; ``rows`` has ``doc_id`` and the label, each pair once.
 
     Rows whose hash is beyond what twice the size needs are dropped first, by the label's count, so about 2 ``size`` rows of
-    a label are ordered together however frequent it is.
+    a label are ordered together however frequent it is. The counts, a row for each label, are sent to all tasks, so the
+    rows of a label do not meet before they are dropped.
     """
-    counts = rows.groupBy(label).agg(F.count("*").alias("_vd_count"))
+    counts = light(scratch.keep(rows.groupBy(label).agg(F.count("*").alias("_vd_count")), "counts"))
     part = F.xxhash64("doc_id") / F.lit(2.0**64) + 0.5
     few = rows.join(counts, label).filter(part <= (2.0 * size + 50) / F.col("_vd_count")).drop("_vd_count")
     order = Window.partitionBy(label).orderBy(F.xxhash64("doc_id"), "doc_id")
