@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from veridoc.llm import additive, decontaminate, langid, licences, lines, mixing, quality, simhash, tokens, warczip
+from veridoc.llm import additive, bpe, decontaminate, langid, licences, lines, mixing, quality, simhash, tokens, warczip
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_source_mix": mixing.op8_source_mix,
     "op9_licence_rules": licences.op9_licence_rules,
     "op10_kernel_langid": langid.op10_kernel_langid,
+    "op11_duckdb_bpe": bpe.op11_duckdb_bpe,
 }
 
 SQL = {
