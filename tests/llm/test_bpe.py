@@ -39,7 +39,7 @@ def test_ids_and_bytes_equal_the_library(coder, library):
 
 
 def test_a_full_memory_changes_nothing(coder, library, monkeypatch):
-    monkeypatch.setattr(bpe, "KNOWN_BYTES", 50)
+    monkeypatch.setattr(bpe, "KNOWN", 50)
     monkeypatch.setattr(bpe, "STEP_BYTES", 10)
     for t in ("some unusualwordform here", "someone unusualwordforms there", "some unusualwordform here"):
         assert coder.encode(pa.array([t]))[0].tolist() == library.encode_ordinary(t)
@@ -78,6 +78,9 @@ def test_empty_table_and_wrong_ids(spark, tmp_path):
     assert bpe.op11_duckdb_bpe(spark, str(tmp_path)).count() == 0
     rows = spark.createDataFrame([(1, [464, 995]), (2, []), (3, None), (4, [220])], "k int, ids array<int>")
     assert {r.k: bytes(r.decoded) for r in bpe.decoded(rows).collect()} == {1: b"The world", 2: b"", 3: b"", 4: b" "}
+    same = spark.createDataFrame([(i, t) for i, t in enumerate(texts())], "k int, text string")
+    one, two = bpe.encoded(same, back="b").collect(), bpe.decoded(bpe.encoded(same), out="b").collect()
+    assert sorted(one) == sorted(two)
     for wrong in ([50256], [None]):
         with pytest.raises(Exception, match="vocabulary|null"):
             bpe.decoded(spark.createDataFrame([(wrong,)], "ids array<int>")).collect()

@@ -19,6 +19,7 @@ leave the recursion.
 from __future__ import annotations
 
 import base64
+import itertools
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -35,8 +36,9 @@ from veridoc.llm.tokens import LOOSE, Encoder
 from veridoc.sources.tables import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
-#: Bytes of words whose ids a worker remembers, and of new words that one recursive query takes.
-KNOWN_BYTES, STEP_BYTES = 12 << 20, 1 << 20
+#: Characters of pieces whose ids a worker remembers, bytes of new words that one recursive query takes, and characters of
+#: texts that are encoded together (a longer text is encoded by itself).
+KNOWN, STEP_BYTES, TOGETHER = 8 << 20, 1 << 17, 1 << 20
 #: Bytes of a word that the plainer query takes.
 SHORT = 64
 
@@ -142,17 +144,22 @@ class Coder:
             raise ValueError(f"{len(missing)} of the 256 bytes have no token")
         self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
         self.split = regex.compile(public_tokenizers.PATTERN).findall
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "300MB"})
         self.con.register("given", merge_table(self.ranks))
         self.con.execute("CREATE TABLE merges AS FROM given")
         self.con.register("given", pa.table({"id": pa.array(list(self.ranks.values()), pa.int32()), "piece": [t.decode("latin-1") for t in self.ranks]}))
         self.con.execute("CREATE TABLE vocabulary AS FROM given")
         self.query = _CONTRACT.format(zone=2 * max(map(len, self.ranks)) + 2)
-        self._forget()
+        self.known: dict[str, int] = {}
+        self.ids, self.starts, self.total, self.held = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)], 0, 0
 
     def _forget(self) -> None:
-        self.known, self.held = {}, 0
-        self.ids, self.starts, self.total = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)], 0
+        """Keeps the third that was met first, which has most of the frequent pieces."""
+        n = len(self.known) // 3
+        self.known = dict(itertools.islice(self.known.items(), n))
+        starts = np.concatenate(self.starts)[: n + 1]
+        self.total, self.held = int(starts[-1]), sum(map(len, self.known))
+        self.ids, self.starts = [np.concatenate(self.ids)[: self.total].copy()], [starts.copy()]
 
     def contracted(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of words that are no tokens themselves, in order, and how many each has. All are short, or all long."""
@@ -215,7 +222,7 @@ class Coder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts of an Arrow array of strings, and where each text's begin; null is an empty text."""
-        if self.held > KNOWN_BYTES:
+        if self.held > KNOWN:
             self._forget()
         if not len(texts):
             return np.zeros(0, np.int32), np.zeros(1, np.int64)
@@ -252,23 +259,39 @@ def _coder(path: str) -> Coder:
     return Coder(path)
 
 
-def encoded(docs: DataFrame, column: str = "text", path: str = RANKS, out: str = "ids") -> DataFrame:
-    """``docs`` with the ids of ``column`` as the array ``out`` instead of the text; null and empty texts have none.
+def some_together(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Ranges of rows with about TOGETHER characters each."""
+    ends = np.cumsum(pc.utf8_length(texts).fill_null(0).to_numpy(zero_copy_only=False))
+    i = 0
+    while i < len(ends):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + TOGETHER, "right")))
+        yield i, j
+        i = j
+
+
+def encoded(docs: DataFrame, column: str = "text", path: str = RANKS, out: str = "ids", back: str | None = None) -> DataFrame:
+    """``docs`` with the ids of ``column`` as the array ``out`` instead of the text; null and empty texts have none. ``back``
+    names a further column for the bytes that the ids decode to, as :func:`decoded` would add, by the same workers.
 
     Each match of the public pattern is encoded by itself, without special tokens. Ids of a text do not depend on other rows,
-    so repeated rows give equal ids. Other columns pass through. A column that is named like ``out`` is refused.
+    so repeated rows give equal ids. Other columns pass through. One that is named like a new column is refused.
     """
     keep = [c for c in docs.columns if c != column]
-    if out.lower() in {c.lower() for c in keep}:
-        raise ValueError(f"{out} is a column already")
-    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(out, T.ArrayType(T.IntegerType(), False), False)])
+    new = [T.StructField(out, T.ArrayType(T.IntegerType(), False), False)] + ([T.StructField(back, T.BinaryType(), False)] if back else [])
+    if taken := {f.name.lower() for f in new} & {c.lower() for c in keep}:
+        raise ValueError(f"{sorted(taken)} are columns already")
+    schema = T.StructType([docs.schema[c] for c in keep] + new)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(path)
-        for b in batches:
-            ids, bounds = coder.encode(b.column(column))
-            lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), lists], names=[*keep, out])
+        for batch in batches:
+            for i, j in some_together(batch.column(column)):
+                b = batch.slice(i, j - i)
+                ids, bounds = coder.encode(b.column(column))
+                added = [pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))]
+                if back:
+                    added.append(pa.array(coder.decode(ids, bounds), pa.binary()))
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *added], names=schema.names)
 
     return docs.select(*keep, column).mapInArrow(run, schema)
 
@@ -301,6 +324,6 @@ def op11_duckdb_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     other, texts of any length are encoded whole, an empty table gives no rows, further columns are not read.
     """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    both = decoded(encoded(docs))
+    both = encoded(docs, back="decoded")
     text = F.concat_ws(" ", F.col("ids").cast("array<string>"))
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(text.cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from veridoc.llm import additive, bpe, decontaminate, langid, licences, lines, mixing, quality, simhash, tokens, warczip
+from veridoc.llm import additive, bpe, collocations, decontaminate, divergence, langid, licences, lines, mixing, quality, simhash, tokens, warczip
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -16,6 +16,8 @@ QUERIES = {
     "op9_licence_rules": licences.op9_licence_rules,
     "op10_kernel_langid": langid.op10_kernel_langid,
     "op11_duckdb_bpe": bpe.op11_duckdb_bpe,
+    "op12_source_divergence": divergence.op12_source_divergence,
+    "op13_son_collocations": collocations.op13_son_collocations,
 }
 
 SQL = {
@@ -23,4 +25,6 @@ SQL = {
     "op5_warc_zip": warczip.OP5_SQL,
     "op8_source_mix": mixing.OP8_SQL,
     "op9_licence_rules": licences.OP9_SQL,
+    "op12_source_divergence": divergence.OP12_SQL,
+    "op13_son_collocations": collocations.OP13_SQL,
 }
