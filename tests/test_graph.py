@@ -3,7 +3,6 @@ from pyspark.sql import functions as F
 from veridoc.functions import text
 from veridoc.operators import graph, ingest, listing
 from veridoc.plans import catalog
-from veridoc.streaming import events
 
 
 def test_same_bytes_twice_bad_utf8_and_restore(spark):
@@ -51,16 +50,5 @@ def test_invalidation(spark):
     assert {r.id: r.status for r in e.collect()} == {"ab": "stale", "bd": "suggested", "cd": "confirmed", "bb": "stale"}
 
 
-def test_stream_and_batch_states_agree(spark, tmp_path):
-    rows = [("r1", "chunk_started", 1), ("r1", "completed", 4), ("r1", "error", 9), ("r2", "delta", 2), ("r3", "error", 3)]
-    df = spark.createDataFrame(rows, "run_id string, event string, seq long")
-    for part in (df.filter("seq < 4"), df.filter("seq >= 4")):  # the second query goes on where the first stopped
-        part.repartition(2).write.mode("append").parquet(f"{tmp_path}/in")
-        events.stream_states(spark, f"{tmp_path}/in", "run_id string, event string, seq long", f"{tmp_path}/state", f"{tmp_path}/out").awaitTermination(120)
-    got = sorted(tuple(r) for r in events.latest_states(spark, f"{tmp_path}/out").collect())
-    assert got == sorted(tuple(r) for r in events.run_states(df).collect())
-    assert {r[0]: r[1] for r in got} == {"r1": "completed", "r2": "processing", "r3": "failed"}
-
-
 def test_every_query_has_columns_of_its_own_names():
     assert len(catalog.QUERIES) >= 60 and set(catalog.SQL) <= set(catalog.QUERIES)

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from veridoc.functions import text
 from veridoc.operators import graph, ingest, listing, segment, validate
 from veridoc.plans.bridge import Workspace, duckdb
-from veridoc.streaming import events
+from veridoc.sources import eventlog, scratch
+from veridoc.streaming import events, machines
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -472,10 +473,11 @@ def documents_soft_delete(v):
 
 
 # ---- run events
-@query("""SELECT run_id, CASE arg_min(event, seq) FILTER (event IN ('completed', 'error')) WHEN 'completed' THEN 'completed' WHEN 'error' THEN 'failed' ELSE 'processing' END AS status, count(*) FILTER (event = 'chunk_started') AS chunks_started,
- count(*) FILTER (event = 'chunk_completed') AS chunks_completed, max(seq) FILTER (event IN ('completed', 'error')) AS ended_at FROM v_event GROUP BY run_id""")
+@query("""WITH f AS (SELECT run_id, min(seq) FILTER (event IN ('completed', 'error')) AS ended_at, arg_min(event, seq) FILTER (event IN ('completed', 'error')) AS e FROM v_event GROUP BY run_id)
+SELECT f.run_id, CASE e WHEN 'completed' THEN 'completed' WHEN 'error' THEN 'failed' ELSE 'processing' END AS status, count(*) FILTER (event = 'chunk_started' AND (ended_at IS NULL OR seq < ended_at)) AS chunks_started,
+ count(*) FILTER (event = 'chunk_completed' AND (ended_at IS NULL OR seq < ended_at)) AS chunks_completed, ended_at FROM f JOIN v_event x ON x.run_id = f.run_id GROUP BY f.run_id, e, ended_at""")
 def run_state_fold(v):
-    return events.run_states(v("v_event"))
+    return machines.run_states(v("v_event"))
 
 
 @query("""WITH s AS (SELECT run_id, chunk_id, max(seq) AS start FROM v_event WHERE event = 'chunk_started' GROUP BY 1, 2)
@@ -484,12 +486,20 @@ def delta_concat(v):
     return events.delta_texts(v("v_event"))
 
 
-@query("SELECT run_id AS stream_id, CAST(row_number() OVER (PARTITION BY run_id ORDER BY seq) - 1 AS INTEGER) AS seq, event, delta FROM v_event")
+@query("SELECT run_id AS stream_id, row_number() OVER (PARTITION BY run_id ORDER BY seq) - 1 AS seq, event, chunk_id, delta FROM v_event")
 def event_text_round_trip(v):
-    texts = v("v_event").select("run_id", "seq", "event", F.struct("run_id", "chunk_id", "delta").alias("d"))
-    written = events.to_text(texts.select("seq", "event", "d.run_id", "d.chunk_id", "d.delta")).join(texts.select("seq", c("run_id").alias("stream_id")), "seq")
-    streams = written.groupBy("stream_id").agg(F.sort_array(F.collect_list(F.struct("seq", "text"))).alias("t")).select("stream_id", F.array_join("t.text", "").alias("text"))
-    return events.parsed(streams).select("stream_id", "seq", "event", "delta")
+    """All events written to a log as text, with every run as a stream, and read back."""
+    log = scratch.new_dir(v.spark, "log")
+    eventlog.write(v("v_event").withColumn("stream_id", c("run_id")).select("stream_id", "seq", "event", "run_id", "chunk_id", "delta"), log)
+    return eventlog.numbered(eventlog.read(v.spark, log)).select("stream_id", "seq", "event", "chunk_id", "delta")
+
+
+@query("SELECT run_id AS stream_id, 'the stream broke off before it was completed or failed' AS message FROM v_event GROUP BY run_id HAVING NOT bool_or(event IN ('completed', 'error'))")
+def event_streams_broken(v):
+    """Streams of a log without an ending event, each as the error it is."""
+    log = scratch.new_dir(v.spark, "log")
+    eventlog.write(v("v_event").withColumn("stream_id", c("run_id")).select("stream_id", "seq", "event", "run_id"), log)
+    return eventlog.with_broken(eventlog.read(v.spark, log)).filter(c("message").isNotNull()).select("stream_id", "message")
 
 
 @query("SELECT run_id AS stream_id, bool_or(event IN ('completed', 'error')) AS ended FROM v_event GROUP BY 1")

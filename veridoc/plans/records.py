@@ -8,7 +8,7 @@ from veridoc.functions import text
 from veridoc.operators import graph, ingest, listing, records, retrieval, runs, segment, validate
 from veridoc.plans.catalog import KEYED, LATEST, _found, _reviewed, _reviews, now, query
 from veridoc.sources import files
-from veridoc.streaming import events
+from veridoc.streaming import events, machines
 
 c = F.col
 
@@ -229,12 +229,39 @@ def run_failures(v):
     return events.failures(v("v_event").withColumn("message", F.concat(F.lit("at "), c("seq").cast("string"))).withColumn("recoverable", c("delta") == ""))
 
 
-@query("""WITH s AS (SELECT user_id AS workflow_id, props AS key, event_id AS seq, event_type AS step, CASE WHEN value > 20 THEN 'failed' WHEN value > 10 THEN 'started' ELSE 'completed' END AS status FROM events),
- o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY workflow_id, key ORDER BY seq) AS n FROM s) WHERE n = 1), l AS (SELECT workflow_id, step, arg_max(status, seq) AS status FROM o GROUP BY 1, 2)
-SELECT workflow_id, CASE WHEN count(*) FILTER (status = 'failed') > 0 THEN 'failed' WHEN count(*) FILTER (status = 'completed') < count(*) THEN 'running' ELSE 'completed' END AS state, count(*) FILTER (status = 'completed') AS completed, min(step) FILTER (status <> 'completed') AS resume_at FROM l GROUP BY 1""")
+# The rows of SQL walk a workflow's events one by one; a step's machine is named by it, a workflow's by ''.
+_MOVES = ", ".join(f"('{k}', '{a}', '{b}')" for k, table in machines.MOVES.items() for a, to in table.items() for b in to)
+WALKED = f"""WITH RECURSIVE moves(kind, a, b) AS (VALUES {_MOVES}),
+ s AS (SELECT user_id AS workflow_id, props AS key, event_id AS seq, CASE WHEN event_type <> 'click' THEN event_type END AS step,
+   CASE WHEN event_type = 'click' THEN CASE WHEN value > 30 THEN 'COMPLETED' WHEN value > 20 THEN 'WAITING_HUMAN' WHEN value > 15 THEN 'RETRY_SCHEDULED' ELSE 'RUNNING' END
+     ELSE CASE WHEN value > 20 THEN 'FAILED' WHEN value > 5 THEN 'RUNNING' WHEN value > 1 THEN 'SUCCEEDED' ELSE 'SKIPPED' END END AS status FROM events),
+ o AS (SELECT *, coalesce(step, '') AS machine, CASE WHEN step IS NULL THEN 'run' ELSE 'step' END AS kind FROM s QUALIFY row_number() OVER (PARTITION BY workflow_id, key ORDER BY seq) = 1),
+ n AS (SELECT *, row_number() OVER (PARTITION BY workflow_id, machine ORDER BY seq) AS n FROM o),
+ w AS (SELECT workflow_id, machine, step, kind, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS seq, '' AS status, '' AS state_before, CASE kind WHEN 'run' THEN 'CREATED' ELSE 'PENDING' END AS state_after, true AS legal FROM n WHERE n = 1
+   UNION ALL SELECT n.workflow_id, n.machine, n.step, n.kind, n.n, n.seq, n.status, w.state_after, CASE WHEN m.b IS NULL THEN w.state_after ELSE n.status END, m.b IS NOT NULL
+     FROM w JOIN n ON n.workflow_id = w.workflow_id AND n.machine = w.machine AND n.n = w.n + 1 LEFT JOIN moves m ON m.kind = n.kind AND m.a = w.state_after AND m.b = n.status)
+"""
+STEPS = ("signup", "view", "purchase", "error")
+
+
+def _walked(v):
+    to = F.when(c("event_type") == "click", F.when(c("value") > 30, "COMPLETED").when(c("value") > 20, "WAITING_HUMAN").when(c("value") > 15, "RETRY_SCHEDULED").otherwise("RUNNING")).otherwise(
+        F.when(c("value") > 20, "FAILED").when(c("value") > 5, "RUNNING").when(c("value") > 1, "SUCCEEDED").otherwise("SKIPPED"))
+    return machines.walked(v("events").select(c("user_id").alias("workflow_id"), c("props").alias("key"), c("event_id").alias("seq"), F.when(c("event_type") != "click", c("event_type")).alias("step"), to.alias("status")))
+
+
+@query(WALKED + "SELECT workflow_id, step, seq, status, state_before FROM w WHERE NOT legal")
+def workflow_refused(v):
+    """Events that their workflow's or step's state did not allow."""
+    return _walked(v).filter("not legal").select("workflow_id", "step", "seq", "status", "state_before")
+
+
+@query(WALKED + """, l AS (SELECT workflow_id, machine, arg_max(state_after, n) AS state, count(*) FILTER (NOT legal) AS refused FROM w GROUP BY 1, 2),
+ g AS (SELECT workflow_id, coalesce(max(state) FILTER (machine = ''), 'CREATED') AS state, count(*) FILTER (machine <> '' AND state IN ('SUCCEEDED', 'SKIPPED')) AS done, CAST(sum(refused) AS BIGINT) AS refused,
+   coalesce(list(machine) FILTER (state IN ('SUCCEEDED', 'SKIPPED')), []) AS d FROM l GROUP BY 1)
+SELECT workflow_id, state, done, refused, CASE WHEN state NOT IN ('COMPLETED', 'FAILED', 'CANCELLED') THEN list_filter(['signup', 'view', 'purchase', 'error'], lambda x: NOT list_contains(d, x))[1] END AS resume_at FROM g""")
 def workflow_states(v):
-    status = F.when(c("value") > 20, "failed").when(c("value") > 10, "started").otherwise("completed")
-    return events.workflow_states(v("events").select(c("user_id").alias("workflow_id"), c("props").alias("key"), c("event_id").alias("seq"), c("event_type").alias("step"), status.alias("status")))
+    return machines.workflow_states(_walked(v), STEPS)
 
 
 @query("SELECT document_id, min(chunk_ord) AS request_ord, count(*) > 1 AS repeated, document_id IN (SELECT document_id FROM (SELECT document_id, min(chunk_ord) AS o FROM v_chunk WHERE document_id IN (SELECT id FROM v_document WHERE status = 'active') GROUP BY 1 ORDER BY o LIMIT 14)) AS accepted FROM v_chunk GROUP BY document_id")

@@ -1,8 +1,8 @@
-"""Run events: their text form, their fold into states, as a batch and as a stream."""
+"""Run events: their order, increments, failures and admission. Their text form is in sources.eventlog, their states in machines."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # The events of a run in their order; the last two end it.
@@ -10,35 +10,11 @@ EVENTS = ("run_started", "chunk_started", "delta", "chunk_completed", "document_
 FIELDS = "run_id string, document_id string, chunk_id string, chunk_index int, delta string, message string, recoverable boolean"
 
 
-def to_text(events: DataFrame) -> DataFrame:
-    """Rows of seq, event and the fields as "event:<name>\\ndata:<json>\\n\\n"; null fields are left out."""
-    body = F.to_json(F.struct(*[c for c in events.columns if c not in ("seq", "event")]))
-    return events.select("seq", F.concat(F.lit("event:"), F.col("event"), F.lit("\ndata:"), body, F.lit("\n\n")).alias("text"))
-
-
-def parsed(streams: DataFrame) -> DataFrame:
-    """Events of each row of ``stream_id``, ``text``: blocks end with an empty line, data lines are joined by line ends."""
-    blocks = streams.select("stream_id", F.posexplode(F.split(F.regexp_replace("text", "\r\n", "\n"), "\n\n")).alias("seq", "block"))
-    lines = F.split("block", "\n")
-    pick = lambda name: F.transform(F.filter(lines, lambda x: F.startswith(x, F.lit(name))), lambda x: F.ltrim(F.substring(x, len(name) + 1, 1 << 30)))
-    found = blocks.filter("block <> ''").select("stream_id", "seq", F.array_join(pick("event:"), "").alias("event"), F.array_join(pick("data:"), "\n").alias("data"))
-    return found.select("stream_id", "seq", "event", F.from_json("data", FIELDS).alias("d")).select("stream_id", "seq", "event", "d.*")
-
-
 def ended(events: DataFrame) -> DataFrame:
     """Whether each stream has an event that ends it; one without is an error."""
     return events.groupBy("stream_id").agg(F.bool_or(F.col("event").isin("completed", "error")).alias("ended"))
 
 
-def run_states(events: DataFrame) -> DataFrame:
-    """Status, chunks and the last message of each run; the first ending event decides. Works on batches and streams."""
-    last = F.min_by("event", F.when(F.col("event").isin("completed", "error"), F.col("seq")))
-    status = F.when(last == "completed", "completed").when(last == "error", "failed").otherwise("processing")
-    return events.groupBy("run_id").agg(
-        status.alias("status"), F.count_if(F.col("event") == "chunk_started").alias("chunks_started"), F.count_if(F.col("event") == "chunk_completed").alias("chunks_completed"),
-        F.max(F.when(F.col("event").isin("completed", "error"), F.col("seq"))).alias("ended_at"))
-
-
 def delta_texts(events: DataFrame) -> DataFrame:
     """The increments of each run and chunk put together in order; those before the chunk's last start do not count."""
     starts = events.filter("event = 'chunk_started'").groupBy("run_id", "chunk_id").agg(F.max("seq").alias("_start"))
@@ -66,17 +42,6 @@ def failures(events: DataFrame) -> DataFrame:
     return first.filter("e.event = 'error'").select("run_id", "e.message", F.coalesce("e.recoverable", F.lit(False)).alias("recoverable"))
 
 
-def workflow_states(steps: DataFrame) -> DataFrame:
-    """State of each workflow from its step events (workflow_id, step, key, seq, status). An event whose key has been seen
-    before counts once. A workflow has failed if a step's last event has, runs while one is open, and is completed otherwise;
-    it resumes at the first step that is not completed."""
-    once = steps.groupBy("workflow_id", "key").agg(F.min_by(F.struct("step", "seq", "status"), "seq").alias("e")).select("workflow_id", "e.*")
-    last = once.groupBy("workflow_id", "step").agg(F.max_by("status", "seq").alias("status"))
-    n = lambda s: F.count_if(F.col("status") == s)
-    state = F.when(n("failed") > 0, "failed").when(n("completed") < F.count("*"), "running").otherwise("completed")
-    return last.groupBy("workflow_id").agg(state.alias("state"), n("completed").alias("completed"), F.min(F.when(F.col("status") != "completed", F.col("step"))).alias("resume_at"))
-
-
 def admitted(requests: DataFrame, capacity: int = 14, docs: DataFrame | None = None) -> DataFrame:
     """Requests (request_ord, document_id) with ``accepted``: the first ``capacity`` of different documents, in order.
     With ``docs`` (id, status), requests of documents that are not there or not active are never accepted."""
@@ -84,24 +49,3 @@ def admitted(requests: DataFrame, capacity: int = 14, docs: DataFrame | None = N
     known = first if docs is None else first.join(docs.filter("status = 'active'").select(F.col("id").alias("document_id")), "document_id", "left_semi")
     head = known.orderBy("request_ord").limit(capacity).select("document_id", F.lit(True).alias("_in"))
     return first.join(head, "document_id", "left").select("document_id", "request_ord", (F.col("n") > 1).alias("repeated"), F.coalesce("_in", F.lit(False)).alias("accepted"))
-
-
-def stream_states(spark: SparkSession, path: str, schema: str, checkpoint: str, table: str):
-    """A streaming query over event files that keeps :func:`run_states` up to date in the Parquet table at ``table``.
-
-    State lives in the executors' state store and each batch's result is written by tasks, so neither grows on the driver.
-    The query goes on whether anyone reads the table or not, and after a stop from its checkpoint. A reader that polls sees
-    whole versions only: each batch is a folder of its own, and the newest complete one is the table.
-    """
-
-    def write(states: DataFrame, batch: int) -> None:
-        states.write.mode("overwrite").parquet(f"{table}/batch={batch:012d}")
-
-    rows = run_states(spark.readStream.schema(schema).parquet(path))
-    return rows.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def latest_states(spark: SparkSession, table: str) -> DataFrame:
-    """The states after the newest batch that :func:`stream_states` has finished."""
-    rows = spark.read.parquet(table)
-    return rows.join(rows.agg(F.max("batch").alias("batch")), "batch").drop("batch")
