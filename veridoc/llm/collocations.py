@@ -11,6 +11,8 @@ lets more through), and the last pass counts what it lets through as text, so th
 
 from __future__ import annotations
 
+import itertools
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -195,8 +197,52 @@ def bitmap(found: DataFrame, ranges: int, sets: int):
     return spark.sparkContext.broadcast(Bitmap(cells, bits))
 
 
+class Named:
+    """Counts of phrases by their two hashes, with the text of each; what a task has seen before only adds to a number."""
+
+    def __init__(self) -> None:
+        self.first, self.second = np.zeros(0, np.uint64), np.zeros(0, np.uint64)  # sorted by the first
+        self.n, self.name = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.names: list[tuple[str, int, str]] = []
+
+    def add(self, some: Phrases, places: np.ndarray, size: int, langs: list[str], lang: np.ndarray) -> Iterator[tuple[str, int, str, int]]:
+        """Takes the phrases at ``places``. Those whose first hash is another phrase's too are given back with their number."""
+        h = some.of(places, size)
+        order = np.argsort(h, kind="stable")
+        h, places = h[order], places[order]
+        g = some.of(places, size, 1)
+        at = np.flatnonzero(packed.changes([h]))
+        alike = np.logical_and.reduceat(g == g[at][np.cumsum(packed.changes([h])) - 1], at) if len(at) else np.zeros(0, bool)
+        h1, g1, n1, p1 = h[at], g[at], np.diff(at, append=len(h)), places[at]
+        where = np.minimum(np.searchsorted(self.first, h1), max(0, len(self.first) - 1))
+        known = self.first[where] == h1 if len(self.first) else np.zeros(len(h1), bool)
+        alike &= ~known | (self.second[where] == g1) if len(self.first) else True
+        np.add.at(self.n, where[known & alike], n1[known & alike])
+        new = np.flatnonzero(~known & alike)
+        names = np.arange(len(self.names), len(self.names) + len(new))
+        self.names += [(langs[lang[p]], size, some.text(p, size)) for p in p1[new].tolist()]
+        place = np.searchsorted(self.first, h1[new])
+        self.first, self.second, self.n, self.name = (np.insert(x, place, y) for x, y in ((self.first, h1[new]), (self.second, g1[new]), (self.n, n1[new]), (self.name, names)))
+        for k in np.flatnonzero(~alike).tolist():
+            for p in places[at[k] : at[k] + n1[k]].tolist():
+                yield langs[lang[p]], size, some.text(p, size), 1
+
+    def rows(self) -> Iterator[tuple[str, int, str, int]]:
+        n = np.zeros(len(self.names), np.int64)
+        n[self.name] = self.n
+        for name, k in zip(self.names, n.tolist(), strict=True):
+            yield *name, k
+
+
 def _counted(batches: Iterator[pa.RecordBatch], candidates) -> Iterator[pa.RecordBatch]:
-    """Phrases that the bitmap lets through, as text with their number in the batch; and all words of a language with 0 words."""
+    """Phrases that the bitmap lets through, as text with their number in the task; and all words of a language with 0 words."""
+    kinds = (pa.string(), pa.int32(), pa.string(), pa.int64())
+
+    def sent(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+        while some := list(itertools.islice(rows, 20_000)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some, strict=True), kinds, strict=True)], names=["lang", "words", "phrase", "n"])
+
+    named, total = Named(), Counter()
     for b in batches:
         data, bounds = packed.bytes_of(b.column("text"))
         langs = b.column("lang").to_pylist()
@@ -205,20 +251,15 @@ def _counted(batches: Iterator[pa.RecordBatch], candidates) -> Iterator[pa.Recor
         for i, j, part, cut in packed.slices(data, bounds, ENDS):
             some = Phrases(part, np.array([0, len(part)]) if cut else bounds[i : j + 1] - bounds[i], salts[i:j], (1, 2))
             lang = of_row[i:j][some.rows]
-            total = np.bincount(lang, minlength=len(names))
-            out = [(names[k], 0, "", int(n)) for k, n in enumerate(total.tolist()) if n]
+            total.update({names[k]: int(n) for k, n in enumerate(np.bincount(lang, minlength=len(names)).tolist()) if n})
             for n in range(1, WORDS + 1):
                 places = some.places(n)
-                h = some.of(places, n)
-                keep = candidates.value.has(h)
-                places, h = places[keep], h[keep]
-                g = some.of(places, n, 1)
-                order = np.lexsort([g, h])
-                places, at = places[order], np.flatnonzero(packed.changes([h[order], g[order]]))
-                for p, k in zip(places[at].tolist(), np.diff(at, append=len(places)).tolist(), strict=True):
-                    out.append((names[lang[p]], n, some.text(p, n), k))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.string(), pa.int32(), pa.string(), pa.int64()), strict=True)], names=["lang", "words", "phrase", "n"])
+                places = places[candidates.value.has(some.of(places, n))]
+                yield from sent(named.add(some, places, n, names, lang))
+        if len(named.names) > HELD // 4:
+            yield from sent(named.rows())
+            named = Named()
+    yield from sent(itertools.chain(named.rows(), ((x, 0, "", n) for x, n in total.items())))
 
 
 def phrase_counts(docs: DataFrame) -> DataFrame:
