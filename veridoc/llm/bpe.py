@@ -38,7 +38,7 @@ from veridoc.sources.tables import table
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: Characters of pieces whose ids a worker remembers, bytes of new words that one recursive query takes, and characters of
 #: texts that are encoded together (a longer text is encoded by itself).
-KNOWN, STEP_BYTES, TOGETHER = 8 << 20, 1 << 17, 1 << 20
+KNOWN, STEP_BYTES, TOGETHER = 14 << 20, 1 << 18, 4 << 20
 #: Bytes of a word that the plainer query takes.
 SHORT = 64
 
@@ -128,9 +128,9 @@ def numbered(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
     first = bounds[:-1]
     heads, place = np.unique(row[first], return_inverse=True)
     row[first] = len(names) + place
-    used = np.unique(row)
-    pieces = [" " + names[c] if c < len(names) else names[heads[c - len(names)]] for c in used.tolist()]
-    return np.searchsorted(used, row), pieces, bounds
+    used = np.bincount(row, minlength=len(names) + len(heads)) > 0
+    pieces = [" " + n for n, u in zip(names, used.tolist(), strict=False) if u] + [names[h] for h in heads.tolist()]
+    return (np.cumsum(used) - 1)[row], pieces, bounds
 
 
 class Coder:
@@ -179,8 +179,10 @@ class Coder:
         return out.column("id").to_numpy().astype(np.int32), np.bincount(out.column("w").to_numpy(), minlength=len(words))
 
     def words_of(self, words: set[str]) -> dict[str, np.ndarray]:
-        """Ids of each word: a token as it is, others by the recursive queries, some of them at a time."""
+        """Ids of each word: a token as it is, one that is a known piece as remembered, others by the recursive queries, some of
+        them at a time."""
         found: dict[str, np.ndarray] = {}
+        ids, starts = np.concatenate(self.ids), np.concatenate(self.starts)
         waiting: tuple[list, list] = ([], [])
         size = [0, 0]
 
@@ -197,6 +199,9 @@ class Coder:
             if (one := self.ranks.get(b)) is not None:
                 found[w] = np.array([one], np.int32)
                 continue
+            if (k := self.known.get(w)) is not None:
+                found[w] = ids[starts[k] : starts[k + 1]]
+                continue
             kind = int(len(b) > SHORT)
             waiting[kind].append((w, b))
             size[kind] += len(b)
