@@ -100,3 +100,27 @@ def test_more_wrapped_licences(spark, mark):
     text = ["".join(f"{mark}{line}".rstrip() + "\n" for p in parts for line in [*textwrap.wrap(p, 76), ""]) + "x = 1" for parts in MORE.values()]
     got = sorted((r.doc_id, r.licence, r.rule) for r in licences.scan(spark.createDataFrame(list(enumerate(text)), "doc_id long, text string")).collect())
     assert got == [(i, *known) for i, known in enumerate(MORE)]
+
+
+def wrapped():
+    every = [MIT, APACHE, GPL, BSD, *MORE.values()]
+    for i, (parts, mark, end) in enumerate((p, m, e) for p in every for m, e in (("", "\n"), ("# ", "\n"), (" * ", "\r\n"), (";; ", "\r"))):
+        yield i, "".join(f"{mark}{line}".rstrip() + end for p in [f"Copyright {mark} Someone; others", *parts] for line in [*textwrap.wrap(p, 70), ""]) + "int main() {}"
+    yield from [(900, "Licensed under the Apache License,\nVersion 2.0\nthe License"), (901, "Released under; the MIT license\nAll rights reserved"), (902, "a\x01b\x02 All rights reserved\x01x"), (903, "\n\n;\n; All rights\n reserved ;"), (904, "All rights reserved\nAll rights reserved reserved\nALL  RIGHTS\tRESERVED:")]
+    yield from [(910, "SPDX-License-Identifier: MIT"), (911, "// SPDX-License-Identifier: Apache-2.0\ncode()"), (912, "This project is licensed under the MIT License - see the LICENSE file for details."), (913, "Licensed under the MIT license (see LICENSE).")]
+
+
+def test_wrapped_licences_equal_sql(spark, tmp_path):
+    got = same(spark, tmp_path, "documents", list(wrapped()), "doc_id long, text string", licences.op9_licence_rules, licences.OP9_SQL, ("ids", "rule"))
+    assert len(got) > 55 and {(r[0], r[1]) for r in got if r[0] >= 910} == {(910, "MIT"), (911, "Apache-2.0"), (912, "MIT"), (913, "MIT")}
+
+
+def test_long_runs_of_marks_take_linear_time(spark):
+    import time
+
+    runs = ["; ", ": ", "\n", " ", ". ", ";\n", "\n:", "# ", "\r\n", "\x02", "\t;", "a\n;"]
+    rows = [(i, "license " + mark * (1_000_000 // len(mark)) + "\nAll rights reserved.") for i, mark in enumerate(runs)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    start = time.perf_counter()
+    assert {r.doc_id for r in licences.scan(df).collect()} == set(range(len(runs)))
+    assert time.perf_counter() - start < 60

@@ -61,6 +61,28 @@ SENTENCES = {
     76: "in no event will the authors be held liable for any damages arising from the use of this software",
     77: "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
     78: "distributed under the boost software license version 1 0",
+    80: "this project is licensed under the mit license see the license file for details",
+    81: "licensed under the mit license see license",
+    82: "this project is licensed under the apache license 2 0 see the license file for details",
+    83: "licensed under the mit license see the license file for details",
+    84: "licensed under the apache license version 2 0 see license",
+    100: "spdx license identifier mit",
+    101: "spdx license identifier apache 2 0",
+    102: "spdx license identifier gpl 2 0 only",
+    103: "spdx license identifier gpl 2 0 or later",
+    104: "spdx license identifier gpl 3 0 only",
+    105: "spdx license identifier gpl 3 0 or later",
+    106: "spdx license identifier lgpl 2 1 or later",
+    107: "spdx license identifier agpl 3 0 or later",
+    108: "spdx license identifier bsd 2 clause",
+    109: "spdx license identifier bsd 3 clause",
+    110: "spdx license identifier isc",
+    111: "spdx license identifier mpl 2 0",
+    112: "spdx license identifier zlib",
+    113: "spdx license identifier bsl 1 0",
+    114: "spdx license identifier cc by 4 0",
+    115: "spdx license identifier cc0 1 0",
+    116: "spdx license identifier unlicense",
 }
 # Rules as (licence, kind, identifiers in order).
 RULES = (
@@ -73,15 +95,22 @@ RULES = (
     ("ISC", "text", (60, 61, 62)), ("MPL-2.0", "header", (73, 74)), ("Zlib", "text", (75, 76, 77)), ("BSL-1.0", "notice", (78,)),
     ("CC-BY-NC-4.0", "notice", (40,)), ("CC-BY-4.0", "notice", (41,)), ("CC-BY-SA-4.0", "notice", (42,)),
     ("CC-BY-4.0", "notice", (43,)), ("CC-BY-NC-4.0", "notice", (44,)), ("CC-BY-SA-4.0", "notice", (45,)),
-    ("Proprietary", "notice", (50,)),
+    ("Proprietary", "notice", (50,)), ("MIT", "notice", (80,)), ("MIT", "notice", (81,)), ("Apache-2.0", "notice", (82,)), ("MIT", "notice", (83,)), ("Apache-2.0", "notice", (84,)),
+    ("MIT", "tag", (100,)), ("Apache-2.0", "tag", (101,)), ("GPL-2.0-only", "tag", (102,)), ("GPL-2.0-or-later", "tag", (103,)), ("GPL-3.0-only", "tag", (104,)), ("GPL-3.0-or-later", "tag", (105,)),
+    ("LGPL-2.1-or-later", "tag", (106,)), ("AGPL-3.0-or-later", "tag", (107,)), ("BSD-2-Clause", "tag", (108,)), ("BSD-3-Clause", "tag", (109,)), ("ISC", "tag", (110,)), ("MPL-2.0", "tag", (111,)),
+    ("Zlib", "tag", (112,)), ("BSL-1.0", "tag", (113,)), ("CC-BY-4.0", "tag", (114,)), ("CC0-1.0", "tag", (115,)), ("Unlicense", "tag", (116,)),
 )
 #: Each known sentence has one of these in it, so a text without them has no known sentence.
 NEEDED = ("licens", "licenc", "copyright", "warrant", "compliance", "redistribut", "reserved", "obtain", "liable")
-ENDS, OTHER = r"([.!?;:])[ \t\r\n\x0B\f]+", r"[^\p{L}\p{N}]+"
-
-
 #: What stands before the words of a comment line; an end mark there ends nothing.
 MARKS = r"(?m)^[ \t]*[^\p{L}\p{N}\s]+[ \t]+"
+#: What is put for what, one after another; the text is lower-cased before the blank is put for what is no word. A run of marks is
+#: entered only where it begins and never given back ({0} and {1}), so its length counts once. SQL, whose expressions take linear
+#: time anyway, has neither sign.
+STEPS = (
+    ("\r\n?", "\n"), (MARKS, ""), (r"([.!?])[ \t\r\n\x0B\f]+", "\x01"), (r"([;:])[ \t\r\n\x0B\f]+", "\x02"), (r"[^\p{L}\p{N}\n\x01\x02]+", " "),
+    (r" ?\n[ \n]*\n ?", "\x01"), (r" ?\n ?", "\n"), (r"{0}[ \n\x02]*{1}\x01[ \n\x01\x02]*{1}", "\x01"), (r"{0}[ \n]*{1}\x02[ \n\x02]*{1}", "\x02"),
+)
 
 
 def normalised(text):
@@ -90,11 +119,9 @@ def normalised(text):
     comment lines vanish.
     """
     out = F.translate(text, "\x01\x02", "  ")
-    for pattern, put in (
-        ("\r\n?", "\n"), (MARKS, ""), (ENDS.replace(";:", ""), "\x01"), (ENDS.replace(".!?", ""), "\x02"), (r"[^\p{L}\p{N}\n\x01\x02]+", " "),
-        (r" ?\n[ \n]*\n ?", "\x01"), (r" ?\n ?", "\n"), (r"[ \n\x02]*\x01[ \n\x01\x02]*", "\x01"), (r"[ \n]*\x02[ \n\x02]*", "\x02"),
-    ):
-        out = F.regexp_replace(F.lower(out) if put == " " else out, pattern, put)
+    for pattern, put in STEPS:
+        start = r"(?<![ \n\x02])" if put == "\x01" else r"(?<![ \n])"
+        out = F.regexp_replace(F.lower(out) if put == " " else out, pattern.replace("{0}", start).replace("{1}", "+"), put)
     return F.trim(out)
 
 
@@ -115,7 +142,9 @@ def scan(docs: DataFrame) -> DataFrame:
 
     A rule is left out where a longer one of the same row has all its identifiers. Texts that are null or have no known
     sentence give no row; repeated rows are reported as often. Every sentence of every text is looked at; texts without
-    any of a few words that all known sentences need are passed over first, which changes no result.
+    any of a few words that all known sentences need are passed over first, which changes no result. The time a text takes grows
+    with its length, also where it is one run of marks. Of sentences that overlap, the one that starts first counts. An empty
+    table gives no rows, and columns besides doc_id and text are not read.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.col("text").rlike("(?i)" + "|".join(NEEDED)))
     seen = rows.select("doc_id", identifiers(F.col("text")).alias("ids")).filter("ids <> ''")
@@ -137,16 +166,29 @@ def op9_licence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    known = ", ".join(f"('{s}', ' {i} ')" for i, s in SENTENCES.items())
+    known = ", ".join(f"('{s}', {i})" for i, s in SENTENCES.items())
     text = lambda ids: "".join(f" {i} " for i in ids)
     rules = ", ".join(f"('{a}', '{k}', '{' '.join(map(str, ids))}', {len(ids)}, '{text(ids)}')" for a, k, ids in RULES)
+    said = {"\n": "chr(10)", "\x01": "chr(1)", "\x02": "chr(2)", " ": "' '", "": "''"}
+    out = "translate(text, concat(chr(1), chr(2)), '  ')"
+    for pattern, put in STEPS:
+        shown = pattern.replace("{0}", "").replace("{1}", "").replace("\r", "\\r").replace("\n", "\\n")
+        out = f"regexp_replace({f'lower({out})' if put == ' ' else out}, '{shown}', {said[put]}, 'g')"
+    # grow: known sentences that agree with the atoms from i to j, and what of them is still to come
     return rf"""
-WITH known(sentence, id) AS (VALUES {known}), rules(licence, kind, rule, sentences, ids) AS (VALUES {rules}),
-cut AS (SELECT row_number() OVER () AS r, doc_id, string_split(regexp_replace(regexp_replace(text, '{ENDS}', chr(10), 'g'), '[\r\n]+', chr(10), 'g'), chr(10)) AS parts FROM documents),
-each AS (SELECT r, doc_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS pos FROM cut),
-seq AS (SELECT r, doc_id, string_agg(id, '' ORDER BY pos) AS ids FROM each JOIN known ON trim(regexp_replace(lower(part), '{OTHER}', ' ', 'g')) = sentence GROUP BY r, doc_id),
-hit AS (SELECT s.r, s.doc_id, u.* FROM seq s JOIN rules u ON contains(s.ids, u.ids))
-SELECT doc_id, licence, kind, rule, CAST(sentences AS BIGINT) AS sentences FROM hit h
+WITH RECURSIVE known(sentence, id) AS (VALUES {known}), rules(licence, kind, rule, sentences, ids) AS (VALUES {rules}),
+cut AS (SELECT row_number() OVER () AS r, doc_id, trim({out}) AS n FROM documents WHERE text IS NOT NULL),
+atom AS (SELECT r, unnest(regexp_extract_all(n, '([\n\x01\x02]*)([^\n\x01\x02]+)', 1)) AS sep, unnest(regexp_extract_all(n, '([\n\x01\x02]*)([^\n\x01\x02]+)', 2)) AS a,
+    generate_subscripts(regexp_extract_all(n, '([\n\x01\x02]*)([^\n\x01\x02]+)', 2), 1) AS i FROM cut),
+grow AS (SELECT r, i, i AS j, id, substr(sentence, length(a) + 2) AS rest FROM atom JOIN known ON sentence = a OR starts_with(sentence, concat(a, ' '))
+    UNION ALL SELECT g.r, g.i, x.i, g.id, substr(g.rest, length(x.a) + 2) FROM grow g JOIN atom x ON x.r = g.r AND x.i = g.j + 1
+      WHERE x.sep IN (chr(10), chr(2)) AND g.rest <> '' AND (g.rest = x.a OR starts_with(g.rest, concat(x.a, ' ')))),
+whole AS (SELECT r, i, max(j) AS j, arg_max(id, j) AS id FROM grow WHERE rest = '' GROUP BY r, i),
+taken AS (SELECT r, min(i) AS i, arg_min(j, i) AS j, arg_min(id, i) AS id FROM whole GROUP BY r
+    UNION ALL SELECT * FROM (SELECT t.r, w.i, w.j, w.id FROM taken t JOIN whole w ON w.r = t.r AND w.i > t.j QUALIFY row_number() OVER (PARTITION BY t.r ORDER BY w.i) = 1)),
+seq AS (SELECT r, string_agg(concat(' ', id, ' '), '' ORDER BY i) AS ids FROM taken GROUP BY r),
+hit AS (SELECT s.r, u.* FROM seq s JOIN rules u ON contains(s.ids, u.ids))
+SELECT doc_id, licence, kind, rule, CAST(sentences AS BIGINT) AS sentences FROM hit h JOIN cut USING (r)
 WHERE NOT EXISTS (SELECT 1 FROM hit o WHERE o.r = h.r AND o.sentences > h.sentences AND contains(o.ids, h.ids))
 """
 
