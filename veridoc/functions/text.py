@@ -108,8 +108,8 @@ def from_json_list(c: Column) -> Column:
 
 
 def iso(c: Column) -> Column:
-    """A timestamp as ISO text in UTC with milliseconds."""
-    return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    """A timestamp as ISO text in UTC with milliseconds, in whatever time zone the session is."""
+    return F.date_format(F.to_utc_timestamp(c, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
 
 
 def from_iso(c: Column) -> Column:

@@ -1,95 +1,140 @@
-"""Sections of Markdown texts and overlapping chunks, with offsets into the text (code points)."""
+"""Sections of Markdown texts and overlapping chunks, with offsets into the text (code points).
 
-from __future__ import annotations
+All of it is column expressions: a text is one fold over its lines, a section one fold over its line ends. Nothing is shuffled,
+nothing goes to Python, and a row needs memory for its own text only.
+"""
 
-import re
-from collections.abc import Iterator
+from __future__ import annotations
 
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veridoc.functions.text import EDGE, is_blank, strip
+
 # Title of a text without headings, heading pattern, fence marks, sizes.
 PREFACE = "文档前言"
-HEADING = re.compile(r"(#{1,6})[ \t]+(.+?)[ \t\x0b\f\r]*")
+HEADING = r"(?s)^(#{1,6})[ \t]+(.+?)[ \t\x0B\f\r]*$"
 FENCES = ("```", "~~~")
 MOST, OVERLAP = 1500, 150
-_EDGE = "".join(map(chr, (*range(9, 14), *range(0x1C, 0x21), 0x1680, *range(0x2000, 0x2007), *range(0x2008, 0x200B), 0x2028, 0x2029, 0x205F, 0x3000)))
-SECTION = "document_id string, section_id string, title string, level int, section_path string, ordinal int, content_text string, start_offset int, end_offset int"
-CHUNK = "document_id string, chunk_id string, section_id string, section_path string, ordinal int, content_text string, start_offset int, end_offset int"
-
-
-def headings(body: str) -> Iterator[tuple[int, int, str]]:
-    """(offset, level, title) of each heading outside code fences; a fence that stays open hides all that follows."""
-    at, fence = 0, None
-    for line in body.split("\n"):
-        mark = line.lstrip(_EDGE)[:3]
-        if fence is None and mark in FENCES:
-            fence = mark
-        elif fence is not None:
-            fence = None if mark == fence else fence
-        elif m := HEADING.fullmatch(line):
-            title = re.sub(r"[ \t]*#+$", "", m[2].strip(_EDGE)).strip(_EDGE) or m[2].strip(_EDGE)
-            yield at, len(m[1]), title
-        at += len(line) + 1
-
-
-def split_sections(body: str | None) -> Iterator[tuple[str, int, str, int, int]]:
-    """(title, level, path, start, end); a blank text has none, a blank preface is left out."""
-    if body is None or not body.strip(_EDGE):
-        return
-    found = list(headings(body))
-    first = found[0][0] if found else len(body)
-    if body[:first].strip(_EDGE):
-        yield PREFACE, 0, PREFACE, 0, first
-    path: list[tuple[int, str]] = []
-    for (start, level, title), end in zip(found, [h[0] for h in found[1:]] + [len(body)], strict=False):
-        path = [p for p in path if p[0] < level] + [(level, title)]
-        yield title, level, " > ".join(t for _, t in path), start, end
-
-
-def windows(body: str, most: int = MOST, overlap: int = OVERLAP) -> Iterator[tuple[int, int]]:
-    """(start, end) of chunks of at most ``most`` characters; one ends after the last line end of its second half."""
-    if most <= 0 or not 0 <= overlap < most:
-        raise ValueError("the size must be positive and the overlap below it")
-    start = 0
-    while len(body) - start > most:
-        line = body.rfind("\n", start, start + most)
-        end = line + 1 if line >= start + most // 2 else start + most
-        yield start, end
-        start = max(start + 1, end - overlap)
-    yield start, len(body)
+#: Letters of a stretch in which a chunk's text is looked up, so that a long section is not counted through for each chunk.
+STRETCH = 1 << 16
+_HEAD = "struct<line:int,at:int,level:int,title:string,path:string>"
+
+
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once: what a lambda names is not worked out again where it is used. A fold over
+    nothing, since that copies neither the value nor the result."""
+    return F.aggregate(F.array().cast("array<int>"), value, lambda x, _: x, use)
+
+
+def _heads(lines: Column) -> Column:
+    """(line, at, level, title, path) of each heading outside code fences; a fence that stays open hides all that follows.
+
+    The fold's state is the line's number and offset, the open fence, the titles above, and the headings so far.
+    """
+    start = F.struct(
+        F.lit(0).alias("line"), F.lit(0).alias("at"), F.lit("").alias("fence"),
+        F.array().cast("array<struct<level:int,title:string>>").alias("above"), F.array().cast(f"array<{_HEAD}>").alias("heads"))
+
+    def seen(line: Column) -> Column:
+        return F.struct(F.substring(F.regexp_replace(line, f"^[{EDGE}]+", ""), 1, 3).alias("mark"), F.length(F.regexp_extract(line, HEADING, 1)).alias("level"))
 
+    def titled(line: Column) -> Column:
+        said = strip(F.regexp_extract(line, HEADING, 2))
+        return let(said, lambda x: F.coalesce(F.nullif(strip(F.regexp_replace(x, r"[ \t]*#+$", "")), F.lit("")), x))
 
-def _rows(df: DataFrame, schema: str, make) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, 500):
-                out = [r for row in b.slice(at, 500).to_pylist() for r in make(row)]
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if isinstance(c[0], int) else pa.string()) for c in zip(*out, strict=True)], [f.split()[0] for f in schema.split(", ")])
+    def step(s: Column, line: Column) -> Column:
+        def moved(v: Column) -> Column:
+            fence = F.when((s["fence"] == "") & v["mark"].isin(*FENCES), v["mark"]).when(s["fence"] == v["mark"], "").otherwise(s["fence"])
+            rest = ((s["line"] + 1).alias("line"), (s["at"] + F.length(line) + 1).alias("at"), fence.alias("fence"))
 
-    return df.mapInArrow(run, schema)
+            def added(title: Column) -> Column:
+                above = F.array_append(F.filter(s["above"], lambda p: p["level"] < v["level"]), F.struct(v["level"].alias("level"), title.alias("title")))
+                return let(above, lambda up: F.struct(*rest, up.alias("above"), F.array_append(s["heads"], F.struct(
+                    s["line"].alias("line"), s["at"].alias("at"), v["level"].alias("level"), title.alias("title"), F.array_join(F.transform(up, lambda p: p["title"]), " > ").alias("path"))).alias("heads")))
+
+            found = (s["fence"] == "") & ~v["mark"].isin(*FENCES) & (v["level"] > 0)
+            return F.when(found, let(titled(line), added)).otherwise(F.struct(*rest, s["above"].alias("above"), s["heads"].alias("heads")))
+
+        return let(seen(line), moved)
+
+    return F.aggregate(lines, start, step, lambda s: s["heads"])
 
 
 def sections(docs: DataFrame) -> DataFrame:
-    """Sections of each row of ``id``, ``content_text``."""
-    def make(row):
-        for n, (title, level, path, a, e) in enumerate(split_sections(row["content_text"]), 1):
-            yield row["id"], f"section-{n}", title, level, path, n, row["content_text"][a:e], a, e
+    """Sections of each row of ``id``, ``content_text``. A null or blank text has none, and a blank preface is left out; a text
+    without headings is all preface."""
+    whole = docs.select(F.col("id").cast("string").alias("document_id"), F.split("content_text", "\n").alias("_l"), F.length("content_text").alias("_n")).filter(F.col("content_text").isNotNull() & ~is_blank(F.col("content_text")))
+    heads = whole.withColumn("_h", _heads(F.col("_l")))
+    first = F.coalesce(F.get("_h", F.lit(0))["line"], F.size("_l"))
+    preface = F.struct(F.lit(0).alias("line"), F.lit(0).alias("at"), F.lit(0).alias("level"), F.lit(PREFACE).alias("title"), F.lit(PREFACE).alias("path")).cast(_HEAD)
+    lead = F.slice("_l", F.lit(1), first)
+    all_ = F.when(F.exists(lead, lambda x: strip(x) != ""), F.array_prepend("_h", preface)).otherwise(F.col("_h"))
+    rows = heads.withColumn("_a", all_)
+
+    def section(h: Column, i: Column) -> Column:
+        after = F.get("_a", i + 1)
+        stop, end = F.coalesce(after["line"], F.size("_l")), F.coalesce(after["at"], F.col("_n"))
+        text = F.array_join(F.slice("_l", h["line"] + 1, stop - h["line"]), "\n")
+        return F.struct(
+            F.concat(F.lit("section-"), (i + 1).cast("string")).alias("section_id"), h["title"].alias("title"), h["level"].alias("level"), h["path"].alias("section_path"), (i + 1).alias("ordinal"),
+            F.when(after.isNotNull(), F.concat(text, F.lit("\n"))).otherwise(text).alias("content_text"), h["at"].alias("start_offset"), end.alias("end_offset"))
+
+    return rows.select("document_id", F.transform("_a", section).alias("_s")).select("document_id", F.explode("_s").alias("_s")).select("document_id", "_s.*")
+
+
+def windows(body: Column, most: int = MOST, overlap: int = OVERLAP) -> Column:
+    """(a, e) of chunks of at most ``most`` characters; one ends after the last line end of its second half.
+
+    A fold over the line ends: its state is where the open chunk starts and the last line end before the one at hand. A line
+    end beyond the open chunk closes it, and as many more as fit before it.
+    """
+    if most <= 0 or not 0 <= overlap < most:
+        raise ValueError("the size must be positive and the overlap below it")
+    least = max(1, most // 2 + 1 - overlap)  # of a chunk's start from the one before
+    lines = F.split(body, "\n")
+    pair = "array<struct<a:int,e:int>>"
+    start = F.struct(F.lit(0).alias("start"), F.lit(-1).alias("last"), F.lit(0).alias("at"), F.array().cast(pair).alias("out"))
 
-    return _rows(docs.select(F.col("id").cast("string").alias("id"), "content_text"), SECTION, make)
+    def close(s: Column, limit: Column) -> Column:
+        """Chunks up to ``limit``: while the open one would go beyond it. Both are names of lambdas."""
+        def one(s: Column, _: Column) -> Column:
+            end = F.when(s["last"] >= s["start"] + most // 2, s["last"] + 1).otherwise(s["start"] + most)
+            more = let(end, lambda e: F.struct(F.greatest(s["start"] + 1, e - overlap).alias("start"), s["last"].alias("last"), s["at"].alias("at"), F.array_append(s["out"], F.struct(s["start"].alias("a"), e.alias("e"))).alias("out")))
+            return F.when(limit - s["start"] > most, more).otherwise(s)
+
+        steps = F.sequence(F.lit(1), F.floor((limit - s["start"]) / F.lit(least)).cast("int") + 2)
+        return F.when(limit - s["start"] > most, F.aggregate(steps, s, one)).otherwise(s)
+
+    def step(s: Column, line: Column) -> Column:
+        # a line end at most - 1 from the start still belongs to the chunk
+        def ended(p: Column) -> Column:
+            return let(close(s, p + 1), lambda x: F.struct(x["start"].alias("start"), p.alias("last"), (p + 1).alias("at"), x["out"].alias("out")))
+
+        return let(s["at"] + F.length(line), ended)
+
+    # the last line has no line end, and what is before it decides by the text's length
+    before = let(lines, lambda all_: F.aggregate(F.slice(all_, F.lit(1), F.size(all_) - 1), start, step))
+    return let(F.length(body), lambda n: let(before, lambda s: let(close(s, n), lambda x: F.array_append(x["out"], F.struct(x["start"].alias("a"), n.alias("e"))))))
 
 
 def chunks(found: DataFrame, most: int = MOST, overlap: int = OVERLAP) -> DataFrame:
     """Chunks of sections; a chunk never reaches beyond its section, and its offsets are those of the whole text."""
-    next(windows("", most, overlap))
+    body = F.col("content_text")
+    count = F.greatest(F.lit(1), F.ceil(F.length(body) / STRETCH).cast("int"))
+    cut = F.transform(F.sequence(F.lit(0), count - 1), lambda k: F.substring(body, k * STRETCH + 1, F.lit(STRETCH + most)))
+
+    def made(x: Column) -> Column:
+        def chunk(w: Column, i: Column) -> Column:
+            text = F.substring(F.get(x["c"], F.floor(w["a"] / STRETCH).cast("int")), w["a"] % STRETCH + 1, w["e"] - w["a"])
+            return F.struct(
+                F.concat("section_id", F.lit("-chunk-"), (i + 1).cast("string")).alias("chunk_id"), F.col("section_id").alias("section_id"), F.col("section_path").alias("section_path"), (i + 1).alias("ordinal"),
+                text.alias("content_text"), (F.col("start_offset") + w["a"]).alias("start_offset"), (F.col("start_offset") + w["e"]).alias("end_offset"))
 
-    def make(row):
-        for n, (a, e) in enumerate(windows(row["content_text"], most, overlap), 1):
-            yield row["document_id"], f"{row['section_id']}-chunk-{n}", row["section_id"], row["section_path"], n, row["content_text"][a:e], row["start_offset"] + a, row["start_offset"] + e
+        return F.transform(x["w"], chunk)
 
-    return _rows(found.select("document_id", "section_id", "section_path", "content_text", "start_offset"), CHUNK, make)
+    parts = let(F.struct(windows(body, most, overlap).alias("w"), cut.alias("c")), made)
+    return found.select("document_id", parts.alias("_k")).select("document_id", F.explode("_k").alias("_k")).select("document_id", "_k.*")
 
 
 def offset_errors(parts: DataFrame, docs: DataFrame) -> DataFrame:
@@ -98,6 +143,12 @@ def offset_errors(parts: DataFrame, docs: DataFrame) -> DataFrame:
     return joined.filter(F.substr("_whole", F.col("start_offset") + 1, F.col("end_offset") - F.col("start_offset")) != F.col("content_text")).drop("_whole")
 
 
-def prompt_context(parts: DataFrame) -> DataFrame:
-    """One text for each chunk that names its document, section and content."""
-    return parts.select("document_id", "chunk_id", F.format_string("document: %s\nsection: %s\nchunk: %s\n\n%s", "document_id", "section_path", "chunk_id", "content_text").alias("context"))
+def prompt_context(parts: DataFrame, prompt_version: str, schema_version: str) -> DataFrame:
+    """What a model is given of each chunk: versions, where it comes from, and its text. ``parts`` has document_id, document_name,
+    document_type, chunk_id, section_path, content_text; a null field is written as "null"."""
+    named = (("promptVersion", F.lit(prompt_version)), ("schemaVersion", F.lit(schema_version)), ("sourceDocumentId", F.col("document_id")), ("documentName", F.col("document_name")),
+             ("documentType", F.col("document_type")), ("chunkId", F.col("chunk_id")), ("sectionPath", F.col("section_path")))
+    said = lambda c: F.coalesce(c.cast("string"), F.lit("null"))
+    head = [x for n, c in named for x in (F.lit(f"{n}: "), said(c), F.lit("\n"))]
+    # The lines around the text.
+    return parts.select("document_id", "chunk_id", F.concat(*head, F.lit("\n原文开始：\n"), said(F.col("content_text")), F.lit("\n原文结束。\n")).alias("context"))

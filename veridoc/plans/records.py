@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from veridoc.functions import text
-from veridoc.operators import graph, ingest, listing, records, retrieval, runs, segment, validate
+from veridoc.operators import graph, ingest, listing, records, retrieval, runs, search, segment, validate
 from veridoc.plans.catalog import KEYED, LATEST, _found, _reviewed, _reviews, now, query
 from veridoc.sources import files
 from veridoc.streaming import events, machines
@@ -179,9 +179,12 @@ def request_messages(v):
     return validate.request_messages(rows, "document_id", "content")
 
 
-@query("SELECT chunk_id, concat('document: ', document_id, chr(10), 'section: ', section_path, chr(10), 'chunk: ', chunk_id, chr(10), chr(10), content) AS context FROM v_chunk")
+@query("""SELECT chunk_id, concat('promptVersion: v1', chr(10), 'schemaVersion: 2', chr(10), 'sourceDocumentId: ', document_id, chr(10), 'documentName: ', coalesce(d.name, 'null'), chr(10), 'documentType: ', coalesce(d.batch_id, 'null'), chr(10), 'chunkId: ', chunk_id, chr(10), 'sectionPath: ', section_path, chr(10), chr(10),
+ '原文开始：', chr(10), content, chr(10), '原文结束。', chr(10)) AS context FROM v_chunk k LEFT JOIN (SELECT DISTINCT id, name, batch_id FROM v_document) d ON d.id = k.document_id""")
 def prompt_context(v):
-    return segment.prompt_context(v("v_chunk").withColumn("content_text", c("content"))).select("chunk_id", "context")
+    docs = v("v_document").select(c("id").alias("document_id"), c("name").alias("document_name"), c("batch_id").alias("document_type")).distinct()
+    parts = v("v_chunk").withColumn("content_text", c("content")).join(docs, "document_id", "left")
+    return segment.prompt_context(parts, "v1", "2").select("chunk_id", "context")
 
 
 @query("SELECT id, list_aggregate(list_sort(ids), 'string_agg', ',') AS listed, len(ids) AS n FROM (SELECT id, CASE WHEN list_contains(d, 'x') THEN d ELSE list_append(d, 'x') END AS ids FROM (SELECT chunk_id AS id, list_filter([document_id, section_path, 'x'], lambda y: y <> CASE WHEN conv_id < 50 THEN 'x' ELSE 'user' END) AS d FROM v_chunk))")
@@ -298,23 +301,34 @@ def health_more(v):
 
 
 # ---- retrieval (specified, not part of the checked behaviour)
-@query("SELECT DISTINCT a.id AS query_id, b.id AS id FROM v_document a JOIN v_document b ON b.imported_at = a.imported_at + 1 OR (b.imported_at = a.imported_at + 7 AND a.space_id = 'en')")
-def recall_by_name(v):
-    docs = v("v_document").select("id", "name", "imported_at", "space_id")
-    at = lambda n: docs.select((c("imported_at") - n).alias("imported_at"), c("name").alias(f"n{n}"))
-    texts = docs.join(at(1), "imported_at", "left").join(at(7), "imported_at", "left").select(
-        c("id").alias("query_id"), F.concat_ws(" ", F.lit("see"), "n1", F.lit("\n and"), F.when(c("space_id") == "en", c("n7"))).alias("text"))
-    return retrieval.by_name(texts, docs)
-
-
-WORDS = "list_distinct(list_filter(regexp_split_to_array(lower(@), '[^\\p{L}\\p{N}]+'), lambda w: length(w) >= 8))"
+REFERRING = """WITH t AS (SELECT a.id AS query_id, concat(a.content_text, ' see "', upper(b.name), '", not x', c.name, ' (', d.name, ').') AS text FROM v_document a LEFT JOIN v_document b ON b.imported_at = a.imported_at + 1 LEFT JOIN v_document c ON c.imported_at = a.imported_at + 3 LEFT JOIN v_document d ON d.imported_at = a.imported_at + 7),
+ n AS (SELECT id, name FROM v_document UNION SELECT id, substr(content_text, 1, instr(concat(content_text, '.'), '.') - 1) FROM v_document WHERE instr(content_text, '.') BETWEEN 20 AND 200)
+"""
 
 
-@query("WITH q AS (SELECT DISTINCT CAST(item_id AS STRING) AS query_id, unnest(" + WORDS.replace("@", "text") + ") AS w FROM benchmark), d AS (SELECT id, unnest(" + WORDS.replace("@", "content_text") + """) AS w FROM v_document),
- s AS (SELECT query_id, id, CAST(count(*) AS DOUBLE) AS score FROM q JOIN d USING (w) GROUP BY 1, 2) SELECT query_id, id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 8""")
+@query(REFERRING + r"""SELECT DISTINCT query_id, id FROM t JOIN n ON contains(lower(text), lower(name)) WHERE name IS NOT NULL AND regexp_matches(name, '[\p{L}\p{N}]')
+ AND regexp_matches(concat(' ', lower(text), ' '), concat('[^\p{L}\p{N}]', regexp_escape(lower(name)), '[^\p{L}\p{N}]'))""")
+def recall_by_name(v):
+    """Documents whose file name or title, the first sentence, stands in another text, in any case and beside any mark."""
+    docs = v("v_document").select("id", "name", "imported_at", "content_text")
+    at = lambda n: docs.select((c("imported_at") - n).alias("imported_at"), c("name").alias(f"n{n}"))
+    said = F.concat_ws("", "content_text", F.lit(' see "'), F.upper("n1"), F.lit('", not x'), "n3", F.lit(" ("), "n7", F.lit(")."))
+    texts = docs.join(at(1), "imported_at", "left").join(at(3), "imported_at", "left").join(at(7), "imported_at", "left").select(c("id").alias("query_id"), said.alias("text"))
+    dot = F.instr("content_text", ".")
+    titles = docs.filter(dot.between(20, 200)).select("id", F.substring_index("content_text", ".", 1).alias("name"))
+    return search.by_name(texts, docs.select("id", "name").union(titles))
+
+
+@query(r"""WITH t AS (SELECT id, list_filter(regexp_split_to_array(lower(content_text), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS t FROM v_document),
+ tf AS (SELECT id, term, count(*) AS tf, max(n) AS n FROM (SELECT id, unnest(t) AS term, len(t) AS n FROM t) GROUP BY 1, 2), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), s AS (SELECT count(*)::DOUBLE AS docs, avg(len(t)) AS mean FROM t),
+ w AS (SELECT id, tf.term, CAST(floor(1000000.0::DOUBLE * (ln(1.0::DOUBLE + (docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * (tf * 2.2::DOUBLE) / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * n / mean)))) AS BIGINT) AS w FROM tf JOIN df USING (term), s),
+ q AS (SELECT DISTINCT CAST(item_id AS STRING) AS query_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '')) AS term FROM benchmark),
+ r AS (SELECT query_id, id, sum(w) / 1000000.0::DOUBLE AS score FROM q JOIN w USING (term) GROUP BY 1, 2)
+SELECT query_id, id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM r) WHERE rank <= 8""")
 def recall_by_words(v):
-    found = retrieval.by_words(v("benchmark").select(c("item_id").cast("string").alias("query_id"), "text"), v("v_document").select("id", c("content_text").alias("text")))
-    return retrieval.best(found).select("query_id", "id", "score", "rank")
+    """The eight documents nearest to each benchmark item by BM25 over all words."""
+    found = search.index(v("v_document").select("id", c("content_text").alias("text")))
+    return search.by_words(v("benchmark").select(c("item_id").cast("string").alias("query_id"), "text"), found).select("query_id", "id", "score", "rank")
 
 
 TAGGED = r"""WITH k AS (SELECT document_id, lower(trim(regexp_replace(name, '[ \t\n\x0B\f\r]+', ' ', 'g'))) AS tag, count(*) AS n FROM v_entity GROUP BY 1, 2), t AS (SELECT document_id, tag, n, row_number() OVER (PARTITION BY document_id ORDER BY n DESC, tag) AS place, count(*) OVER (PARTITION BY document_id) >= 3 AS enough FROM k WHERE tag <> '')"""
