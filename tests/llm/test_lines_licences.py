@@ -23,6 +23,7 @@ def same(spark, tmp_path, name, rows, schema, query, sql, extra):
 
 
 PAGES = [(i, f"https://user@Site{i % 2}.org:80/p?{i}", f"<div>Menu</div><script>x<p>y</script><p>Text {i}<br/>more\n {i % 3}</p><!-- gone --><li>Foot &amp; note</li>") for i in range(24)]
+PAGES += [(70 + i, "http://small.org/", f"<p>Menu</p><p>own {i}</p>") for i in range(4)] + [(80, "http://alone.org/", "<p>Menu</p><p>Menu</p>")]
 PAGES += [(50, None, "<p>Menu</p>"), (51, "no url", None), (52, "http://site0.org/", ""), (3, PAGES[3][1], PAGES[3][2]), (None, "http://site1.org", "<p>only</p>"), (60, "http://site0.org", "<p>" + "word " * 50000)]
 
 
@@ -31,6 +32,7 @@ def test_lines_equal_sql(spark, tmp_path, rows):
     got = same(spark, tmp_path, "pages", rows, "page_id long, url string, html string", lines.op2_line_dedup, lines.OP2_SQL, ("host", "lines", "line", "drop", "text"))
     if rows:
         assert all("Menu" not in x[-1] for x in got if x[1] == "site0.org") and any("Text 4" in x[-1] for x in got)
+        assert [x[-1] for x in got if x[1] == "small.org"] == [f"own {i}" for i in range(4)] and [x[-1] for x in got if x[1] == "alone.org"] == ["Menu\nMenu"]
 
 
 DOCS = [(1, "Intro. Released under the MIT License."), (2, "Licensed  under CC BY-NC 4.0.\nAll Rights Reserved"), (3, "released under the mit license without end"), (4, None), (5, ""), (6, "x. " * 30000 + "\nAll rights reserved."),
