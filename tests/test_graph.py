@@ -50,5 +50,25 @@ def test_invalidation(spark):
     assert {r.id: r.status for r in e.collect()} == {"ab": "stale", "bd": "suggested", "cd": "confirmed", "bb": "stale"}
 
 
+def test_hops_with_caps_at_a_hub(spark):
+    hub = [("hub", f"n{i:03d}") for i in range(300)] + [(f"n{i:03d}", f"m{i % 7}") for i in range(0, 300, 3)] + [("x", "hub")]
+    edges = spark.createDataFrame([(a, b, "confirmed", "t") for a, b in hub] + [("x", "no", "suggested", "t"), ("x", "other", "confirmed", "u")], "source_node_id string, target_node_id string, status string, relation_type string")
+    start = spark.createDataFrame([("x",)], "id string")
+    plain = {}
+    for a, b in hub:
+        plain.setdefault(a, set()).add(b)
+        plain.setdefault(b, set()).add(a)
+    order = lambda ids: sorted(ids, key=lambda n: (-len(plain[n]), n))
+    fan = {n: set(order(x)[:20]) for n, x in plain.items()}
+    want, last = {"x": 0}, ["x"]
+    for h in (1, 2, 3):
+        last = order({m for n in last for m in fan[n]} - set(want))[:15]
+        want |= dict.fromkeys(last, h)
+    for _ in range(2):
+        got = graph.within_hops(edges.repartition(3), start, 3, ("t",), nodes=15, fan=20)
+        assert {r.id: r.hop for r in got.collect()} == want
+    assert graph.within_hops(edges, start, 1).filter("hop = 1").count() == 2
+
+
 def test_every_query_has_columns_of_its_own_names():
     assert len(catalog.QUERIES) >= 60 and set(catalog.SQL) <= set(catalog.QUERIES)

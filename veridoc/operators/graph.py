@@ -200,19 +200,36 @@ def dangling(rows: DataFrame, column: str, parents: DataFrame) -> DataFrame:
     return rows.filter(F.col(column).isNotNull()).join(parents.select(F.col("id").alias(column)), column, "left_anti")
 
 
-def within_hops(edges: DataFrame, start: DataFrame, hops: int, types: tuple[str, ...] | None = None) -> DataFrame:
+def within_hops(edges: DataFrame, start: DataFrame, hops: int, types: tuple[str, ...] | None = None, nodes: int | None = None, fan: int | None = None) -> DataFrame:
     """``id`` and ``hop`` of all nodes that confirmed edges, of the types if given, reach from ``start`` (id) in at most ``hops`` steps.
 
-    The nodes of each hop are written, so a further hop costs one join of what the last one added.
+    ``fan`` keeps of each node's neighbours only the first so many, those with most edges, ties to the smaller id; a hub's are
+    chosen before any join, so none is multiplied. ``nodes`` keeps of each hop the first so many new nodes in the same order.
+    Both orders depend on the graph only, so reruns agree. The nodes of each hop are written, so a further hop costs one join
+    of what the last one added.
     """
     used = edges.filter("status = 'confirmed'")
     used = used.filter(F.col("relation_type").isin(*types)) if types else used
     both = used.select(F.col("source_node_id").alias("id"), F.col("target_node_id").alias("next"))
     both = both.union(both.select(F.col("next").alias("id"), F.col("id").alias("next"))).distinct()
+    degree = None
+    if nodes is not None or fan is not None:
+        both = scratch.keep(both, "neighbours")
+        degree = scratch.keep(both.groupBy(F.col("id").alias("next")).agg(F.count("*").alias("degree")), "degrees")
+    if fan is not None:
+        # heads of random parts first, so that a hub's neighbours do not meet in one task
+        order = (F.desc("degree"), "next")
+        part = Window.partitionBy("id", F.pmod(F.xxhash64("next"), F.lit(64))).orderBy(*order)
+        heads = both.join(degree, "next").withColumn("_n", F.row_number().over(part)).filter(F.col("_n") <= fan)
+        both = heads.withColumn("_n", F.row_number().over(Window.partitionBy("id").orderBy(*order))).filter(F.col("_n") <= fan).select("id", "next")
+        both = scratch.keep(both, "fans")
     seen = scratch.keep(start.select("id").distinct().withColumn("hop", F.lit(0)), "hops")
     for h in range(1, hops + 1):
-        more = seen.filter(F.col("hop") == h - 1).join(both, "id").select(F.col("next").alias("id")).distinct()
-        seen = scratch.keep(seen.union(more.join(seen, "id", "left_anti").select("id", F.lit(h).alias("hop"))), "hops")
+        more = seen.filter(F.col("hop") == h - 1).join(both, "id").select(F.col("next").alias("id")).distinct().join(seen, "id", "left_anti")
+        if nodes is not None:
+            ranked = more.join(degree.withColumnRenamed("next", "id"), "id").orderBy(F.desc("degree"), "id")
+            more = ranked.limit(nodes)  # each task sends its own first so many
+        seen = scratch.keep(seen.union(more.select("id", F.lit(h).alias("hop"))), "hops")
     return seen
 
 

@@ -519,6 +519,16 @@ def khop_two(v):
     return graph.within_hops(v("v_edge"), v.spark.createDataFrame([("s1",), ("s2",)], "id string"), 2)
 
 
+@query("""WITH b AS (SELECT source_node_id AS a, target_node_id AS z FROM v_edge WHERE status = 'confirmed'), u AS (SELECT a, z FROM b UNION SELECT z, a FROM b), g AS (SELECT a AS z, count(*) AS degree FROM u GROUP BY 1),
+ f AS (SELECT a, z FROM (SELECT u.a, u.z, row_number() OVER (PARTITION BY u.a ORDER BY degree DESC, u.z) AS n FROM u JOIN g ON g.z = u.z) WHERE n <= 20),
+ h0 AS (SELECT id AS z FROM v_node WHERE id LIKE 's1%'), h1 AS (SELECT z FROM g WHERE z IN (SELECT f.z FROM f JOIN h0 ON f.a = h0.z) AND z NOT IN (SELECT z FROM h0) ORDER BY degree DESC, z LIMIT 50),
+ h2 AS (SELECT z FROM g WHERE z IN (SELECT f.z FROM f JOIN h1 ON f.a = h1.z) AND z NOT IN (SELECT z FROM h0 UNION ALL SELECT z FROM h1) ORDER BY degree DESC, z LIMIT 50)
+SELECT z AS id, CAST(0 AS INTEGER) AS hop FROM h0 UNION ALL SELECT z, 1 FROM h1 UNION ALL SELECT z, 2 FROM h2""")
+def khop_capped(v):
+    """Two hops with at most 20 neighbours of a node and 50 new nodes of a hop."""
+    return graph.within_hops(v("v_edge"), v("v_node").filter("id like 's1%'").select("id"), 2, nodes=50, fan=20)
+
+
 @query("""WITH a AS (SELECT space_id AS query_id, id, row_number() OVER (PARTITION BY space_id ORDER BY file_size DESC, id) AS r FROM v_document), b AS (SELECT space_id AS query_id, id, row_number() OVER (PARTITION BY space_id ORDER BY updated_at, id) AS r FROM v_document)
 SELECT query_id, id, round(sum(1.0::DOUBLE / (60 + r)), 9) AS score FROM (SELECT * FROM a WHERE r <= 8 UNION ALL SELECT * FROM b WHERE r <= 8) GROUP BY 1, 2""")
 def rrf_fusion(v):
