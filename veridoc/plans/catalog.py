@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from veridoc.functions import text
 from veridoc.operators import graph, ingest, listing, segment, validate
 from veridoc.plans.bridge import Workspace, duckdb
-from veridoc.sources import eventlog, scratch
-from veridoc.streaming import events, machines
+from veridoc.sources import eventlog, imports, scratch
+from veridoc.streaming import events, machines, versions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -162,6 +162,18 @@ def ingest_failure_notice(v):
     return ingest.failure_notice(_classified(v))
 
 
+@query("""WITH f AS (SELECT *, CASE WHEN imported_at % 29 = 3 THEN '' ELSE content_text END AS body, CASE WHEN batch_id < 'src2' THEN 0 ELSE 1 END AS number FROM v_document),
+ h AS (SELECT *, sha256(body) AS hash, body = '' OR lower(name) LIKE '%.pdf' AS bad FROM f)
+SELECT imported_at AS file_ord, batch_id, CASE WHEN bad THEN 'failed' WHEN row_number() OVER (PARTITION BY space_id, hash, bad ORDER BY number, imported_at) > 1 THEN 'duplicate' ELSE 'imported' END AS outcome FROM h""")
+def import_in_two_batches(v):
+    """All documents as files that come in two batches, the first of them twice, as after a failure."""
+    root, rows = scratch.new_dir(v.spark, "imports"), _files(v)
+    early = rows.filter("batch_id < 'src2'")
+    for number, files in ((0, early), (0, early), (1, rows.filter("batch_id >= 'src2'"))):
+        imports.run_batch(files, root, number)
+    return versions.latest(v.spark, f"{root}/files", "file_ord").select("file_ord", "batch_id", "outcome")
+
+
 # ---- sections and chunks
 MARKDOWN = """WITH md AS (SELECT CAST(conv_id AS STRING) AS id, concat('# conv ', CAST(conv_id AS STRING), chr(10), string_agg(concat('## ', role, ' ', CAST(turn AS STRING), chr(10), text), chr(10) ORDER BY turn)) AS content_text FROM conversations GROUP BY conv_id),
  lines AS (SELECT id, content_text, unnest(string_split(content_text, chr(10))) AS line, generate_subscripts(string_split(content_text, chr(10)), 1) AS n FROM md),

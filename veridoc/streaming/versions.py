@@ -34,10 +34,11 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 
 def write(rows: DataFrame, table: str, batch: int, key: str, every: int = EVERY) -> None:
-    """Adds a micro-batch of rows, at most one of each key; the same batch again takes its own place."""
+    """Adds a micro-batch of rows, at most one of each key; the same batch again takes its own place. Nothing is ever merged if
+    ``every`` is 0."""
     spark = rows.sparkSession
     rows.withColumn("_batch", F.lit(batch)).write.mode("overwrite").parquet(f"{table}/rows-{batch:012d}")
-    if batch % every == every - 1:
+    if every and batch % every == every - 1:
         merged = latest(spark, table, key, keep_batch=True)
         merged.write.mode("overwrite").parquet(f"{table}/whole-{batch:012d}")
         wholes = _folders(spark, table)["whole"]
@@ -48,13 +49,17 @@ def write(rows: DataFrame, table: str, batch: int, key: str, every: int = EVERY)
                         _remove(spark, f"{table}/{kind}-{n:012d}")
 
 
-def latest(spark: SparkSession, table: str, key: str, keep_batch: bool = False) -> DataFrame:
-    """The newest row of each key over all complete micro-batches."""
+def latest(spark: SparkSession, table: str, key: str, keep_batch: bool = False, upto: int | None = None, empty: str | None = None) -> DataFrame:
+    """The newest row of each key over all complete micro-batches, or over those up to a number. A table without any is an error,
+    or has no rows of the schema ``empty``."""
     found = _folders(spark, table)
-    whole = found["whole"][-1:]
-    paths = [f"{table}/whole-{n:012d}" for n in whole] + [f"{table}/rows-{n:012d}" for n in found["rows"] if not whole or n > whole[0]]
+    whole = [n for n in found["whole"] if upto is None or n <= upto][-1:]
+    paths = [f"{table}/whole-{n:012d}" for n in whole]
+    paths += [f"{table}/rows-{n:012d}" for n in found["rows"] if (not whole or n > whole[0]) and (upto is None or n <= upto)]
     if not paths:
-        raise FileNotFoundError(f"no complete batch in {table}")
+        if empty is None:
+            raise FileNotFoundError(f"no complete batch in {table}")
+        return spark.createDataFrame([], empty)
     rows = spark.read.parquet(*paths)
     others = [c for c in rows.columns if c != key]
     best = rows.groupBy(key).agg(F.max_by(F.struct(*others), "_batch").alias("_r")).select(key, "_r.*")
