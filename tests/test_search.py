@@ -2,10 +2,11 @@ import math
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from veridoc.operators import search
+from veridoc.operators import nearest, search
 
 
 def slow_words(queries, docs, k):
@@ -62,3 +63,40 @@ def test_names_stand_in_texts(spark):
 def test_names_of_nothing(spark):
     none = spark.createDataFrame([], "id string, name string")
     assert search.by_name(none.select(F.col("id").alias("query_id"), F.col("name").alias("text")), none).count() == 0
+
+
+def brute(ids, x, asked, k):
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    out = {}
+    for q in asked:
+        s = x @ x[ids.index(q)]
+        out[q] = [ids[i] for i in np.lexsort([ids, -s]) if ids[i] != q][:k]
+    return out
+
+
+@pytest.mark.parametrize("kind", ["uniform", "groups"])
+def test_cells_find_most_neighbours(spark, kind):
+    r = np.random.default_rng(4)
+    x = r.normal(size=(3000, 32))
+    if kind == "groups":
+        x = np.repeat(r.normal(size=(60, 32)), 50, 0) * 3 + x
+    rows = [(i, "m", v.tolist()) for i, v in enumerate(x)] + [(9000, "m", None), (9001, "m", [0.0] * 32), (9002, "m", [float("nan")] * 32), (9003, None, [1.0, 2.0]), (9004, None, [2.0, 1.0]), (9005, "alone", [1.0]), (9006, "m", [])]
+    df = spark.createDataFrame(rows, "id long, model string, v array<double>")
+    got = {}
+    for a in nearest.by_cells(df, df.filter("id % 100 = 0 or id > 8000").select("id")).collect():
+        got.setdefault(a.query_id, []).append((a["rank"], a.id, a.score))
+    want = brute(list(range(3000)), x, range(0, 3000, 100), 8)
+    assert set(got) == set(want) | {9003, 9004} and [i for _, i, _ in got[9003]] == [9004]
+    share = np.mean([len({i for _, i, _ in got[q]} & set(w)) / 8 for q, w in want.items()])
+    assert share >= 0.9 and all([n for n, _, _ in sorted(g)] == list(range(1, len(g) + 1)) for g in got.values())
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    assert all(abs(s - unit[q] @ unit[i]) < 1e-9 for q, g in got.items() if q < 3000 for _, i, s in g)
+    c = nearest.centres(unit, 55)
+    if kind == "groups":
+        assert nearest.probes(unit, c, 8, 0.97) <= 12  # of 55 cells
+    assert nearest.probes(unit, c, 8, 1.0) <= 55
+
+
+def test_cells_of_no_vectors(spark):
+    none = spark.createDataFrame([], "id long, model string, v array<float>")
+    assert nearest.by_cells(none, none.select("id")).count() == 0

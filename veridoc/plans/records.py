@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from veridoc.functions import text
-from veridoc.operators import graph, ingest, listing, records, retrieval, runs, search, segment, validate
+from veridoc.operators import graph, ingest, listing, nearest, records, retrieval, runs, search, segment, validate
 from veridoc.plans.catalog import KEYED, LATEST, _found, _reviewed, _reviews, now, query
 from veridoc.sources import files
 from veridoc.streaming import events, machines
@@ -352,6 +352,13 @@ def recall_by_vectors(v):
     return retrieval.best(retrieval.by_vectors(first, e), retrieval.TOP, 0.25).select("query_id", "id", F.round("score", 6).alias("score"))
 
 
+@query()
+def recall_by_cells(v):
+    """The eight vectors nearest to each whose id is divisible by 100, by cells; what is not found of them a test measures."""
+    e = v("embeddings").select(c("vec_id").alias("id"), F.lit("m").alias("model"), c("embedding").alias("v"))
+    return nearest.by_cells(e, e.filter("id % 100 = 0").select("id")).select("query_id", "id", "score", "rank")
+
+
 @query("SELECT a.id AS query_id, b.id AS id FROM v_document a JOIN v_document b ON a.batch_id = b.batch_id AND a.space_id = b.space_id AND b.status = 'active' AND a.id <> b.id")
 def recall_eligible(v):
     a = v("v_document").select(c("id").alias("query_id"), c("space_id").alias("query_space"), "batch_id")
