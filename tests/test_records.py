@@ -103,3 +103,21 @@ def test_random_ids_and_lists(spark):
 
 def test_every_query_has_sql():
     assert len(catalog.QUERIES) >= 105 and set(catalog.QUERIES) - set(catalog.SQL) == {"recall_by_cells"}
+
+
+def test_places_within_groups(spark):
+    rows = [(g, i * 7 % 101, i) for i in range(300) for g in ("big",)] + [("small", 1, 1), (None, 2, 2), (None, 1, 1)]
+    df = spark.createDataFrame(rows, "g string, a int, id int").repartition(5)
+    got = {(r.g, r.id): r.n for r in records.in_order(df, "g", F.desc("a"), F.col("id")).collect()}
+    want = {(g, i): n for k in {r[0] for r in rows} for n, (g, _, i) in enumerate(sorted((r for r in rows if r[0] == k), key=lambda r: (-r[1], r[2])), 1)}
+    assert got == want
+    assert records.in_order(df.limit(0), "g", F.col("id")).count() == 0
+
+
+def test_references_of_the_schema(spark):
+    t = lambda rows, schema: spark.createDataFrame(rows, schema)
+    tables = {
+        "knowledge_spaces": t([("s",)], "id string"), "import_batches": t([("b", "s"), ("c", "gone")], "id string, space_id string"), "source_documents": t([("d", "s", "b"), ("e", "s", "lost"), ("f", None, "lost")], "id string, space_id string, batch_id string"),
+        "graph_nodes": t([("n", "s")], "id string, space_id string"), "graph_edges": t([("x", "s", "n", "m")], "id string, space_id string, source_node_id string, target_node_id string"), "review_records": t([("r", "s", "y")], "id string, space_id string, edge_id string")}
+    got = sorted(map(tuple, graph.broken_references(tables).collect()))
+    assert got == [("graph_edges", "target_node_id", "m", 1), ("import_batches", "space_id", "gone", 1), ("review_records", "edge_id", "y", 1), ("source_documents", "batch_id", "lost", 2)]

@@ -200,6 +200,27 @@ def dangling(rows: DataFrame, column: str, parents: DataFrame) -> DataFrame:
     return rows.filter(F.col(column).isNotNull()).join(parents.select(F.col("id").alias(column)), column, "left_anti")
 
 
+# Which column of which table refers to which other table.
+REFERENCES = (
+    ("import_batches", "space_id", "knowledge_spaces"), ("source_documents", "space_id", "knowledge_spaces"), ("source_documents", "batch_id", "import_batches"), ("graph_nodes", "space_id", "knowledge_spaces"),
+    ("graph_edges", "space_id", "knowledge_spaces"), ("graph_edges", "source_node_id", "graph_nodes"), ("graph_edges", "target_node_id", "graph_nodes"),
+    ("evidences", "space_id", "knowledge_spaces"), ("evidences", "edge_id", "graph_edges"), ("evidences", "source_document_id", "source_documents"),
+    ("extraction_runs", "space_id", "knowledge_spaces"), ("extraction_runs", "source_document_id", "source_documents"), ("review_records", "space_id", "knowledge_spaces"), ("review_records", "edge_id", "graph_edges"),
+)
+
+
+def broken_references(tables: dict[str, DataFrame]) -> DataFrame:
+    """table, column, key and rows of all references that have no parent, over those of the schema whose tables are given. What
+    is looked for is each different value once, so a value that most rows have is one row of the join. A null refers to nothing."""
+    out = None
+    for child, column, parent in REFERENCES:
+        if child in tables and parent in tables and column in tables[child].columns:
+            values = tables[child].filter(F.col(column).isNotNull()).groupBy(F.col(column).cast("string").alias("key")).agg(F.count("*").alias("rows"))
+            lost = values.join(tables[parent].select(F.col("id").cast("string").alias("key")), "key", "left_anti").select(F.lit(child).alias("table"), F.lit(column).alias("column"), "key", "rows")
+            out = lost if out is None else out.union(lost)
+    return out
+
+
 def within_hops(edges: DataFrame, start: DataFrame, hops: int, types: tuple[str, ...] | None = None, nodes: int | None = None, fan: int | None = None) -> DataFrame:
     """``id`` and ``hop`` of all nodes that confirmed edges, of the types if given, reach from ``start`` (id) in at most ``hops`` steps.
 

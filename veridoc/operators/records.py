@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veridoc.functions import text
+from veridoc.sources import scratch
 
 # Labels of edge states and relation types, and the label of any other type.
 STATUS = {"suggested": "待审核", "confirmed": "已采纳", "rejected": "已拒绝", "stale": "已失效"}
@@ -41,8 +42,20 @@ def run(runs: DataFrame, space: str, doc_id: str, run_id: str) -> DataFrame:
 
 
 def in_order(rows: DataFrame, group: str, *order: Column) -> DataFrame:
-    """The rows with their 1-based place ``n`` within their group."""
-    return rows.withColumn("n", F.row_number().over(Window.partitionBy(group).orderBy(*order)).cast("long"))
+    """The rows with their 1-based place ``n`` within their group; ``order`` must tell all rows of a group apart.
+
+    Rows are sorted by ranges of (group, order), numbered within each range, and the ranges' counts, a short row each, are summed
+    up. So a group with most rows is shared by many tasks.
+    """
+    dealt = scratch.keep(rows.repartitionByRange(F.col(group), *order).withColumn("_part", F.spark_partition_id()), "ordered")
+    key = [F.col(group).isNull().alias("_null"), F.coalesce(F.col(group).cast("string"), F.lit("")).alias("_key")]
+    dealt = dealt.select("*", *key)
+    counts = dealt.groupBy("_null", "_key", "_part").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy("_null", "_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    within = F.row_number().over(Window.partitionBy("_null", "_key", "_part").orderBy(*order))
+    placed = dealt.withColumn("_at", within).join(starts, ["_null", "_key", "_part"])
+    return placed.withColumn("n", (F.col("_start") + F.col("_at")).cast("long")).drop("_null", "_key", "_part", "_at", "_start")
 
 
 def newest_edges(edges: DataFrame) -> DataFrame:

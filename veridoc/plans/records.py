@@ -300,7 +300,39 @@ def health_more(v):
     return lost.union(untagged)
 
 
+REFERRED = """WITH d AS (SELECT CAST(o_orderkey AS STRING) AS id FROM orders WHERE o_orderstatus <> 'P'), n AS (SELECT id FROM v_node WHERE id NOT LIKE '%7'), e AS (SELECT * FROM v_edge WHERE status <> 'rejected')"""
+
+
+@query(REFERRED + """ SELECT 'graph_edges' AS "table", 'source_node_id' AS "column", source_node_id AS key, count(*) AS rows FROM e WHERE source_node_id NOT IN (SELECT id FROM n) GROUP BY 3
+ UNION ALL SELECT 'graph_edges', 'target_node_id', target_node_id, count(*) FROM e WHERE target_node_id NOT IN (SELECT id FROM n) GROUP BY 3 UNION ALL SELECT 'evidences', 'edge_id', edge_id, count(*) FROM v_evidence WHERE edge_id NOT IN (SELECT id FROM e) GROUP BY 3
+ UNION ALL SELECT 'evidences', 'source_document_id', source_document_id, count(*) FROM v_evidence WHERE source_document_id NOT IN (SELECT id FROM d) GROUP BY 3 UNION ALL SELECT 'extraction_runs', 'source_document_id', document_id, count(*) FROM v_run WHERE document_id NOT IN (SELECT id FROM d) GROUP BY 3""")
+def integrity_references(v):
+    """References of edges, evidence and runs without a parent, where some nodes, edges and documents are gone."""
+    docs = v("orders").filter("o_orderstatus <> 'P'").select(c("o_orderkey").cast("string").alias("id"))
+    runs_ = v("v_run").withColumnRenamed("document_id", "source_document_id")
+    return graph.broken_references({"graph_nodes": v("v_node").filter("id not like '%7'"), "graph_edges": v("v_edge").filter("status <> 'rejected'"), "evidences": v("v_evidence"), "source_documents": docs, "extraction_runs": runs_})
+
+
+@query("SELECT id, relation_type, row_number() OVER (PARTITION BY relation_type ORDER BY created_at, id) AS n FROM (SELECT e.id, relation_type, min(v.created_at) AS created_at FROM v_edge e JOIN v_evidence v ON v.edge_id = e.id WHERE e.status <> 'stale' GROUP BY 1, 2)")
+def graph_edges_scan(v):
+    """Edges that are not stale by the time of their first evidence and id."""
+    first = v("v_evidence").groupBy(c("edge_id").alias("id")).agg(F.min("created_at").alias("created_at"))
+    return records.in_order(v("v_edge").filter("status <> 'stale'").join(first, "id").select("id", "relation_type", "created_at"), "relation_type", c("created_at"), c("id")).select("id", "relation_type", "n")
+
+
 # ---- retrieval (specified, not part of the checked behaviour)
+@query("""WITH a AS (SELECT space_id AS query_id, id, row_number() OVER (PARTITION BY space_id ORDER BY file_size DESC, id) AS r FROM v_document), b AS (SELECT space_id AS query_id, id, row_number() OVER (PARTITION BY space_id ORDER BY updated_at, id) AS r FROM v_document),
+ f AS (SELECT query_id, id, sum(1.0::DOUBLE / (60 + r)) AS score FROM (SELECT * FROM a WHERE r <= 8 UNION ALL SELECT * FROM b WHERE r <= 8) GROUP BY 1, 2),
+ n AS (SELECT query_id, id FROM (SELECT space_id AS query_id, id, row_number() OVER (PARTITION BY space_id ORDER BY id) AS r FROM (SELECT DISTINCT space_id, id FROM v_document WHERE batch_id = 'src7' OR file_size > 20000)) WHERE r <= 8),
+ x AS (SELECT query_id, coalesce(n.id, f.id) AS id, n.id IS NOT NULL AS named, CASE WHEN n.id IS NULL THEN score END AS score FROM n FULL JOIN f USING (query_id, id))
+SELECT query_id, id, CAST(place AS INTEGER) AS place, named FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY named DESC, score DESC NULLS LAST, id) AS place FROM x) WHERE place <= 12""")
+def candidates_to_compare(v):
+    docs = v("v_document").withColumn("query_id", c("space_id"))
+    rows = lambda *o: graph.top_k(docs, 8, *o).select("query_id", "id", "rank")
+    found = graph.fused(rows(F.desc("file_size"), c("id")).union(rows(c("updated_at"), c("id"))))
+    return retrieval.to_compare(docs.filter("batch_id = 'src7' or file_size > 20000"), found)
+
+
 REFERRING = """WITH t AS (SELECT a.id AS query_id, concat(a.content_text, ' see "', upper(b.name), '", not x', c.name, ' (', d.name, ').') AS text FROM v_document a LEFT JOIN v_document b ON b.imported_at = a.imported_at + 1 LEFT JOIN v_document c ON c.imported_at = a.imported_at + 3 LEFT JOIN v_document d ON d.imported_at = a.imported_at + 7),
  n AS (SELECT id, name FROM v_document UNION SELECT id, substr(content_text, 1, instr(concat(content_text, '.'), '.') - 1) FROM v_document WHERE instr(content_text, '.') BETWEEN 20 AND 200)
 """
