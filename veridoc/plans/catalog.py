@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veridoc.functions import text
-from veridoc.operators import graph, ingest, listing, segment, validate
+from veridoc.operators import diff, graph, ingest, listing, segment, validate
 from veridoc.plans.bridge import Workspace, duckdb
 from veridoc.sources import eventlog, imports, scratch
 from veridoc.streaming import events, machines, versions
@@ -217,6 +217,35 @@ def offset_check(v):
     return total.join(wrong, "document_id", "left").fillna(0, ["errors"])
 
 
+SECTIONS_LATER = """, o AS (SELECT document_id, ordinal, section_path, body, title FROM secs), w AS (
+  SELECT document_id, ordinal, CASE WHEN title LIKE 'user 1%' THEN concat(section_path, ' again') ELSE section_path END AS section_path,
+    CASE WHEN title LIKE 'user 1%' THEN concat('## ', title, ' again', substr(body, instr(body, chr(10)))) WHEN title LIKE 'assistant%' THEN concat(body, 'and more') ELSE body END AS body FROM o WHERE title NOT LIKE 'system%'
+  UNION ALL SELECT document_id, 100000 + ordinal, concat(section_path, ' new'), concat('new ', document_id) FROM o WHERE ordinal = 1),
+"""
+
+
+@query(MARKDOWN + SECTIONS_LATER + """ k AS (SELECT document_id, ordinal, section_path, sha256(body) AS h, sha256(nullif(regexp_replace(body, '^[^\n]*\n?', ''), '')) AS b, row_number() OVER (PARTITION BY document_id, body ORDER BY ordinal) AS n FROM o),
+ l AS (SELECT document_id, ordinal, section_path, sha256(body) AS h, sha256(nullif(regexp_replace(body, '^[^\n]*\n?', ''), '')) AS b, row_number() OVER (PARTITION BY document_id, body ORDER BY ordinal) AS n FROM w),
+ same AS (SELECT k.document_id, k.ordinal AS a, l.ordinal AS z FROM k JOIN l ON k.document_id = l.document_id AND k.h = l.h AND k.n = l.n),
+ k2 AS (SELECT *, row_number() OVER (PARTITION BY document_id, section_path ORDER BY ordinal) AS m FROM k ANTI JOIN same ON same.document_id = k.document_id AND same.a = k.ordinal), l2 AS (SELECT *, row_number() OVER (PARTITION BY document_id, section_path ORDER BY ordinal) AS m FROM l ANTI JOIN same ON same.document_id = l.document_id AND same.z = l.ordinal),
+ chg AS (SELECT k2.document_id, k2.ordinal AS a, l2.ordinal AS z FROM k2 JOIN l2 ON k2.document_id = l2.document_id AND k2.section_path = l2.section_path AND k2.m = l2.m),
+ k3 AS (SELECT *, row_number() OVER (PARTITION BY document_id, b ORDER BY ordinal) AS q FROM k2 ANTI JOIN chg ON chg.document_id = k2.document_id AND chg.a = k2.ordinal), l3 AS (SELECT *, row_number() OVER (PARTITION BY document_id, b ORDER BY ordinal) AS q FROM l2 ANTI JOIN chg ON chg.document_id = l2.document_id AND chg.z = l2.ordinal),
+ ren AS (SELECT k3.document_id, k3.ordinal AS a, l3.ordinal AS z FROM k3 JOIN l3 ON k3.document_id = l3.document_id AND k3.b = l3.b AND k3.q = l3.q)
+SELECT document_id, a AS old_ordinal, z AS new_ordinal, 'same' AS change FROM same UNION ALL SELECT document_id, a, z, 'changed' FROM chg UNION ALL SELECT document_id, a, z, 'renamed' FROM ren
+ UNION ALL SELECT document_id, ordinal, NULL, 'removed' FROM k3 ANTI JOIN ren ON ren.document_id = k3.document_id AND ren.a = k3.ordinal UNION ALL SELECT document_id, NULL, ordinal, 'added' FROM l3 ANTI JOIN ren ON ren.document_id = l3.document_id AND ren.z = l3.ordinal""")
+def section_diff(v):
+    """All conversations as documents against a later version: system turns gone, answers longer, some headings renamed, a section
+    added. Nothing is moved, which SQL could not tell; moves are tested against plain loops."""
+    before = segment.sections(_markdown(v)).select("document_id", "ordinal", "section_path", "title", "content_text")
+    again, body = c("title").startswith("user 1"), c("content_text")
+    renamed = F.concat(F.lit("## "), "title", F.lit(" again"), F.substr(body, F.instr(body, "\n")))
+    later = before.filter(~c("title").startswith("system")).select(
+        "document_id", "ordinal", F.when(again, F.concat("section_path", F.lit(" again"))).otherwise(c("section_path")).alias("section_path"),
+        F.when(again, renamed).when(c("title").startswith("assistant"), F.concat(body, F.lit("and more"))).otherwise(body).alias("content_text"))
+    new = before.filter("ordinal = 1").select("document_id", (c("ordinal") + 100000).alias("ordinal"), F.concat("section_path", F.lit(" new")).alias("section_path"), F.concat(F.lit("new "), "document_id").alias("content_text"))
+    return diff.section_changes(before.drop("title"), later.union(new))
+
+
 @query("SELECT id AS document_id, 'section-1' AS section_id, '文档前言' AS title, length(content_text) AS end_offset FROM (SELECT id, content_text, CAST(1 AS INTEGER) AS one FROM v_document)".replace("length(content_text)", "CAST(length(content_text) AS INTEGER)"))
 def document_sections(v):
     return segment.sections(v("v_document")).select("document_id", "section_id", "title", "end_offset")
