@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from veridoc.functions import text
-from veridoc.operators import graph, ingest, listing, nearest, records, retrieval, runs, search, segment, validate
-from veridoc.plans.catalog import KEYED, LATEST, _found, _reviewed, _reviews, now, query
-from veridoc.sources import files
+from veridoc.operators import extract, graph, ingest, listing, nearest, records, retrieval, runs, search, segment, validate
+from veridoc.plans.catalog import EDGE, KEYED, LATEST, NODE, _found, _reviewed, _reviews, now, query
+from veridoc.sources import files, scratch
 from veridoc.streaming import events, machines
 
 c = F.col
@@ -272,6 +272,35 @@ def batch_admission_of_known(v):
     return events.admitted(v("v_chunk").select(c("chunk_ord").alias("request_ord"), "document_id"), docs=v("v_document"))
 
 
+TERMS = r"""WITH w AS (SELECT chunk_id, document_id, space_id, unnest(list_distinct(regexp_extract_all(content, '[a-z]{8,}'))) AS name FROM v_chunk)"""
+
+
+def _extracted(v):
+    chunks = v("v_chunk").select("chunk_id", "document_id", "space_id", "chunk_ord", "section_path", "content")
+    answered = scratch.keep(extract.answers(chunks, extract.Rules), "answers")
+    return extract.accepted(extract.candidates(answered, chunks), chunks)
+
+
+@query(TERMS + " SELECT space_id, concat('term:', name) AS normalized_key, CAST(count(DISTINCT document_id) AS BIGINT) AS sources, 'active' AS status FROM w GROUP BY 1, 2")
+def extract_to_nodes(v):
+    """Nodes of a new graph from all chunks: answers of a model of rules, their validation, and the upsert."""
+    good, _ = _extracted(v)
+    nodes = graph.node_upsert(v.spark.createDataFrame([], NODE), good["entities"], now())
+    return nodes.select("space_id", "normalized_key", F.size("source_ids").cast("long").alias("sources"), "status")
+
+
+@query(r"""WITH w AS (SELECT chunk_id, space_id, regexp_extract_all(content, '[a-z]{8,}') AS a FROM v_chunk), e AS (SELECT DISTINCT space_id, a[1] AS s, unnest(list_distinct(a[2:])) AS t FROM w WHERE len(a) > 1)
+SELECT space_id, concat('term:', s) AS source_key, concat('term:', t) AS target_key, 'relates_to' AS relation_type, 'suggested' AS status FROM e WHERE s <> t""")
+def extract_to_edges(v):
+    """Edges of that graph."""
+    good, _ = _extracted(v)
+    empty = v.spark.createDataFrame
+    nodes = graph.node_upsert(empty([], NODE), good["entities"], now()).select("id", "normalized_key")
+    edges = graph.edge_upsert(empty([], EDGE), graph.resolved(good["relations"], good["entities"]), now())
+    ends = edges.join(nodes.withColumnsRenamed({"id": "source_node_id", "normalized_key": "source_key"}), "source_node_id").join(nodes.withColumnsRenamed({"id": "target_node_id", "normalized_key": "target_key"}), "target_node_id")
+    return ends.select("space_id", "source_key", "target_key", "relation_type", "status")
+
+
 # ---- integrity and health
 @query("""SELECT 'document' AS "table", id AS key, count(*) AS n FROM v_document GROUP BY id HAVING count(*) > 1 UNION ALL SELECT 'chunk', chunk_id, count(*) FROM v_chunk GROUP BY chunk_id HAVING count(*) > 1
  UNION ALL SELECT 'entity', concat(chunk_id, '|', candidate_id), count(*) FROM v_entity GROUP BY chunk_id, candidate_id HAVING count(*) > 1 UNION ALL SELECT 'node', id, count(*) FROM v_node GROUP BY id HAVING count(*) > 1
