@@ -100,3 +100,19 @@ def test_cells_find_most_neighbours(spark, kind):
 def test_cells_of_no_vectors(spark):
     none = spark.createDataFrame([], "id long, model string, v array<float>")
     assert nearest.by_cells(none, none.select("id")).count() == 0
+
+
+def test_names_that_are_alike_equal_all_pairs(spark):
+    from veridoc.operators import health
+
+    r = random.Random(8)
+    words = ["Anna Berg", "anna  berg", "Ana Berg", "Berg, Anna", "Supplier#000001", "Supplier#000002", "x", "xy", "", None, *("".join(r.choice("abcd ") for _ in range(r.randint(1, 14))) for _ in range(150))]
+    nodes = [(f"n{i}", w) for i, w in enumerate(words)]
+    got = {tuple(x) for x in health.alike(spark.createDataFrame([(w,) for w in words], "name string"), spark.createDataFrame(nodes, "id string, label string")).collect()}
+
+    def grams(w):
+        p = "^" + " ".join(w.split()).lower() + "$"
+        return {p[i : i + 3] for i in range(max(1, len(p) - 2))}
+
+    want = {(w, i) for w in words if (w or "").strip() for i, x in nodes if (x or "").strip() and 100 * len(grams(w) & grams(x)) >= 80 * len(grams(w) | grams(x))}
+    assert got == want

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from veridoc.functions import text
-from veridoc.operators import extract, graph, ingest, listing, nearest, records, retrieval, runs, search, segment, validate
+from veridoc.operators import extract, graph, health, ingest, listing, nearest, records, retrieval, runs, search, segment, validate
 from veridoc.plans.catalog import EDGE, KEYED, LATEST, NODE, _found, _reviewed, _reviews, now, query
 from veridoc.sources import files, scratch
 from veridoc.streaming import events, machines
@@ -329,6 +329,24 @@ def health_more(v):
     return lost.union(untagged)
 
 
+@query("""WITH n AS (SELECT DISTINCT s_name AS name FROM supplier), t AS (SELECT name, list_distinct(list_transform(range(1, length(name) + 1), lambda i: substr(concat('^', lower(name), '$'), i, 3))) AS t FROM n),
+ u AS (SELECT id, list_distinct(list_transform(range(1, length(label) + 1), lambda i: substr(concat('^', lower(label), '$'), i, 3))) AS u FROM v_node),
+ p AS (SELECT name, id, len(list_intersect(t, u)) AS b, len(t) + len(u) AS s FROM t, u)
+SELECT name, count(*) AS candidates, min(id) AS "first" FROM p WHERE b * 100 >= (s - b) * 80 GROUP BY name HAVING count(*) > 1""")
+def health_ambiguous_names(v):
+    """Suppliers' names that could mean more than one node."""
+    return health.ambiguous(v("supplier").select(c("s_name").alias("name")), v("v_node").select("id", "label"))
+
+
+@query("""WITH d AS (SELECT o.o_orderkey AS id, o.o_custkey AS owner, min(l_shipdate) AS due FROM orders o LEFT JOIN lineitem l ON l_orderkey = o_orderkey AND l_returnflag = 'N' GROUP BY 1, 2)
+SELECT 'no owner' AS issue, id FROM d WHERE owner NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal >= 0) UNION ALL SELECT 'no due date', id FROM d WHERE due IS NULL""")
+def health_open_tasks(v):
+    """Orders as tasks: without an owner in good standing, or without a date to come."""
+    due = v("lineitem").filter("l_returnflag = 'N'").groupBy(c("l_orderkey").alias("id")).agg(F.min("l_shipdate").alias("due"))
+    tasks = v("orders").select(c("o_orderkey").alias("id"), c("o_custkey").alias("owner")).join(due, "id", "left")
+    return health.open_tasks(tasks, v("customer").filter("c_acctbal >= 0").select(c("c_custkey").alias("id")))
+
+
 REFERRED = """WITH d AS (SELECT CAST(o_orderkey AS STRING) AS id FROM orders WHERE o_orderstatus <> 'P'), n AS (SELECT id FROM v_node WHERE id NOT LIKE '%7'), e AS (SELECT * FROM v_edge WHERE status <> 'rejected')"""
 
 
