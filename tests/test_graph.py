@@ -72,3 +72,20 @@ def test_hops_with_caps_at_a_hub(spark):
 
 def test_every_query_has_columns_of_its_own_names():
     assert len(catalog.QUERIES) >= 60 and set(catalog.SQL) <= set(catalog.QUERIES)
+
+
+def test_leavings_of_a_step_are_removed(spark):
+    import os
+
+    from veridoc.sources import scratch
+
+    inner = []
+
+    def step():
+        inner.append(scratch.keep(spark.range(5), "inner"))
+        return inner[0].filter("id > 2")
+
+    kept = scratch.keep(spark.range(3), "before")
+    out = scratch.alone(step, "out")
+    there = lambda df: all(os.path.exists(f.removeprefix("file://")) for f in df.inputFiles())
+    assert out.count() == 2 and there(kept) and there(out) and not there(inner[0])

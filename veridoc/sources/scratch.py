@@ -7,8 +7,10 @@ cut the lineage of what is read back from them. Only a local session without the
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,6 +46,24 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def alone(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """Write what ``make`` returns and return what is read back; tables that it kept on its way are removed, and so are, once the
+    driver's JVM has collected its garbage, the shuffle files behind it. For steps of loops, whose leavings add up."""
+    before = set(_made)
+    out = make()
+    spark, path = out.sparkSession, new_dir(out.sparkSession, name)
+    out.write.parquet(path)
+    back = spark.read.schema(out.schema).parquet(path)
+    del out
+    for other in _made - before - {path}:
+        if "/veridoc-" in other and other.rpartition("/")[0] == path.rpartition("/")[0]:  # not the shared folder itself
+            remove(spark, other)
+            _made.discard(other)
+    gc.collect()
+    spark._jvm.System.gc()
+    return back
+
+
 def drop(df: DataFrame) -> None:
     """Remove the table behind a result of :func:`keep` that is no longer needed."""
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()[:1]}:
