@@ -133,37 +133,52 @@ def similar_texts(docs: DataFrame, shingle_words: int = 5, similarity: float = 0
     text = F.struct("key", "fp", "size")
     hubs = crowded.groupBy("bucket").agg(F.max(F.struct("copies", F.xxhash64("key").alias("h"), text.alias("t"))).alias("hub")).select("bucket", F.col("hub.t").alias("hub"))
     stars = crowded.select("bucket", text.alias("own")).join(hubs, "bucket").filter((F.col("own.key") != F.col("hub.key")) & possible("own", "hub"))
-    links = scratch.keep(compared(stars.select(F.col("own.key").alias("a"), F.col("hub.key").alias("b")).distinct(), sets, similarity), "star-links")
+    links = scratch.alone(lambda: compared(stars.select(F.col("own.key").alias("a"), F.col("hub.key").alias("b")).distinct(), sets, similarity), "star-links")
 
-    named = crowded.join(connected(links).withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
-    apart = named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("bucket")
-    left = scratch.keep(named.join(apart, "bucket").select("bucket", "n", "key", "label", "fp", "size"), "apart")
+    def still_apart() -> DataFrame:
+        named = crowded.join(connected(links).withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
+        apart = named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("bucket")
+        return named.join(apart, "bucket").select("bucket", "n", "key", "label", "fp", "size")
+
+    left = scratch.alone(still_apart, "apart")
+    for done in (crowded, members, texts):
+        scratch.drop(done)
     member = F.struct("key", "label", "fp", "size").alias("own")
     small = left.filter(F.col("n") <= BUCKET).groupBy("bucket").agg(F.collect_list(member).alias("m")).select(F.explode("m").alias("own"), "m").select("own", F.explode("m").alias("other"))
     pairs = small.filter((F.col("own.key") < F.col("other.key")) & (F.col("own.label") != F.col("other.label")) & possible("own", "other")).select(F.col("own.key").alias("a"), F.col("other.key").alias("b"))
     thick = left.filter(F.col("n") > BUCKET).select("key", "label", "fp", "size").distinct()
-    return settled(pairs.union(prefix_pairs(thick, sets, similarity)).distinct(), links, sets, similarity)
+    waiting = scratch.alone(lambda: pairs.union(prefix_pairs(thick, sets, similarity)).distinct(), "pairs")
+    scratch.drop(left)
+    return settled(waiting, links, sets, similarity)
 
 
 def settled(pairs: DataFrame, links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """``links`` and such of the similar ``pairs`` (``a``, ``b``) as are needed to join what all of them would join.
+    """``links`` and such of the similar ``pairs`` (``a``, ``b``), both written tables that are removed, as are needed to join what all of them would join.
 
     Two components with many pairs between them need only one that is similar. So each round compares some pairs for each
     two components, drops those that have become one, and takes eight times as many for the others the next time.
     Every pair is compared in the end, unless its texts are joined already.
     """
-    most, waiting = 1, scratch.keep(pairs, "pairs")
-    while True:
-        labels = connected(links)
+    most, waiting, last = 1, pairs, pairs
+
+    def dealt_out() -> DataFrame:
+        labels, rows = connected(links), waiting
         for end in ("a", "b"):
-            waiting = waiting.join(labels.select(F.col("node").alias(end), F.col("label").alias(f"l{end}")), end, "left").withColumn(f"l{end}", F.coalesce(f"l{end}", end))
-        waiting = waiting.filter("la <> lb").select("a", "b", F.least("la", "lb").alias("la"), F.greatest("la", "lb").alias("lb"))
-        counts = waiting.groupBy("la", "lb").agg(F.count("*").alias("n"), F.min(F.xxhash64("a", "b")).alias("first"))
+            rows = rows.join(labels.select(F.col("node").alias(end), F.col("label").alias(f"l{end}")), end, "left").withColumn(f"l{end}", F.coalesce(f"l{end}", end))
+        rows = rows.filter("la <> lb").select("a", "b", F.least("la", "lb").alias("la"), F.greatest("la", "lb").alias("lb"))
+        counts = rows.groupBy("la", "lb").agg(F.count("*").alias("n"), F.min(F.xxhash64("a", "b")).alias("first"))
         h, share = F.xxhash64("a", "b"), F.ceil(F.col("n") / most)
-        dealt = scratch.keep(waiting.join(counts, ["la", "lb"]).select("a", "b", ((h == F.col("first")) | (F.pmod(h, share) == 0)).alias("now")), "waiting")
+        return rows.join(counts, ["la", "lb"]).select("a", "b", ((h == F.col("first")) | (F.pmod(h, share) == 0)).alias("now"))
+
+    while True:
+        dealt = scratch.alone(dealt_out, "waiting")
+        scratch.drop(last)
         if not dealt.limit(1).count():
+            scratch.drop(dealt)
             return links
-        links = scratch.keep(links.union(compared(dealt.filter("now").select("a", "b"), sets, similarity)), "links")
+        more = scratch.alone(lambda: links.union(compared(dealt.filter("now").select("a", "b"), sets, similarity)), "links")  # noqa: B023
+        scratch.drop(links)
+        links, last = more, dealt
         waiting, most = dealt.filter("not now").select("a", "b"), most * 8
 
 
@@ -297,7 +312,7 @@ def one_of_each(docs: DataFrame, **how) -> DataFrame:
     without another. Of rows that repeat doc_id and text one is kept. An empty table stays empty, and a column of any other
     name stays as it is. A very long text is one set of shingles in a task at a time.
     """
-    links = scratch.keep(similar_texts(docs, **how), "similar")
+    links = scratch.alone(lambda: similar_texts(docs, **how), "similar")
     labels = connected(links)
     texts = docs.select("doc_id", digest().alias("node")).groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("least"), F.count("*").alias("n"))
     named = texts.join(labels, "node", "left").select("node", "least", "n", F.coalesce("label", "node").alias("label"))
