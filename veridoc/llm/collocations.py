@@ -332,10 +332,10 @@ def op13_son_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP13_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS k, coalesce(lang, 'und') AS lang,
     translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
-piece AS (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
-w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM piece),
-places AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w),
-grams AS (SELECT lang, size, array_to_string(w[i : i + size - 1], ' ') AS phrase FROM places, (VALUES (1), (2), (3)) s(size) WHERE i + size - 1 <= len(w)),
+piece AS (SELECT k, lang, unnest(p) AS piece, generate_subscripts(p, 1) AS i FROM (SELECT k, lang, regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]') AS p FROM d)),
+w AS (SELECT k, lang, i, unnest(w) AS w, generate_subscripts(w, 1) AS j FROM (SELECT k, lang, i, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM piece)),
+places AS (SELECT lang, w AS a, lead(w, 1) OVER o AS b, lead(w, 2) OVER o AS c FROM w WINDOW o AS (PARTITION BY k, i ORDER BY j)),
+grams AS (SELECT lang, 1 AS size, a AS phrase FROM places UNION ALL SELECT lang, 2, concat(a, ' ', b) FROM places WHERE b IS NOT NULL UNION ALL SELECT lang, 3, concat(a, ' ', b, ' ', c) FROM places WHERE c IS NOT NULL),
 f AS (SELECT lang, size, phrase, count(*) AS n FROM grams GROUP BY ALL),
 total AS (SELECT lang, sum(n)::BIGINT AS n FROM f WHERE size = 1 GROUP BY lang),
 cand AS (SELECT lang, size, phrase, n AS a, string_split(phrase, ' ') AS w FROM f WHERE size >= 2 AND n >= 10),
