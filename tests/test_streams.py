@@ -187,3 +187,27 @@ def test_unmarked_batches_do_not_exist(spark, tmp_path):
 
 def test_queries_of_events_have_sql():
     assert {"run_state_fold", "workflow_states", "workflow_refused", "event_text_round_trip", "event_streams_broken"} <= set(catalog.SQL)
+
+
+def test_files_and_tasks_do_not_grow_with_streams(spark, tmp_path, monkeypatch):
+    path = f"{tmp_path}/log"
+    rows = [(f"s{i:04d}", k, "delta", f"{i}-{k}") for i in range(600) for k in range(3)]
+    df = spark.createDataFrame(rows, "stream_id string, seq long, event string, delta string")
+    eventlog.write(df.filter("seq < 2"), path)
+    eventlog.write(df.filter("seq = 2"), path)
+    assert len(list((tmp_path / "log" / "000000000000").iterdir())) <= 5 and len(eventlog.BatchReader(path).partitions()) <= 8
+    # a stream that another service goes on with, and a cut part of a segment
+    (tmp_path / "log" / "000000000002").mkdir()
+    (tmp_path / "log" / "000000000002" / "s0007.00000").write_bytes(b'event:delta\ndata:{"delta":"7-3"}\n\n')
+    (tmp_path / "log" / "000000000002" / "_COMMITTED").touch()
+    want = sorted([(s, d) for s, _, _, d in rows] + [("s0007", "7-3")], key=lambda r: (r[0], int(r[1].split("-")[1])))
+    for size in (8 << 20, 50):
+        monkeypatch.setattr(eventlog, "RANGE", size)
+        reader = eventlog.BatchReader(path)
+        got = sorted(r for p in reader.partitions() for r in reader.read(p))
+        names = [n for n, _ in eventlog._FIELDS]
+        assert [(r[0], r[3 + names.index("delta")]) for r in got] == want
+        stream, seen = eventlog.StreamReader(path), []
+        for n in range(-1, 2):
+            seen += [r for p in stream.partitions({"batch": n}, {"batch": n + 1}) for r in stream.read(p)]
+        assert sorted(seen) == got

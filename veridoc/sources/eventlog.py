@@ -1,13 +1,16 @@
 """Event streams as a Spark data source and sink, ``veridoc_events``.
 
-A log is a folder of numbered batches; in a batch stands a file for each part of a stream that came with it:
+A log is a folder of numbered batches; in a batch stand the parts of streams that came with it:
 
-    <path>/000000000007/<stream id, quoted>.00000     bytes of frames "event:<name>\\ndata:<json>\\n\\n"
-    <path>/000000000007/_COMMITTED                    written last; a batch without it does not exist
+    <path>/000000000007/<stream id, quoted>.00000     bytes of frames "event:<name>\\ndata:<json>\\n\\n"; what others write
+    <path>/000000000007/@00000-<any>                  a segment, what a task of Spark writes: parts of many streams and their index
+    <path>/000000000007/_COMMITTED                    written last; a batch without it does not exist. Lists the segments
 
-A stream is what its parts hold, one after another by batch and number. They may be cut anywhere, within a frame or a
-character: a frame counts to the range of bytes in which it ends, and whoever reads that range looks back for where it starts.
-So an offset of a streaming read is a batch number, tasks share a long stream by ranges of bytes, and no stream is one row.
+A stream is what its parts hold, one after another by batch and number, those in segments after the others of a batch. Files of one
+stream may be cut anywhere, within a frame or a character: a frame counts to the range of bytes in which it ends, and whoever
+reads that range looks back for where it starts. A segment's parts are whole frames, sorted by stream. So an offset of a
+streaming read is a batch number, tasks share a long stream by ranges of bytes, and no stream is one row. Files and tasks of
+what Spark has written grow with its bytes, not with the number of streams; the index of a segment is read by the tasks that need it.
 
 Columns: stream_id, position (the byte at which the frame starts), event, and the fields of the frame's JSON. A frame without
 event or data is none. One whose data is no JSON object is an ``error`` row with a message.
@@ -17,18 +20,22 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
+import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from urllib.parse import quote, unquote
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceStreamWriter, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 from veridoc.streaming.events import FIELDS
 
 NAME, MARK = "veridoc_events", "_COMMITTED"
+#: What the names of segments start with; quoted stream ids never have it.
+SEGMENT = "@"
 SCHEMA = f"stream_id string, position long, event string, {FIELDS}"
 #: Bytes of a stream that one task reads, and that it looks back at a time.
 RANGE, BACK = 8 << 20, 64 << 10
@@ -55,37 +62,78 @@ def _batches(path: str) -> list[int]:
     return [n for n, m in zip(numbers, marks, strict=True) if m.type != fs.FileType.NotFound]
 
 
-def _parts(path: str, batches: list[int]) -> dict[str, list[tuple[str, int]]]:
-    """Files and sizes of each stream over the batches, in order."""
+def _parts(path: str, batches: list[int]) -> dict[str, list[tuple[str, int, int]]]:
+    """Files, with 0 and their sizes, of each stream that has some in the batches, in order."""
     from pyarrow import fs
 
     store, base = _fs(path)
     found: dict[str, list[tuple[str, int]]] = {}
     for n in batches:
-        files = [f for f in store.get_file_info(fs.FileSelector(f"{base}/{n:012d}")) if f.is_file and f.base_name != MARK]
+        files = [f for f in store.get_file_info(fs.FileSelector(f"{base}/{n:012d}")) if f.is_file and f.base_name != MARK and f.base_name[0] != SEGMENT]
         for f in sorted(files, key=lambda f: f.base_name):
-            found.setdefault(unquote(f.base_name.rpartition(".")[0]), []).append((f"{n:012d}/{f.base_name}", f.size))
+            found.setdefault(unquote(f.base_name.rpartition(".")[0]), []).append((f"{n:012d}/{f.base_name}", 0, f.size))
     return found
 
 
+@dataclass
+class Segment:
+    """A segment as its batch's mark lists it: bytes of frames, bytes of the index after them, least and greatest id of its streams."""
+
+    batch: int
+    name: str
+    bytes: int
+    index: int
+    least: str
+    most: str
+
+
+def _segments(path: str, batches: list[int]) -> list[Segment]:
+    """The segments of the batches, in order."""
+    store, base = _fs(path)
+    found = []
+    for n in batches:
+        with store.open_input_file(f"{base}/{n:012d}/{MARK}") as f:
+            listed = f.read()
+        found += [Segment(n, f"{n:012d}/{name}", *rest) for name, *rest in sorted(json.loads(listed or b"[]"))]
+    return found
+
+
+def _index(path: str, segment: Segment) -> list[tuple[str, int, int]]:
+    """(stream, offset, size) of the parts in a segment, in order."""
+    store, base = _fs(path)
+    with store.open_input_file(f"{base}/{segment.name}") as f:
+        packed = f.read_at(segment.index, segment.bytes)
+    return [tuple(x) for x in json.loads(zlib.decompress(packed))]
+
+
 class Bytes:
-    """Ranges of a stream's bytes over its parts."""
+    """Ranges of a stream's bytes over its parts (file, offset in it, size)."""
 
-    def __init__(self, path: str, parts: list[tuple[str, int]]):
+    def __init__(self, path: str, parts: list[tuple[str, int, int]]):
         self.store, self.base = _fs(path)
         self.parts = parts
 
     def read(self, start: int, stop: int) -> bytes:
         out, at = [], 0
-        for name, size in self.parts:
+        for name, offset, size in self.parts:
             a, b = max(start, at), min(stop, at + size)
             if a < b:
                 with self.store.open_input_file(f"{self.base}/{name}") as f:
-                    out.append(f.read_at(b - a, a - at))
+                    out.append(f.read_at(b - a, offset + a - at))
             at += size
         return b"".join(out)
 
 
+class Held:
+    """The same for bytes that are in memory, of which the first stands at ``at``."""
+
+    def __init__(self, data: memoryview, at: int):
+        self.data, self.at = data, at
+
+    def read(self, start: int, stop: int) -> bytes:
+        return bytes(self.data[start - self.at : stop - self.at])
+
+
 def frames(data: Bytes, start: int, stop: int, last: bool) -> Iterator[tuple[int, bytes]]:
     """(position, frame) of the frames that end after ``start`` and at or before ``stop``. A frame starts at the first byte
     that is no line end and ends with the first empty line after it; with ``last`` also where the stream stops."""
@@ -131,30 +179,94 @@ def parsed(frame: bytes) -> dict | None:
 
 
 @dataclass
-class Range(InputPartition):
+class Range:
+    """Bytes of one stream over its parts."""
+
     stream: str
     parts: list
     start: int
     stop: int
     last: bool
 
+    def rows(self, path: str) -> Iterator[tuple[str, int, bytes]]:
+        for position, frame in frames(Bytes(path, self.parts), self.start, self.stop, self.last):
+            yield self.stream, position, frame
+
+
+@dataclass
+class Slice:
+    """Bytes of one segment, the segments before it that have some of its streams, and streams that are not to be read here."""
+
+    segment: Segment
+    start: int
+    stop: int
+    before: list
+    other: frozenset
+
+    def rows(self, path: str) -> Iterator[tuple[str, int, bytes]]:
+        store, base = _fs(path)
+        mine = [(s, a, n) for s, a, n in _index(path, self.segment) if a < self.stop and a + n > self.start and s not in self.other]
+        had = dict.fromkeys((s for s, _, _ in mine), 0)
+        for old in self.before:
+            if had and old.least <= mine[-1][0] and old.most >= mine[0][0]:
+                for s, _, n in _index(path, old):
+                    if s in had:
+                        had[s] += n
+        with store.open_input_file(f"{base}/{self.segment.name}") as f:
+            held = memoryview(f.read_at(self.stop - self.start, self.start))
+        for stream, at, size in mine:
+            a, b = max(self.start, at), min(self.stop, at + size)
+            inside = Held(held[a - self.start : b - self.start], a - at)
+            whole = inside if a == at else Bytes(path, [(self.segment.name, at, size)])  # a cut part is looked back into
+            for position, frame in frames(whole, a - at, b - at, False):
+                yield stream, had[stream] + position, frame
+
+
+@dataclass
+class Task(InputPartition):
+    """Ranges and slices that one task reads."""
+
+    reads: list = field(default_factory=list)
+    size: int = 0
+
     def __post_init__(self):
         super().__init__(None)
 
 
-def ranges(path: str, after: int | None, upto: int | None) -> list[Range]:
-    """Ranges of the bytes that came with the batches after one and up to another; all batches, if None."""
+def ranges(path: str, after: int | None, upto: int | None) -> list[Task]:
+    """What to read of the batches after one and up to another; all batches, if None. A task has about RANGE bytes at most."""
     batches = [n for n in _batches(path) if upto is None or n <= upto]
-    new = _parts(path, [n for n in batches if after is None or n > after])
-    old = _parts(path, [n for n in batches if after is not None and n <= after]) if after is not None else {}
-    out = []
-    for stream, parts in new.items():
-        before = old.get(stream, [])
-        begin = sum(s for _, s in before)
-        end = begin + sum(s for _, s in parts)
+    new, old = [n for n in batches if after is None or n > after], [n for n in batches if after is not None and n <= after]
+    segments, files = _segments(path, batches), {n: _parts(path, [n]) for n in batches}
+    # streams that also have files of their own are few or the caller's; their parts in segments are ranges like the others
+    alone = frozenset(s for found in files.values() for s in found)
+    for g in segments if alone else ():
+        if any(g.least <= s <= g.most for s in alone):
+            for s, at, size in _index(path, g):
+                if s in alone:
+                    files[g.batch].setdefault(s, []).append((g.name, at, size))
+    parts = lambda some: {s: [p for n in some for p in files[n].get(s, [])] for s in sorted({s for n in some for s in files[n]})}
+    before = parts(old)
+    out: list[Task] = []
+
+    def add(read: Range | Slice) -> None:
+        if not out or out[-1].size + read.stop - read.start > RANGE:
+            out.append(Task())
+        out[-1].reads.append(read)
+        out[-1].size += read.stop - read.start
+
+    for stream, own in parts(new).items():
+        had = before.get(stream, [])
+        begin = sum(size for _, _, size in had)
+        end = begin + sum(size for _, _, size in own)
         for a in range(begin, end, RANGE):
             b = min(a + RANGE, end)
-            out.append(Range(stream, before + parts, a, b, upto is None and b == end))
+            add(Range(stream, had + own, a, b, upto is None and b == end))
+    for k, g in enumerate(segments):
+        if after is None or g.batch > after:
+            some = [x for x in segments[:k] if x.least <= g.most and x.most >= g.least]
+            for a in range(0, g.bytes, RANGE):
+                add(Slice(g, a, min(a + RANGE, g.bytes), some, alone))
     return out
 
 
@@ -162,16 +274,15 @@ class _Reader:
     def __init__(self, path: str):
         self.path = path
 
-    def read(self, partition: Range | None) -> Iterator[tuple]:
-        if partition is None:  # Spark asks once for a log without ranges
-            return
-        for position, frame in frames(Bytes(self.path, partition.parts), partition.start, partition.stop, partition.last):
-            if (row := parsed(frame)) is not None:
-                yield (partition.stream, position, row["event"], *(row.get(n) for n, _ in _FIELDS))
+    def read(self, partition: Task | None) -> Iterator[tuple]:
+        for part in partition.reads if partition else ():  # Spark asks once with None for a log without ranges
+            for stream, position, frame in part.rows(self.path):
+                if (row := parsed(frame)) is not None:
+                    yield (stream, position, row["event"], *(row.get(n) for n, _ in _FIELDS))
 
 
 class BatchReader(_Reader, DataSourceReader):
-    def partitions(self) -> list[Range]:
+    def partitions(self) -> list[Task]:
         return ranges(self.path, None, None)
 
 
@@ -182,7 +293,7 @@ class StreamReader(_Reader, DataSourceStreamReader):
     def latestOffset(self) -> dict:
         return {"batch": max(_batches(self.path), default=-1)}
 
-    def partitions(self, start: dict, end: dict) -> list[Range]:
+    def partitions(self, start: dict, end: dict) -> list[Task]:
         return ranges(self.path, start["batch"], end["batch"])
 
     def commit(self, end: dict) -> None:
@@ -194,8 +305,13 @@ def framed(event: str, body: dict) -> bytes:
     return f"event:{event}\ndata:{data}\n\n".encode()
 
 
+@dataclass
+class Written(WriterCommitMessage):
+    segment: list
+
+
 class _Writer:
-    """Each task writes a part of each stream it has, under a name of its own; the driver's commit makes the batch exist."""
+    """Each attempt of a task writes a segment under a name of its own; the driver's commit lists those that count, and so makes the batch exist."""
 
     def __init__(self, path: str, columns: list[str], batch: int | None = None):
         self.path, self.columns = path, columns
@@ -205,32 +321,34 @@ class _Writer:
         from pyspark import TaskContext
 
         store, base = _fs(self.path)
-        folder, part, out, now = f"{base}/{self.number:012d}", TaskContext.get().partitionId(), None, None
-        store.create_dir(folder, recursive=True)
-        try:
-            for row in rows:
-                r = row.asDict()
-                if r["stream_id"] != now:
-                    if out:
-                        out.close()
-                    now = r["stream_id"]
-                    out = store.open_output_stream(f"{folder}/{quote(now, safe='')}.{part:05d}")
-                out.write(framed(r["event"], {c: r[c] for c in self.columns if c not in ("stream_id", "event", "position", "seq")}))
-        finally:
-            if out:
-                out.close()
-        return WriterCommitMessage()
-
-    def _mark(self, number: int) -> None:
+        folder, name = f"{base}/{self.number:012d}", f"{SEGMENT}{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex[:12]}"
+        index: list[list] = []
+        out, at, own = None, 0, [c for c in self.columns if c not in ("stream_id", "event", "position", "seq")]
+        for row in rows:
+            if out is None:
+                store.create_dir(folder, recursive=True)
+                out = store.open_output_stream(f"{folder}/{name}", buffer_size=1 << 20)
+            if not index or row["stream_id"] != index[-1][0]:
+                index.append([row["stream_id"], at, 0])
+            out.write(data := framed(row["event"], {c: row[c] for c in own}))
+            at += len(data)
+            index[-1][2] += len(data)
+        if out is None:
+            return Written([])
+        out.write(packed := zlib.compress(json.dumps(index).encode()))
+        out.close()
+        return Written([name, at, len(packed), index[0][0], index[-1][0]])
+
+    def _mark(self, number: int, segments: list[list]) -> None:
         store, base = _fs(self.path)
         store.create_dir(f"{base}/{number:012d}", recursive=True)
-        with store.open_output_stream(f"{base}/{number:012d}/{MARK}"):
-            pass
+        with store.open_output_stream(f"{base}/{number:012d}/{MARK}") as f:
+            f.write(json.dumps(segments).encode())
 
 
 class BatchWriter(_Writer, DataSourceWriter):
     def commit(self, messages) -> None:
-        self._mark(self.number)
+        self._mark(self.number, [m.segment for m in messages if m is not None and m.segment])
 
 
 class EventLog(DataSource):
