@@ -116,3 +116,16 @@ def test_names_that_are_alike_equal_all_pairs(spark):
 
     want = {(w, i) for w in words if (w or "").strip() for i, x in nodes if (x or "").strip() and 100 * len(grams(w) & grams(x)) >= 80 * len(grams(w) | grams(x))}
     assert got == want
+
+
+def test_equal_titles_are_found_without_a_text_for_each(spark, monkeypatch):
+    """Copies share a title; no plan may hold a text for each name it may have, and each pair comes once."""
+    monkeypatch.setattr(search, "CELL", 50)
+    texts = [(f"t{i}", f"The same title of all, see file_{i % 7}.md") for i in range(40)] + [("one", "file_1"), ("two", "all the same title of")]
+    names = [(f"d{i}", "the SAME title of all") for i in range(30)] + [(f"d{i}", f"file_{i}.MD") for i in range(30)] + [("d3", "see")]
+    before = search._owners
+    seen = {}
+    monkeypatch.setattr(search, "_owners", lambda found, named: before(seen.setdefault("found", found), named))
+    got = [tuple(r) for r in search.by_name(spark.createDataFrame(texts, "query_id string, text string"), spark.createDataFrame(names, "id string, name string")).collect()]
+    assert sorted(got) == sorted((f"t{i}", f"d{k}") for i in range(40) for k in range(30))
+    assert seen["found"].count() == 40 * 3  # a title, a file name and a word of each text, whatever the number of owners
