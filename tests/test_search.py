@@ -129,3 +129,20 @@ def test_equal_titles_are_found_without_a_text_for_each(spark, monkeypatch):
     got = [tuple(r) for r in search.by_name(spark.createDataFrame(texts, "query_id string, text string"), spark.createDataFrame(names, "id string, name string")).collect()]
     assert sorted(got) == sorted((f"t{i}", f"d{k}") for i in range(40) for k in range(30))
     assert seen["found"].count() == 40 * 3  # a title, a file name and a word of each text, whatever the number of owners
+
+
+def test_ambiguous_names_meet_labels_not_nodes(spark, monkeypatch):
+    from veridoc.operators import health
+
+    labels = [f"Supplier#{i:09d}" for i in range(400)]
+    nodes = [(f"n{k}-{i:03d}", w) for i, w in enumerate(labels) for k in range(5)] + [("n0-000", "supplier#000000001"), ("z", "SUPPLIER#000000399 ")]
+    seen, before = [], health._pairs
+    monkeypatch.setattr(health, "_pairs", lambda a, b, percent: seen.append((a.count(), b.count())) or before(a, b, percent))
+    got = {tuple(r) for r in health.ambiguous(spark.createDataFrame([(w,) for w in labels], "name string"), spark.createDataFrame(nodes, "id string, label string")).collect()}
+    grams = lambda w: {f"^{w}$"[i : i + 3] for i in range(len(w))}
+    of = {w: grams(w.strip().lower()) for _, w in nodes}
+    want = set()
+    for w in labels:
+        ids = {i for i, x in nodes if 100 * len(of[w] & of[x]) >= 80 * len(of[w] | of[x])}
+        want |= {(w, len(ids), min(ids))} if len(ids) > 1 else set()
+    assert got == want and seen == [(400, 400)]
