@@ -16,8 +16,9 @@ def check_page(page: int, size: int) -> None:
 
 
 def active(rows: DataFrame, spaces: DataFrame) -> DataFrame:
-    """Rows of spaces that are active."""
-    return rows.join(spaces.filter("status = 'active'").select(F.col("id").alias("space_id")), "space_id", "left_semi")
+    """Rows of spaces that are active. The ids of spaces, which are few and short, go to all tasks: dealt by space, whole rows of the
+    largest one would meet in one task."""
+    return rows.join(F.broadcast(spaces.filter("status = 'active'").select(F.col("id").alias("space_id")).distinct()), "space_id", "left_semi")
 
 
 def latest_runs(runs: DataFrame) -> DataFrame:
@@ -45,9 +46,10 @@ def totals(rows: DataFrame, size: int = PAGE) -> DataFrame:
 
 
 def with_runs(docs: DataFrame, runs: DataFrame) -> DataFrame:
-    """Documents with their latest status (not_started without a run) and the summary or, without one, their excerpt."""
+    """Documents with their latest status (not_started without a run) and the summary or, without one, their excerpt. A page of them
+    is one partition, and a join with it as it is would bring all runs to one task; so documents are dealt by id first."""
     latest = latest_runs(runs).withColumnRenamed("document_id", "id")
-    return docs.join(latest, "id", "left").withColumn("latest_status", F.coalesce("latest_status", F.lit("not_started"))).withColumn("excerpt", F.coalesce("latest_summary", "excerpt"))
+    return docs.repartition("id").join(latest, "id", "left").withColumn("latest_status", F.coalesce("latest_status", F.lit("not_started"))).withColumn("excerpt", F.coalesce("latest_summary", "excerpt"))
 
 
 def merged(old: DataFrame, new: DataFrame, key: str, place: str | None = None) -> DataFrame:
