@@ -111,11 +111,11 @@ def invalidated(nodes: DataFrame, edges: DataFrame, evidences: DataFrame, docs:
     """
     gone = deleted.select(F.col("id").alias("_d")).distinct()
     hit = nodes.filter("status <> 'stale'").select("id", F.posexplode("source_ids").alias("_p", "_d")).join(gone.withColumn("_gone", F.lit(True)), "_d", "left")
-    left = hit.groupBy("id").agg(F.sort_array(F.collect_list(F.when(F.col("_gone").isNull(), F.struct("_p", "_d")))).alias("_left"), F.count("_gone").alias("_lost")).filter("_lost > 0")
+    left = hit.groupBy("id").agg(F.sort_array(F.collect_list(F.when(F.col("_gone").isNull(), F.struct("_p", "_d")))).alias("_left"), F.count("_gone").alias("_lost"), F.count_if(F.col("_gone").isNull()).alias("_kept")).filter("_lost > 0")
     after = nodes.join(left, "id", "left").select(*[
         F.when(F.size("_left") == 0, "stale").otherwise(F.col("status")).alias(c) if c == "status" else F.coalesce(F.col("_left._d"), "source_ids").alias(c) if c == "source_ids"
         else F.when(F.col("_lost") > 0, now).otherwise(F.col(c)).alias(c) if c == "updated_at" else F.col(c) for c in nodes.columns])
-    dead = left.filter(F.size("_left") == 0).select(F.col("id").alias("_n"))
+    dead = left.filter("_kept = 0").select(F.col("id").alias("_n"))  # by counts, so that edges alone need no lists of sources
     ends = edges.select("id", F.explode(F.array("source_node_id", "target_node_id")).alias("_n")).join(dead, "_n", "left_semi").select("id")
     stale = ends.union(unsupported_edges(edges, evidences, docs, deleted).select("id")).distinct().withColumn("_stale", F.lit(True))
     falls = F.col("_stale") & (F.col("status") != "stale")
@@ -126,10 +126,10 @@ def invalidated(nodes: DataFrame, edges: DataFrame, evidences: DataFrame, docs:
 
 def unsupported_edges(edges: DataFrame, evidences: DataFrame, docs: DataFrame, deleted: DataFrame) -> DataFrame:
     """Edges with evidence of a deleted document and none of an active one."""
-    at = F.col("source_document_id")
-    lost = evidences.join(deleted.select(F.col("id").alias("source_document_id")), "source_document_id", "left_semi").select(F.col("edge_id").alias("id")).distinct()
-    live = evidences.join(docs.filter("status = 'active'").select(F.col("id").alias("_doc")), at == F.col("_doc"), "left_semi").select(F.col("edge_id").alias("id"))
-    return edges.filter("status <> 'stale'").join(lost, "id", "left_semi").join(live, "id", "left_anti")
+    mark = lambda ids, live: ids.select(F.col("id").alias("source_document_id"), F.lit(live).alias("_live"))
+    known = mark(deleted, False).union(mark(docs.filter("status = 'active'"), True)).distinct()
+    lost = evidences.select("source_document_id", F.col("edge_id").alias("id")).join(known, "source_document_id").groupBy("id").agg(F.bool_or("_live").alias("_live")).filter("not _live")
+    return edges.filter("status <> 'stale'").join(lost.select("id"), "id", "left_semi")
 
 
 def summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
