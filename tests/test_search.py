@@ -146,3 +146,19 @@ def test_ambiguous_names_meet_labels_not_nodes(spark, monkeypatch):
         ids = {i for i, x in nodes if 100 * len(of[w] & of[x]) >= 80 * len(of[w] | of[x])}
         want |= {(w, len(ids), min(ids))} if len(ids) > 1 else set()
     assert got == want and seen == [(400, 400)]
+
+
+def test_eligible_pairs_of_a_large_group_are_dealt_to_many_tasks(spark, monkeypatch):
+    """One group of most rows, ids that repeat, nulls; no task makes more than a small part of the pairs."""
+    from veridoc.operators import retrieval
+
+    monkeypatch.setattr(retrieval, "TILE", 20)
+    rows = [(f"d{i % 380}", "s", "b", "deleted" if i % 7 == 0 else "active") for i in range(400)] + [(f"e{i}", "t", None if i == 3 else "b", "active") for i in range(6)]
+    rows += [(None, "s", "b", "active"), ("n", None, "b", "active"), ("x", "s", "b", None), ("alone", "u", "b", "active")]
+    df = spark.createDataFrame(rows, "id string, space_id string, batch_id string, status string")
+    got = retrieval.eligible(df, df, ["batch_id", "space_id"])
+    want = sorted((a[0], b[0]) for a in rows for b in rows if a[0] and b[0] and a[0] != b[0] and a[1] and a[1:3] == b[1:3] and a[2] and b[3] == "active")
+    assert sorted(map(tuple, got.collect())) == want
+    parts = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(parts) > 100 and max(parts) < len(want) / 20
+    assert retrieval.eligible(df.limit(0), df, ["batch_id", "space_id"]).count() == 0
