@@ -162,3 +162,18 @@ def test_eligible_pairs_of_a_large_group_are_dealt_to_many_tasks(spark, monkeypa
     parts = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
     assert len(parts) > 100 and max(parts) < len(want) / 20
     assert retrieval.eligible(df.limit(0), df, ["batch_id", "space_id"]).count() == 0
+
+
+def test_words_are_indexed_and_scored_where_the_documents_are(spark):
+    """A document's postings stay in one row, and no plan shuffles by term: what is sent grows with documents, not with words."""
+    docs = [(f"d{i:03d}", " ".join(f"w{(i * k) % 90}" for k in range(1, 200)) + " rare" * (i == 7)) for i in range(300)]
+    found = search.index(spark.createDataFrame(docs, "id string, text string"))
+    assert found.documents.count() == 300
+    for i, t in docs[:20]:
+        want = {w: t.split().count(w) for w in t.split()}
+        assert {r.term: r.tf for r in found.postings.filter(F.col("id") == i).collect()} == want
+    asked = spark.createDataFrame([("q", "w1", 1), ("q", "w2", 1)], "query_id string, term string, df long")
+    scored = search._scored(asked, found.blocks.select(F.lit("q").alias("query_id"), "block").distinct(), found)
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    sent = [x for x in plan.splitlines() if "Exchange hashpartitioning" in x]
+    assert len([x for x in sent if "query_id" in x and "id#" in x]) >= 1 and not any("hashpartitioning(term" in x for x in sent)
