@@ -177,3 +177,25 @@ def test_words_are_indexed_and_scored_where_the_documents_are(spark):
     plan = scored._jdf.queryExecution().executedPlan().toString()
     sent = [x for x in plan.splitlines() if "Exchange hashpartitioning" in x]
     assert len([x for x in sent if "query_id" in x and "id#" in x]) >= 1 and not any("hashpartitioning(term" in x for x in sent)
+
+
+def test_a_cell_of_copies_is_dealt_to_pieces(spark, monkeypatch):
+    """Most vectors are equal and so in one cell; equal scores go to the smaller ids, and no group holds more than a piece of them."""
+    monkeypatch.setattr(nearest, "PIECE", 64)
+    r = np.random.default_rng(2)
+    x = np.concatenate([np.tile(r.normal(size=(1, 16)), (1500, 1)), r.normal(size=(500, 16))])
+    df = spark.createDataFrame([(i, "m", v.tolist()) for i, v in enumerate(x)], "id long, model string, v array<double>").repartition(7)
+    seen, before = spark.sparkContext.accumulator(0), nearest._best_of
+
+    def counted(q, v, k):
+        seen.add(int(v.num_rows > 128))
+        return before(q, v, k)
+
+    monkeypatch.setattr(nearest, "_best_of", counted)
+    got = {}
+    for a in nearest.by_cells(df, df.filter("id % 100 = 0").select("id")).collect():
+        got.setdefault(a.query_id, []).append((a["rank"], a.id))
+    assert seen.value == 0
+    assert all([i for _, i in sorted(got[q])] == [i for i in range(9) if i != q][:8] for q in range(0, 1500, 100))
+    want = brute(list(range(2000)), x, range(1500, 2000, 100), 8)
+    assert np.mean([len({i for _, i in got[q]} & set(w)) / 8 for q, w in want.items()]) >= 0.9

@@ -12,17 +12,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veridoc.functions import text
 from veridoc.operators import retrieval
 from veridoc.sources import scratch
 
 #: Vectors that the centres are chosen and measured on, queries of the measurement, bytes of centres that are sent to all tasks.
 SAMPLE, ASKED, CENTRES = 16_384, 200, 32 << 20
 RECALL, ROUNDS = 0.97, 8
-_CELL = "id long, model string, d int, cell int, place int, v array<double>"
+#: Vectors of a piece, which a task scores with as many queries at a time, and tasks that pieces are dealt to at most.
+PIECE, MOST_TASKS = 4096, 20_000
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -84,19 +84,66 @@ def by_cells(vectors: DataFrame, queries: DataFrame, k: int = retrieval.CHANNEL,
             frame = b.to_pandas()
             for key, own in frame.groupby(["model", "d"]):
                 c, look = sent.value.get(key, (None, 1))
-                if c is None:
-                    near = np.zeros((len(own), 1), int)
-                else:
-                    near = np.argsort(-(_unit(np.stack(own["v"].to_numpy())) @ c.T), 1, kind="stable")[:, : look if many else 1]
-                out += [(i, key[0], key[1], int(cell), n, x) for i, x, cells in zip(own["id"].tolist(), own["v"], near, strict=True) for n, cell in enumerate(cells)]
+                near = np.zeros((len(own), 1), int) if c is None else _near(_unit(np.stack(own["v"].to_numpy())) @ c.T, look if many else 1)
+                out += [(i, key[0], key[1], cells, x) for i, x, cells in zip(own["id"].tolist(), own["v"], near.tolist(), strict=True)]
             if out:
-                kinds = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.float64()))
-                yield pa.RecordBatch.from_arrays([pa.array(col, t) for col, t in zip(zip(*out, strict=True), kinds, strict=True)], names=[f.split()[0] for f in _CELL.split(", ")])
-
-    rows = rows.select("id", "model", "d", "v")
-    held = rows.mapInArrow(lambda b: placed(b, False), _CELL).drop("place")
-    asked = rows.join(queries.select(F.col("id").cast("long").alias("id")).distinct(), "id", "left_semi").mapInArrow(lambda b: placed(b, True), _CELL).select(F.col("id").alias("query_id"), "model", "d", "cell", F.col("v").alias("w"))
-    pairs = held.join(asked, ["model", "d", "cell"]).filter("query_id <> id")
-    found = scratch.keep(retrieval.best(pairs.select("query_id", "id", text.cosine(F.col("w"), F.col("v")).alias("score")), k), "nearest")
+                kinds = (pa.int64(), pa.string(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([pa.array(col, t) for col, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["id", "model", "d", "cells", "v"])
+
+    rows, kind = rows.select("id", "model", "d", "v"), "id long, model string, d int, cells array<int>, v array<double>"
+    held = scratch.keep(rows.mapInArrow(lambda b: placed(b, False), kind), "placed").withColumn("cell", F.get("cells", F.lit(0))).drop("cells")
+    asked = scratch.keep(rows.join(queries.select(F.col("id").cast("long").alias("id")).distinct(), "id", "left_semi").mapInArrow(lambda b: placed(b, True), kind), "asked")
+
+    # vectors of neighbouring cells form pieces of about PIECE; a large cell is several of them
+    running = F.sum("n").over(Window.partitionBy("model", "d").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = held.groupBy("model", "d", "cell").agg(F.count("*").alias("n")).withColumn("start", F.coalesce(running, F.lit(0)))
+    cells = scratch.keep(sizes, "cells")
+    piece = F.floor((F.col("start") + F.pmod(F.xxhash64("id"), F.col("n"))) / PIECE).alias("piece")
+    packs = max(1, -(-asked.count() // PIECE))
+    every = F.explode(F.sequence(F.lit(0), F.lit(packs - 1))).alias("pack")
+    mine = held.join(cells, ["model", "d", "cell"]).select("model", "d", piece, every, "id", "cell", "v")
+    touched = asked.select("id", "model", "d", F.explode("cells").alias("cell")).join(cells, ["model", "d", "cell"])
+    spread = F.sequence(F.floor(F.col("start") / PIECE), F.floor((F.col("start") + F.col("n") - 1) / PIECE))
+    touched = touched.select("id", "model", "d", F.explode(spread).alias("piece"), "cell").groupBy("id", "model", "d", "piece").agg(F.collect_list("cell").alias("cells"))
+    theirs = touched.join(asked.drop("cells"), ["id", "model", "d"]).select("model", "d", "piece", F.pmod(F.xxhash64("id"), F.lit(packs)).cast("int").alias("pack"), "id", "cells", "v")
+    key = ["model", "d", "piece", "pack"]
+    tasks = min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), packs * -(-total // PIECE)), MOST_TASKS)  # by number: few bytes are much work
+    met = theirs.repartition(tasks, *key).groupBy(*key).cogroup(mine.repartition(tasks, *key).groupBy(*key))
+    scored = met.applyInArrow(lambda q, x: _best_of(q, x, k), "query_id long, id long, score double")
+    found = scratch.keep(retrieval.best(scored, k), "nearest")
     sent.destroy()
     return found
+
+
+def _near(scores: np.ndarray, look: int) -> np.ndarray:
+    """The ``look`` cells with the highest score of each row, in no order."""
+    if look >= scores.shape[1]:
+        return np.broadcast_to(np.arange(scores.shape[1]), scores.shape)
+    return scores.argmax(1)[:, None] if look == 1 else np.argpartition(-scores, look - 1, 1)[:, :look]
+
+
+def _matrix(column: pa.ChunkedArray, rows: int) -> np.ndarray:
+    return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(rows, -1)
+
+
+def _best_of(asked: pa.Table, held: pa.Table, k: int) -> pa.Table:
+    """The ``k`` best of a piece's vectors (id, cell, v) for each query (id, cells, v), among those in the query's cells.
+
+    Products choose whose scores can be among the best; these are then added up row by row, so equal vectors have equal scores wherever they stand."""
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    if asked.num_rows and held.num_rows:
+        x, ids = _unit(_matrix(held["v"], held.num_rows)), held["id"].to_numpy()
+        names, place = np.unique(held["cell"].to_numpy(), return_inverse=True)
+        w, queries, cells = _unit(_matrix(asked["v"], asked.num_rows)), asked["id"].to_numpy(), asked["cells"].to_pylist()
+        for a in range(0, len(w), 256):
+            s = w[a : a + 256] @ x.T
+            for n, row in enumerate(s):
+                looked = np.isin(names, cells[a + n])
+                fit = ids != queries[a + n] if looked.all() else looked[place] & (ids != queries[a + n])
+                row[~fit] = -np.inf
+                some = np.flatnonzero(fit) if fit.sum() <= k else np.flatnonzero(fit & (row >= np.partition(row, -k)[-k] - 1e-9))
+                exact = (x[some] * w[a + n]).sum(1)
+                best = some[(order := np.lexsort((ids[some], -exact))[:k])]
+                out.append((np.full(len(best), queries[a + n]), ids[best], exact[order]))
+    columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+    return pa.table(dict(zip(["query_id", "id", "score"], map(pa.array, columns), strict=True)))
