@@ -77,3 +77,12 @@ def test_what_is_kept_is_bounded_in_bytes():
 def test_slices_by_bytes():
     batch = pa.RecordBatch.from_arrays([pa.array(["x" * n for n in (0, 5, 5, 30, 1, 1)])], ["t"])
     assert [s.num_rows for s in tokens.light(batch, 0, 10)] == [3, 1, 2]
+
+
+def test_small_batches_are_encoded_together():
+    batch = lambda rows: pa.RecordBatch.from_pydict({"doc_id": [r[0] for r in rows], "text": [r[1] for r in rows]})
+    rows = [(i, "x" * (i * 37 % 200)) for i in range(300)] + [(300, "y" * 5000), (301, ""), (302, "z")]
+    got = list(tokens.together(iter([batch(rows[a : a + 3]) for a in range(0, 303, 3)] + [batch([]).cast(batch(rows[:1]).schema)]), 4000))
+    assert [tuple(r.values()) for b in got for r in b.to_pylist()] == rows
+    assert len(got) < 20 and all(b.nbytes <= 4000 or b.num_rows <= 3 for b in got)
+    assert list(tokens.together(iter([]))) == []

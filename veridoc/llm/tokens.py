@@ -33,6 +33,8 @@ END_ID = 0
 #: White space beside a space, or a space at an end: there not every space is a place to cut. White space as in Unicode.
 _WHITE = "\\t-\\r\\x1c-\\x20\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
 LOOSE = f"^ | [{_WHITE}]|[{_WHITE}] | $"
+#: Bytes of text that are encoded at once.
+AT_ONCE = 4 << 20
 #: Longer pieces are not kept: each kept one is then a few hundred bytes at most.
 LONGEST = 64
 
@@ -109,7 +111,7 @@ class Encoder:
             lists = pa.concat_arrays([lists, other]).take(pa.array(order))
         offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
         numbered = pc.dictionary_encode(lists.flatten())
-        code, names = numbered.indices.to_numpy(), numbered.dictionary.to_pylist()
+        code, names = numbered.indices.to_numpy(), numbered.dictionary.to_numpy(zero_copy_only=False).tolist()
         # a text's first piece has no space before it, and may be another piece's name
         first = np.zeros(len(code), bool)
         first[offsets[:-1]] = True
@@ -119,8 +121,9 @@ class Encoder:
         pieces = [" " + p for p in names] + [names[c] for c in heads.tolist()]
         used = np.zeros(len(pieces), bool)
         used[row] = True
-        get, missing = self.known.get, []
-        ids = [get(p) if u else b"" for p, u in zip(pieces, used.tolist(), strict=True)]
+        ids = list(map(self.known.get, pieces))
+        for n in np.flatnonzero(~used).tolist():
+            ids[n] = b""
         missing = [n for n, i in enumerate(ids) if i is None]
         if missing:
             found = self._learned(list({pieces[n] for n in missing}))
@@ -268,11 +271,11 @@ def write(docs: DataFrame, path: str, tokenizer: str, kind: str = "byte", block:
         fs.create_dir(root, recursive=True)
         name, made = f"{root}/part-{part:06d}.vdt", f"{root}/.part-{part:06d}-{uuid.uuid4().hex}"
         writer, encoder = None, None
-        for b in batches:
+        for b in together(batches):
             if b.num_rows and writer is None:
                 out = fs.open_output_stream(made)
                 writer, encoder = Writer(out, kind, block), encoder_for(tokenizer)
-            for some in light(b, 1):
+            for some in light(b, 1, AT_ONCE):
                 for doc_id, ids in zip(some.column(0).to_pylist(), encoder.encode(some.column(1)), strict=True):
                     writer.add(doc_id, ids + struct.pack("<I", END_ID))
         if writer is not None:
@@ -287,6 +290,18 @@ def write(docs: DataFrame, path: str, tokenizer: str, kind: str = "byte", block:
     return scratch.keep(files.mapInArrow(run, "file string, part long, bytes long, docs long, ids long"), "tokens-manifest")
 
 
+def together(batches: Iterator[pa.RecordBatch], most: int = AT_ONCE) -> Iterator[pa.RecordBatch]:
+    """The same rows in fewer batches: small ones are joined until they have about ``most`` bytes, so a piece is looked up less often."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if held and (b.nbytes > most or sum(x.nbytes for x in held) + b.nbytes > most):
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held = []
+        held.append(b)
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def light(batch: pa.RecordBatch, column: int, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch whose strings in ``column`` have about ``most`` bytes, or that are one row."""
     ends = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False).astype(np.int64))
