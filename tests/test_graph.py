@@ -109,3 +109,12 @@ def test_rows_are_not_dealt_by_their_space(spark):
         assert found.count() == 80 and "BroadcastHashJoin" in found._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_neighbours_make_edges_once(spark):
+    rows = [("e1", "a", "b"), ("e1", "a", "b"), ("loop", "c", "c"), ("half", "a", None), ("none", None, None)]
+    edges = spark.createDataFrame(rows, "id string, source_node_id string, target_node_id string").groupBy("id").agg(F.max("source_node_id").alias("source_node_id"), F.max("target_node_id").alias("target_node_id"))
+    found = graph.neighbours(edges, spark.createDataFrame([("a", "A"), ("c", None)], "id string, label string"))
+    assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, [("a", "e1", "b", "b"), ("b", "e1", "a", "A"), ("c", "loop", "c", "c"), ("a", "half", None, None), (None, "none", None, None)]))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [id") == 1

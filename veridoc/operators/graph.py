@@ -161,9 +161,11 @@ def visible_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def neighbours(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, edge, other end) in both directions, with the other end's label or id."""
-    a = edges.select(F.col("source_node_id").alias("node_id"), F.col("id").alias("edge_id"), F.col("target_node_id").alias("other_id"))
-    b = edges.filter("source_node_id <> target_node_id").select(F.col("target_node_id").alias("node_id"), F.col("id").alias("edge_id"), F.col("source_node_id").alias("other_id"))
-    return a.union(b).join(nodes.select(F.col("id").alias("other_id"), "label"), "other_id", "left").select("node_id", "edge_id", "other_id", F.coalesce("label", "other_id").alias("other_label"))
+    way = lambda a, b: F.struct(F.col(a).alias("node_id"), F.col("id").alias("edge_id"), F.col(b).alias("other_id"))
+    there, back = way("source_node_id", "target_node_id"), way("target_node_id", "source_node_id")
+    ways = F.when(F.col("source_node_id") != F.col("target_node_id"), F.array(there, back)).otherwise(F.array(there))
+    both = edges.select(F.inline(ways))  # edges are made once, not once for each direction
+    return both.join(nodes.select(F.col("id").alias("other_id"), "label"), "other_id", "left").select("node_id", "edge_id", "other_id", F.coalesce("label", "other_id").alias("other_label"))
 
 
 def incident(edges: DataFrame) -> DataFrame:
