@@ -86,3 +86,14 @@ def test_small_batches_are_encoded_together():
     assert [tuple(r.values()) for b in got for r in b.to_pylist()] == rows
     assert len(got) < 20 and all(b.nbytes <= 4000 or b.num_rows <= 3 for b in got)
     assert list(tokens.together(iter([]))) == []
+
+
+def test_texts_are_cut_between_words_and_signs():
+    whole, encoder = Tokenizer.from_file(PATH), tokens.Encoder(PATH, 1 << 18)
+    encoder.encode(pa.array(["A word. A word, (word)\nWord; the word"]))
+    assert set(encoder.known) == {"A", " word", ".", " A", ",", " (", "word", ")", "\n", "Word", ";", " the"}
+    rng = np.random.default_rng(11)
+    letters = [*"aZsdtmrvl'\".,5 \n\r\x0b\x1c\x85\xa0é’“\u2003\u2028\u3000\u1680。漢😀«²ªº\u0301\u200b\x00\x7f_-", "<|endoftext|>", "<|", "endoftext", "|>", "'ll", "\r\n", "  "]
+    for _ in range(20):
+        texts = ["".join(rng.choice(letters, rng.integers(0, 60))) for _ in range(200)]
+        assert [np.frombuffer(g, "<u4").tolist() for g in encoder.encode(pa.array(texts))] == [whole.encode(t, add_special_tokens=False).ids for t in texts]

@@ -9,7 +9,7 @@ row for each document (doc_id, number of ids); the last bytes tell where the foo
 from __future__ import annotations
 
 import io
-import itertools
+import os
 import struct
 import uuid
 import zlib
@@ -24,6 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from veridoc.llm.packed import bytes_of
 from veridoc.sources import scratch
 from veridoc.sources.tables import table
 
@@ -39,18 +40,33 @@ AT_ONCE = 4 << 20
 LONGEST = 64
 
 
+#: Kinds of bytes: unknown, of another letter or sign that is no white space, A-Z and a-z, digits, other signs, the apostrophe, the space, other white space.
+UNKNOWN, OTHER, LETTER, DIGIT, SIGN, QUOTE, SPACE, WHITE = range(8)
+KIND = np.full(256, UNKNOWN, np.uint8)
+KIND[0x21:0x7F], KIND[0x80:] = SIGN, OTHER
+KIND[[*range(0x41, 0x5B), *range(0x61, 0x7B)]], KIND[0x30:0x3A], KIND[0x27], KIND[0x20], KIND[9:14] = LETTER, DIGIT, QUOTE, SPACE, WHITE
+#: True for 8 * kind + kind of the next byte where a match of the byte-level pattern always ends, whatever stands around.
+ENDS = np.zeros((8, 8), bool)
+ENDS[OTHER:SPACE, SPACE:] = True
+for _a, _b in ((LETTER, (DIGIT, SIGN, QUOTE)), (DIGIT, (LETTER, SIGN, QUOTE)), (SIGN, (LETTER, DIGIT)), (QUOTE, (DIGIT,))):
+    ENDS[_a, list(_b)] = True
+ENDS = ENDS.reshape(-1)
+#: Letters with these first two bytes may be white space (U+0085 and U+00A0, U+1680, U+2000 to U+205F, U+3000).
+MAYBE_WHITE = {0xE1: (0x9A,), 0xE2: (0x80, 0x81), 0xE3: (0x80,)}
+
+
 class Encoder:
     """Ids of texts by a ``tokenizers`` file, as little-endian uint32 bytes.
 
-    A text may be cut before a single space between two non-spaces without a change to its ids, for this kind of
-    byte-level pattern ends a token there. So the library encodes each distinct piece once: Arrow cuts the texts of a
-    batch and numbers their pieces, only the different ones are looked up in a dictionary, and their ids are put together
-    by numpy. Around other white space pieces are not cut. What is kept is bounded in bytes; when it is full, all but the
-    pieces met first, which are the frequent ones, are forgotten. Pieces of over LONGEST characters, such as texts without
-    spaces, are encoded where they stand and never kept.
+    Where a match of the byte-level pattern always ends, a text may be cut without a change to its ids: before white space,
+    after a single line end, and between ASCII letters, digits and other signs. So the library encodes each distinct piece
+    once: numpy cuts the texts of a batch, Arrow numbers their pieces and looks them up among those that are kept, and their
+    ids are put together by numpy. Where the kind of a letter is not known, and within added tokens, nothing is cut; with
+    another pattern each text is one piece. What is kept is bounded in bytes; when it is full, all but the pieces met first,
+    which are the frequent ones, are forgotten. Pieces of over LONGEST bytes, such as texts without spaces, are never kept.
     """
 
-    def __init__(self, path: str, capacity: int = 128 << 20):
+    def __init__(self, path: str, capacity: int = 64 << 20):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.capacity = Tokenizer.from_file(path), capacity
@@ -58,33 +74,72 @@ class Encoder:
             self.tokenizer.model._resize_cache(0)
         self.mark = "<|endoftext|>"
         self.mark_id = self.tokenizer.token_to_id(self.mark)
-        self.known: dict[str, bytes] = {}  # a piece as it stands in a text, with the space before it
-        self.held = 0
-
-    def _learned(self, pieces: list[str]) -> dict[str, bytes]:
-        """Ids of pieces. Those with the same first character go many at a time, with a special token between them: the
-        library encodes what stands between special tokens by itself, and the token's id tells them apart again."""
-        odd = [p for p in pieces if self.mark in p or not p]
-        found = {p: np.array(self.tokenizer.encode(p, add_special_tokens=False).ids, "<u4").tobytes() for p in odd}
-        order = [p for p in pieces if p and self.mark not in p]
-        some = [order[a : a + 500] for a in range(0, len(order), 500)]
-        for names, e in zip(some, self.tokenizer.encode_batch_fast([self.mark.join(x) for x in some], add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, "<u4")
-            data, at = ids.tobytes(), 0
-            for name, end in zip(names, [*np.flatnonzero(ids == self.mark_id).tolist(), len(ids)], strict=True):
-                found[name] = data[4 * at : 4 * end]
-                at = end + 1
-        return found
-
-    def _keep(self, found: dict[str, bytes]) -> None:
-        cost = lambda p, i: 200 + 4 * len(p) + len(i)
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.added = [t.content for t in added]
+        pattern = str(self.tokenizer.pre_tokenizer)
+        self.cuts = (
+            pattern.startswith("ByteLevel(add_prefix_space=False") and "use_regex=True" in pattern and self.tokenizer.normalizer is None
+            and self.mark in self.added and not any(t.lstrip or t.rstrip or t.single_word for t in added))
+        vocab = self.tokenizer.get_vocab()
+        self.bytes_of_id = np.zeros(max(vocab.values()) + 1, np.int64)
+        self.bytes_of_id[list(vocab.values())] = list(map(len, vocab))  # a byte-level token has a character for each byte
+        self._forget(0)
+
+    def _forget(self, most: int) -> None:
+        """Keeps the ``most`` pieces that were met first."""
+        if most:
+            self.names, self.flat, self.ends = pa.concat_arrays([self.names.slice(0, most)]), self.flat[: self.ends[most - 1]].copy(), self.ends[:most].copy()
+        else:
+            self.names, self.flat, self.ends = pa.array([], pa.large_string()), np.zeros(0, "<u4"), np.zeros(0, np.int64)
+        self.held = int(self._cost(self.names, np.diff(self.ends, prepend=0)).sum())
+
+    @property
+    def known(self) -> dict[str, bytes]:
+        """The pieces that are kept, and their ids."""
+        return {p: self.flat[a:b].tobytes() for p, a, b in zip(self.names.to_pylist(), [0, *self.ends.tolist()], self.ends.tolist(), strict=False)}
+
+    @staticmethod
+    def _cost(pieces: pa.Array, sizes: np.ndarray) -> np.ndarray:
+        """Bytes that pieces and what is made of them for a lookup take, counted amply."""
+        return 200 + 4 * pc.binary_length(pieces).to_numpy(zero_copy_only=False).astype(np.int64) + 4 * sizes
+
+    def _learned(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces, one after the other, and how many each has. Many go at a time: one follows the other where that changes
+        no ids, and elsewhere a special token stands between them, for the library encodes what stands between special tokens
+        by itself. The bytes behind the ids tell the pieces apart again."""
+        alone = np.full(len(pieces), not self.cuts)
+        for t in self.added:
+            alone |= pc.match_substring(pieces, t).to_numpy(zero_copy_only=False)
+        data, bounds = bytes_of(pieces.filter(pa.array(~alone)))
+        apart = np.flatnonzero(~self.ends_in(data)[bounds[1:-1]]) + 1
+        whole, breaks = data.tobytes(), [0, *bounds[apart].tolist(), len(data)]
+        parts = [whole[a:b] for a, b in zip(breaks, breaks[1:], strict=False)]
+        joined = [self.mark.encode().join(parts[a : a + 50]).decode() for a in range(0, len(parts), 50)]
+        ids = self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)
+        flat = np.concatenate([np.zeros(0, "<u4"), *(np.array(e.ids, "<u4") for e in ids)])
+        flat = flat[flat != self.mark_id]
+        behind = np.cumsum(self.bytes_of_id[flat])
+        last = np.searchsorted(behind, bounds[1:])
+        if not np.array_equal(behind[last], bounds[1:]):
+            raise ValueError("a piece does not end where a token does")
+        sizes = np.diff(last, prepend=-1)
+        if not alone.any():
+            return flat, sizes
+        single = [np.array(self.tokenizer.encode(p, add_special_tokens=False).ids, "<u4") for p in pieces.filter(pa.array(alone)).to_pylist()]
+        order = np.argsort(np.concatenate([np.flatnonzero(~alone), np.flatnonzero(alone)]), kind="stable")
+        every = np.concatenate([sizes, np.array(list(map(len, single)), np.int64)])
+        return _gathered(np.concatenate([flat, *single]), np.cumsum(every)[order], every[order]), every[order]
+
+    def _keep(self, pieces: pa.Array, flat: np.ndarray, sizes: np.ndarray) -> None:
         if self.held > 0.9 * self.capacity:
-            self.known = dict(itertools.islice(self.known.items(), len(self.known) // 3))
-            self.held = sum(itertools.starmap(cost, self.known.items()))
-        for piece, ids in found.items():
-            if len(piece) <= LONGEST and self.held + cost(piece, ids) <= self.capacity:
-                self.known[piece] = ids
-                self.held += cost(piece, ids)
+            self._forget(len(self.names) // 3)
+        cost = np.where(pc.binary_length(pieces).to_numpy(zero_copy_only=False) <= LONGEST, self._cost(pieces, sizes), 0)
+        kept = (cost > 0) & (self.held + np.cumsum(cost) <= self.capacity)
+        some = sizes[kept]
+        self.flat = np.concatenate([self.flat, _gathered(flat, np.cumsum(sizes)[kept], some)])
+        self.ends = np.concatenate([self.ends, (self.ends[-1] if len(self.ends) else 0) + np.cumsum(some)])
+        self.names = pa.concat_arrays([self.names, pieces.filter(pa.array(kept))])
+        self.held += int(cost[kept].sum())
 
     @staticmethod
     def cut(text: str) -> list[str]:
@@ -98,46 +153,59 @@ class Encoder:
                 out[-1] += " " + p
         return out
 
+    def ends_in(self, data: np.ndarray) -> np.ndarray:
+        """True at each byte before which a match surely ends."""
+        begin = np.zeros(len(data) + 1, bool)
+        if self.cuts:
+            kind = KIND[data]
+            for lead, seconds in MAYBE_WHITE.items():
+                at = np.flatnonzero(data[:-2] == lead)
+                at = at[np.isin(data[at + 1], seconds)]
+                kind[np.add.outer(np.arange(3), at)] = UNKNOWN
+            at = np.flatnonzero(data[:-1] == 0xC2)
+            kind[np.add.outer(np.arange(2), at)] = UNKNOWN
+            begin[1:-1] = ENDS[8 * kind[:-1] + kind[1:]]
+            at = np.flatnonzero(kind[1:-1] == WHITE) + 1  # a line end by itself
+            solid = (kind >= OTHER) & (kind <= QUOTE)
+            begin[at + 1] = solid[at - 1] & solid[at + 1]
+            whole = data.tobytes()
+            for t in map(str.encode, self.added):
+                at = whole.find(t)
+                while at >= 0:
+                    begin[at + 1 : at + len(t)] = False
+                    at = whole.find(t, at + 1)
+        return begin
+
     def encode(self, texts: pa.Array) -> list[bytes]:
         """Ids of each text of an Arrow array of strings without nulls."""
-        if not len(texts):
-            return []
-        lists = pc.split_pattern(texts, " ")
-        loose = np.flatnonzero(pc.match_substring_regex(texts, LOOSE).to_numpy(zero_copy_only=False))
-        if len(loose):
-            other = pa.array([self.cut(t) for t in texts.take(pa.array(loose)).to_pylist()], lists.type)
-            order = np.arange(len(texts))
-            order[loose] = len(texts) + np.arange(len(loose))
-            lists = pa.concat_arrays([lists, other]).take(pa.array(order))
-        offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-        numbered = pc.dictionary_encode(lists.flatten())
-        code, names = numbered.indices.to_numpy(), numbered.dictionary.to_numpy(zero_copy_only=False).tolist()
-        # a text's first piece has no space before it, and may be another piece's name
-        first = np.zeros(len(code), bool)
-        first[offsets[:-1]] = True
-        heads, place = np.unique(code[first], return_inverse=True)
-        row = code.astype(np.int64)
-        row[first] = len(names) + place
-        pieces = [" " + p for p in names] + [names[c] for c in heads.tolist()]
-        used = np.zeros(len(pieces), bool)
-        used[row] = True
-        ids = list(map(self.known.get, pieces))
-        for n in np.flatnonzero(~used).tolist():
-            ids[n] = b""
-        missing = [n for n, i in enumerate(ids) if i is None]
-        if missing:
-            found = self._learned(list({pieces[n] for n in missing}))
-            for n in missing:
-                ids[n] = found[pieces[n]]
-            self._keep(found)
-        flat = np.frombuffer(b"".join(ids), "<u4")
-        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        start = np.cumsum(size) - size
-        count = size[row]
-        ends = np.cumsum(count)
-        out = flat[np.repeat(start[row] - ends + count, count) + np.arange(ends[-1])]
-        last = ends[offsets[1:] - 1]
-        return [out[a:b].tobytes() for a, b in zip([0, *last[:-1].tolist()], last.tolist(), strict=True)]
+        data, bounds = bytes_of(texts)
+        if not len(data):
+            return [b""] * len(texts)
+        begin = self.ends_in(data)
+        begin[bounds] = True
+        at = np.flatnonzero(begin)
+        pieces = pa.Array.from_buffers(pa.large_string(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
+        numbered = pieces.dictionary_encode()
+        names, place = numbered.dictionary, pc.index_in(numbered.dictionary, value_set=self.names).fill_null(-1).to_numpy()
+        ends, flat = self.ends, self.flat
+        new = place < 0
+        if new.any():
+            missing = names.filter(pa.array(new))
+            found, sizes = self._learned(missing)
+            place = place.copy()
+            place[new] = len(ends) + np.arange(len(missing))
+            ends, flat = np.concatenate([ends, len(flat) + np.cumsum(sizes)]), np.concatenate([flat, found])
+            self._keep(missing, found, sizes)
+        row = place[numbered.indices.to_numpy()]
+        count = np.diff(ends, prepend=0)[row]
+        out, last = _gathered(flat, ends[row], count), np.append(0, np.cumsum(count))[np.searchsorted(at, bounds)].tolist()
+        return [out[a:b].tobytes() for a, b in zip(last, last[1:], strict=False)]
+
+
+def _gathered(flat: np.ndarray, ends: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Runs of ``flat`` by where they end and how long they are, one after the other."""
+    total = np.cumsum(sizes)
+    return flat[np.repeat(ends - total, sizes) + np.arange(total[-1] if len(total) else 0)]
 
 
 def to_planes(ids: np.ndarray, kind: str) -> list[bytes]:
@@ -316,8 +384,9 @@ _encoders: dict[str, Encoder] = {}
 
 
 def encoder_for(path: str) -> Encoder:
-    """This worker's encoder, kept from task to task."""
+    """This worker's encoder, kept from task to task. A task has one core, so the library makes no threads of its own."""
     if path not in _encoders:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         _encoders[path] = Encoder(path)
     return _encoders[path]
 
