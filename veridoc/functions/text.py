@@ -16,7 +16,7 @@ def strip(c: Column) -> Column:
 
 
 def is_blank(c: Column) -> Column:
-    return c.isNull() | (strip(c) == "")
+    return c.isNull() | ~c.rlike(f"[^{EDGE}]")
 
 
 def or_default(c: Column, default: Column) -> Column:
@@ -29,7 +29,9 @@ def collapsed(c: Column) -> Column:
 
 
 def excerpt(c: Column, size: int = 160) -> Column:
-    return F.substring(collapsed(c), 1, size)
+    """The first letters of the collapsed text. They come from its beginning alone if more than white space follows them there."""
+    start = F.regexp_replace(F.regexp_replace(F.substring(c, 1, 4 * size), INNER, " "), f"^[{EDGE}]+", "")
+    return F.when(F.substring(start, size + 1, 4 * size).rlike(f"[^{EDGE}]"), F.substring(start, 1, size)).otherwise(F.substring(collapsed(c), 1, size))
 
 
 def normalized_name(c: Column) -> Column:

@@ -23,10 +23,16 @@ def pages_text(pages: Column) -> Column:
     return F.array_join(marked, "\n\n")
 
 
+def clean_text(content: Column) -> Column:
+    """The text of a file's bytes, without a byte order mark."""
+    body = content.cast("string")
+    return F.when(body.startswith("\ufeff"), F.substring(body, 2, (1 << 31) - 1)).otherwise(body)
+
+
 def decoded(files: DataFrame) -> DataFrame:
     """Adds name, kind, content_text, content_hash, excerpt, file_size and error to rows of original_name, content."""
     body = F.col("content").cast("string")
-    clean = F.regexp_replace(body, "^\\x{FEFF}", "")
+    clean = clean_text(F.col("content"))
     named = files.withColumn("name", text.file_name(F.col("original_name"))).withColumn("kind", text.document_kind(F.col("name")))
     size = F.octet_length("content")
     error = (

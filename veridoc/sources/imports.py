@@ -23,20 +23,27 @@ FILE = ["file_ord", "batch_id", "space_id", "name", "kind", "content_hash", "fil
 def run_batch(rows: DataFrame, root: str, number: int) -> None:
     """Takes in files (file_ord, original_name, content, space_id, batch_id) as batch ``number``: those that are new or were
     deleted become documents, the others are duplicates or failures. PDF files count as failures here, since nothing reads
-    their pages; their text comes as pages (:func:`veridoc.operators.ingest.pages_text`)."""
+    their pages; their text comes as pages (:func:`veridoc.operators.ingest.pages_text`).
+
+    What becomes of a file is decided without its bytes; only those of new documents are shuffled, once."""
     spark = rows.sparkSession
-    before = versions.latest(spark, f"{root}/documents", "id", upto=number - 1, empty=DOCUMENT)
+    before = versions.latest(spark, f"{root}/documents", "id", upto=number - 1, empty=DOCUMENT, columns=["space_id", "content_hash", "status"])
     ready = ingest.decoded(rows).withColumn("error", F.coalesce("error", F.when(F.col("kind") == "pdf", "pages are not read")))
-    got = ingest.classified(ready, before.select("space_id", "content_hash", "status")).persist()  # looked at once for each table
+    decided = ready.select(*[c for c in FILE if c != "outcome"]).persist()
+    got = ingest.classified(decided, before).persist()  # looked at once for each table
+    new = got.filter(F.col("outcome").isin("imported", "restored")).join(rows.select("file_ord", "content"), "file_ord").persist()
     try:
-        new = got.filter(F.col("outcome").isin("imported", "restored")).withColumn("id", text.uuid3("document", F.col("space_id"), F.col("content_hash"))).withColumn("status", F.lit("active"))
-        versions.write(new.select(*[c.split()[0] for c in DOCUMENT.split(", ")]), f"{root}/documents", number, "id")
-        raw = new.withColumn("file", files.raw_path(F.col("space_id"), F.col("name"), F.col("content_hash")))
+        clean = ingest.clean_text(F.col("content"))
+        docs = new.withColumns({"id": text.uuid3("document", F.col("space_id"), F.col("content_hash")), "status": F.lit("active"), "content_text": clean, "excerpt": text.excerpt(clean)})
+        versions.write(docs.select(*[c.split()[0] for c in DOCUMENT.split(", ")]), f"{root}/documents", number, "id")
+        raw = docs.withColumn("file", files.raw_path(F.col("space_id"), F.col("name"), F.col("content_hash")))
         raw.select("id", "file", "content").write.mode("overwrite").parquet(f"{root}/raw/rows-{number:012d}")
+        new.unpersist()
         versions.write(got.select(*FILE), f"{root}/files", number, "file_ord", every=0)
         versions.write(ingest.batch_statistics(got), f"{root}/batches", number, "batch_id", every=0)
     finally:
-        got.unpersist()
+        for kept in (new, got, decided):
+            kept.unpersist()
 
 
 def delete(spark: SparkSession, root: str, ids: DataFrame, number: int) -> None:

@@ -49,9 +49,9 @@ def write(rows: DataFrame, table: str, batch: int, key: str, every: int = EVERY)
                         _remove(spark, f"{table}/{kind}-{n:012d}")
 
 
-def latest(spark: SparkSession, table: str, key: str, keep_batch: bool = False, upto: int | None = None, empty: str | None = None) -> DataFrame:
+def latest(spark: SparkSession, table: str, key: str, keep_batch: bool = False, upto: int | None = None, empty: str | None = None, columns: list[str] | None = None) -> DataFrame:
     """The newest row of each key over all complete micro-batches, or over those up to a number. A table without any is an error,
-    or has no rows of the schema ``empty``."""
+    or has no rows of the schema ``empty``. With ``columns`` only the key and these are read."""
     found = _folders(spark, table)
     whole = [n for n in found["whole"] if upto is None or n <= upto][-1:]
     paths = [f"{table}/whole-{n:012d}" for n in whole]
@@ -59,8 +59,11 @@ def latest(spark: SparkSession, table: str, key: str, keep_batch: bool = False,
     if not paths:
         if empty is None:
             raise FileNotFoundError(f"no complete batch in {table}")
-        return spark.createDataFrame([], empty)
+        none = spark.createDataFrame([], empty)
+        return none.select(key, *columns) if columns else none
     rows = spark.read.parquet(*paths)
+    if columns:
+        rows = rows.select(key, *columns, "_batch")
     others = [c for c in rows.columns if c != key]
     best = rows.groupBy(key).agg(F.max_by(F.struct(*others), "_batch").alias("_r")).select(key, "_r.*")
     return best if keep_batch else best.drop("_batch")
