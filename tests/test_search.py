@@ -199,3 +199,13 @@ def test_a_cell_of_copies_is_dealt_to_pieces(spark, monkeypatch):
     assert all([i for _, i in sorted(got[q])] == [i for i in range(9) if i != q][:8] for q in range(0, 1500, 100))
     want = brute(list(range(2000)), x, range(1500, 2000, 100), 8)
     assert np.mean([len({i for _, i in got[q]} & set(w)) / 8 for q, w in want.items()]) >= 0.9
+
+
+def test_eligible_pairs_take_few_bytes(spark, tmp_path):
+    """The result is a square by nature; ids follow each other in one order, so that a file has less than half a byte for a pair."""
+    from veridoc.operators import retrieval
+
+    df = spark.range(3000).selectExpr("concat('document ', id * 7919) AS id", "concat('s', id % 3) AS space_id", "'b' AS batch_id", "'active' AS status")
+    retrieval.eligible(df, df, ["batch_id", "space_id"]).write.parquet(str(tmp_path / "pairs"))
+    assert spark.read.parquet(str(tmp_path / "pairs")).count() == 3 * 1000 * 999
+    assert sum(p.stat().st_size for p in (tmp_path / "pairs").glob("*.parquet")) < 3 * 1000 * 999 / 2
