@@ -209,3 +209,36 @@ def test_eligible_pairs_take_few_bytes(spark, tmp_path):
     retrieval.eligible(df, df, ["batch_id", "space_id"]).write.parquet(str(tmp_path / "pairs"))
     assert spark.read.parquet(str(tmp_path / "pairs")).count() == 3 * 1000 * 999
     assert sum(p.stat().st_size for p in (tmp_path / "pairs").glob("*.parquet")) < 3 * 1000 * 999 / 2
+
+
+def shuffled_rows(spark, df):
+    """Rows that all stages of counting ``df`` send, and the count."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+    stages = lambda: store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    before = {(s.stageId(), s.attemptId()) for s in map(stages().apply, range(stages().size()))}
+    n, after = df.count(), stages()
+    return sum(s.shuffleWriteRecords() for s in map(after.apply, range(after.size())) if (s.stageId(), s.attemptId()) not in before), n
+
+
+def test_owners_of_a_title_are_not_sent_for_each_part_of_its_texts(spark, monkeypatch):
+    """A title of 1,000 texts and 1,000 documents: 100 parts of the texts, and the documents must not be sent 100 times."""
+    monkeypatch.setattr(search, "CELL", 10_000)
+    n = 1000
+    found = spark.range(n).selectExpr("concat('t', id) AS query_id", "'a title' AS name")
+    named = spark.range(n).selectExpr("concat('d', id) AS id", "'a title' AS name")
+    rows, pairs = shuffled_rows(spark, search._owners(found, named))
+    assert pairs == n * n and rows < 60_000
+
+
+@pytest.mark.parametrize("sent", [1, 1 << 20])
+def test_runs_that_no_name_has_are_left_out_before_the_join(spark, monkeypatch, sent):
+    """Many words and few names: what meets the names is little, and no name is missed, with one row of marks too."""
+    monkeypatch.setattr(search, "SENT", sent)
+    names = [(f"d{i}", f"File_{i}.md") for i in range(3)] + [("t", "one two THREE four")]
+    texts = [(f"q{i}", " ".join(f"w{i}x{k}" for k in range(300)) + (f" file_{i}.MD" if i < 3 else " One two three four")) for i in range(5)]
+    before, seen = search._marked, []
+    monkeypatch.setattr(search, "_marked", lambda held, anchors: seen.append((held, out := before(held, anchors))) or out)
+    got = search.by_name(spark.createDataFrame(texts, "query_id string, text string"), spark.createDataFrame(names, "id string, name string"))
+    assert sorted(map(tuple, got.collect())) == [("q0", "d0"), ("q1", "d1"), ("q2", "d2"), ("q3", "t"), ("q4", "t")]
+    held, kept = seen[0]
+    assert held.count() > 1500 and kept.count() < held.count() / 10
